@@ -1,0 +1,22 @@
+"""Join helpers that check a size before broadcasting."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 500_000
+
+
+def join_checked(
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Broadcast ``small`` when it has at most ``limit`` rows, else leave a shuffled join.
+
+    ``small`` is persisted for the check and used from there by the join.
+    """
+    small = small.persist()
+    fits = small.limit(limit + 1).count() <= limit
+    return big.join(F.broadcast(small) if fits else small, list(on), how)
