@@ -72,6 +72,20 @@ class Data:
         base = baseline_cv(self.panel, H, WINDOWS, end=self.end)
         return ensemble(base, ["Naive", "SeasonalNaive"], out="Ensemble")
 
+    @cached_property
+    def small_cv(self) -> DataFrame:
+        """The same backtest over the part type x region panel."""
+        base = baseline_cv(self.small, H, WINDOWS, end=self.end)
+        return ensemble(base, ["Naive", "SeasonalNaive"], out="Ensemble")
+
+    @cached_property
+    def small_statics(self) -> DataFrame:
+        return static_attributes(tp.small_facts(self.spark, self.sf_dir))
+
+    @cached_property
+    def small_scoring(self) -> ScoringInputs:
+        return ScoringInputs.build(self.small_cv, self.small, self.small_statics, F.date_add(self.points[0], 1))
+
     @cached_property
     def scoring(self) -> ScoringInputs:
         return ScoringInputs.build(self.cv, self.panel, self.statics, F.date_add(self.points[0], 1))

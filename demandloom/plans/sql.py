@@ -61,27 +61,6 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         ("last_day",),
         "SELECT CAST(w AS INTEGER) AS fold, last_ds - CAST(28 + (2 - w) * 28 AS INTEGER) AS cutoff FROM last_day, range(3) t(w)",
     ),
-    "hist": (
-        ("panel", "folds"),
-        """SELECT cutoff, unique_id, y, row_number() OVER (PARTITION BY cutoff, unique_id ORDER BY ds DESC) AS rn,
-                  avg(y) OVER (PARTITION BY cutoff, unique_id) AS mean_y, count(*) OVER (PARTITION BY cutoff, unique_id) AS n
-           FROM panel JOIN folds ON ds <= cutoff QUALIFY rn <= 7""",
-    ),
-    "cv0": (
-        ("panel", "folds", "hist"),
-        """SELECT p.unique_id, p.ds, f.cutoff, p.y, a.y AS Naive,
-                  CASE WHEN a.n < 7 THEN a.mean_y ELSE s.y END AS SeasonalNaive
-           FROM panel p JOIN folds f ON p.ds > f.cutoff AND p.ds <= f.cutoff + 28
-           JOIN hist a ON a.cutoff = f.cutoff AND a.unique_id = p.unique_id AND a.rn = 1
-           LEFT JOIN hist s ON s.cutoff = f.cutoff AND s.unique_id = p.unique_id AND s.rn = 7 - (date_diff('day', f.cutoff, p.ds) - 1) % 7""",
-    ),
-    "cv": (("cv0",), "SELECT *, 0.0 + Naive * 0.5 + SeasonalNaive * 0.5 AS Ensemble FROM cv0"),
-    "long": (
-        ("cv",),
-        """SELECT unique_id, ds, cutoff, y, 'Naive' AS model, Naive AS y_hat FROM cv UNION ALL
-           SELECT unique_id, ds, cutoff, y, 'SeasonalNaive', SeasonalNaive FROM cv UNION ALL
-           SELECT unique_id, ds, cutoff, y, 'Ensemble', Ensemble FROM cv""",
-    ),
     "train": (("panel", "folds"), "SELECT * FROM panel WHERE ds <= (SELECT min(cutoff) FROM folds)"),
     "steps": (
         ("train",),
@@ -109,6 +88,27 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+for _suffix, _panel in (("", "panel"), ("_s", "small")):
+    BLOCKS[f"hist{_suffix}"] = (
+        (_panel, "folds"),
+        f"""SELECT cutoff, unique_id, y, row_number() OVER (PARTITION BY cutoff, unique_id ORDER BY ds DESC) AS rn,
+                   avg(y) OVER (PARTITION BY cutoff, unique_id) AS mean_y, count(*) OVER (PARTITION BY cutoff, unique_id) AS n
+            FROM {_panel} JOIN folds ON ds <= cutoff QUALIFY rn <= 7""",
+    )
+    BLOCKS[f"cv0{_suffix}"] = (
+        (f"hist{_suffix}",),
+        f"""SELECT p.unique_id, p.ds, f.cutoff, p.y, a.y AS Naive, CASE WHEN a.n < 7 THEN a.mean_y ELSE s.y END AS SeasonalNaive
+            FROM {_panel} p JOIN folds f ON p.ds > f.cutoff AND p.ds <= f.cutoff + 28
+            JOIN hist{_suffix} a ON a.cutoff = f.cutoff AND a.unique_id = p.unique_id AND a.rn = 1
+            LEFT JOIN hist{_suffix} s ON s.cutoff = f.cutoff AND s.unique_id = p.unique_id AND s.rn = 7 - (date_diff('day', f.cutoff, p.ds) - 1) % 7""",
+    )
+    BLOCKS[f"cv{_suffix}"] = ((f"cv0{_suffix}",), f"SELECT *, 0.0 + Naive * 0.5 + SeasonalNaive * 0.5 AS Ensemble FROM cv0{_suffix}")
+    BLOCKS[f"long{_suffix}"] = (
+        (f"cv{_suffix}",),
+        " UNION ALL ".join(f"SELECT unique_id, ds, cutoff, y, '{_m}' AS model, {_m} AS y_hat FROM cv{_suffix}" for _m in ("Naive", "SeasonalNaive", "Ensemble")),
+    )
+
+
 def R(expr: str, digits: int = 6) -> str:
     """Rounded double without a negative zero."""
     return f"(round(CAST({expr} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE))"
