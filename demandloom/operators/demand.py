@@ -94,8 +94,8 @@ def eda_calendar_effects(panel: DataFrame) -> DataFrame:
     month, day = F.month("ds"), F.dayofmonth("ds")
     tags = F.array(
         F.struct(F.lit("weekday").alias("effect"), F.date_format("ds", "EEEE").alias("key")),
-        F.struct(F.lit("december_day"), F.when(month == 12, day.cast("string"))),
-        F.struct(F.lit("christmas"), F.when((month == 12) & (day == 25), "xmas").otherwise("other")),
+        F.struct(F.lit("december_day").alias("effect"), F.when(month == 12, day.cast("string")).alias("key")),
+        F.struct(F.lit("christmas").alias("effect"), F.when((month == 12) & (day == 25), "xmas").otherwise("other").alias("key")),
     )
     tagged = daily.select("_s", "_n", F.inline(tags)).where(F.col("key").isNotNull())
     return tagged.groupBy("effect", "key").agg((F.sum("_s") / F.sum("_n")).alias("mean_y"))
@@ -170,7 +170,7 @@ def batch_limits(history: DataFrame, horizon: int, *, max_horizon: int, max_seri
     per = history.groupBy("unique_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("series"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
     checks = F.array(
         F.struct(F.lit("horizon").alias("check"), F.lit(horizon).cast("bigint").alias("value"), F.lit(max_horizon).cast("bigint").alias("cap")),
-        F.struct(F.lit("series"), F.col("series"), F.lit(max_series).cast("bigint")),
-        F.struct(F.lit("history_rows"), F.col("rows"), F.lit(max_rows).cast("bigint")),
+        F.struct(F.lit("series").alias("check"), F.col("series").alias("value"), F.lit(max_series).cast("bigint").alias("cap")),
+        F.struct(F.lit("history_rows").alias("check"), F.col("rows").alias("value"), F.lit(max_rows).cast("bigint").alias("cap")),
     )
     return per.select(F.inline(checks)).withColumn("rejected", F.col("value") > F.col("cap"))

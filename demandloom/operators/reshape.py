@@ -55,11 +55,10 @@ def weekly_price(panel: DataFrame, *, value: str = "cents", week: str = "wk") ->
     return panel.withColumn("sell_price", price)
 
 
-def unpivot_sales(wide: DataFrame, ids: Sequence[str], day_columns: Sequence[str]) -> DataFrame:
-    """Wide ``d_*`` columns to rows ``ids, d, y`` through one generator."""
-    cells = F.posexplode(F.array(*[F.col(c) for c in day_columns])).alias("_i", "y")
-    names = F.array(*[F.lit(c) for c in day_columns])
-    return wide.select(*ids, cells).select(*ids, F.get(names, F.col("_i")).alias("d"), "y")
+def unpivot_sales(sales: DataFrame, ids: Sequence[str], first_day: int = 1) -> DataFrame:
+    """The ``units`` array (day ``first_day`` onwards) to rows ``ids, d, y`` through one generator."""
+    label = F.concat(F.lit("d_"), (F.col("_i") + first_day).cast("string"))
+    return sales.select(*ids, F.posexplode("units").alias("_i", "y")).select(*ids, label.alias("d"), "y")
 
 
 def join_calendar(long: DataFrame, calendar: DataFrame, on: str = "d") -> DataFrame:
@@ -95,25 +94,21 @@ def build_long(
 ) -> DataFrame:
     """Wide sales + calendar + prices to the long panel.
 
-    The day list is cut to the trailing window before the unpivot, so trimmed days are never
-    generated. Leading zeros are judged on the whole history, as a series that only sold
-    before the window keeps its zero rows.
+    Leading zeros are judged on the whole history: a series that only sold before the trailing
+    window keeps its zero rows there.
     """
     if n_series:
         sales = subsample_series(sales, n_series, seed)
     ids = ["unique_id", *STATICS]
-    days = [c for c in sales.columns if c.startswith("d_")]
-    values = F.array(*[F.col(c) for c in days])
-    position = F.array_position(F.transform(values, lambda v: F.coalesce(v > 0, F.lit(False))), True)
-    first = F.when(position > 0, position)
-    first_kept = max(0, len(days) - 1 - last_n_days) if last_n_days else 0
-    long = (
-        sales.withColumn("_first", first)
-        .where(F.col("_first").isNotNull())
-        .transform(lambda d: unpivot_sales(d, [*ids, "_first"], days[first_kept:]))
-        .where(F.substring_index("d", "_", -1).cast("int") >= F.col("_first"))
-        .drop("_first")
-    )
+    first = F.array_position(F.transform("units", lambda v: F.coalesce(v > 0, F.lit(False))), True)
+    sold = sales.withColumn("_first", first).where(F.col("_first") > 0)
+    start = F.col("_first")
+    if last_n_days:
+        start = F.greatest(start, F.size("units") - last_n_days)
+    # days before the start are cut from the array, so they are never generated
+    kept = sold.withColumn("_start", start.cast("int")).withColumn("units", F.slice("units", F.col("_start"), F.size("units")))
+    label = F.concat(F.lit("d_"), (F.col("_i") + F.col("_start")).cast("string"))
+    long = kept.select(*ids, "_start", F.posexplode("units").alias("_i", "y")).select(*ids, label.alias("d"), "y")
     long = join_calendar(long, calendar)
     long = join_prices(long, prices).withColumnRenamed("date", "ds")
     return long.withColumn("y", F.col("y").cast("float"))
@@ -224,3 +219,42 @@ def future_frame(panel: DataFrame, h: int, cutoff: Column | None = None) -> Data
 def union_forecasts(*frames: DataFrame) -> DataFrame:
     """Stack model or segment outputs by column name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+# The first forecast day of the competition calendar and its horizon.
+FIRST_FORECAST_DAY = 1942
+SUBMISSION_HORIZON = 28
+
+
+def submission_wide(
+    preds: DataFrame, *, h: int = SUBMISSION_HORIZON, value_col: str | None = None, layout: str = "kaggle"
+) -> DataFrame:
+    """Long forecasts to one row per series and one column per day, in date order.
+
+    Column names are ``F1..Fh`` or, with layout ``d_index``, the day labels of the holdout.
+    """
+    if value_col is None:
+        candidates = [c for c in preds.columns if c not in ("unique_id", "ds")]
+        if len(candidates) != 1:
+            raise ValueError(f"cannot infer the value column from {candidates}")
+        value_col = candidates[0]
+    names = {
+        "kaggle": [f"F{k + 1}" for k in range(h)],
+        "d_index": [f"d_{FIRST_FORECAST_DAY + k}" for k in range(h)],
+    }
+    if layout not in names:
+        raise ValueError(f"unknown layout {layout!r}, use one of {sorted(names)}")
+    days = [r["ds"] for r in preds.select("ds").distinct().orderBy("ds").limit(h + 1).collect()]  # h + 1 dates at most
+    if len(days) != h:
+        raise ValueError(f"forecast covers {len(days)} dates, expected {h}")
+    picked = [F.first(F.when(F.col("ds") == day, F.col(value_col)), ignorenulls=True).alias(n) for day, n in zip(days, names[layout], strict=True)]
+    return preds.groupBy("unique_id").agg(*picked).orderBy("unique_id")
+
+
+def encode_categoricals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """String columns to indices (most frequent first), unseen values kept as an extra index."""
+    from pyspark.ml.feature import StringIndexer
+
+    have = [c for c in columns if c in df.columns]
+    indexer = StringIndexer(inputCols=have, outputCols=[f"{c}_idx" for c in have], handleInvalid="keep")
+    return indexer.fit(df).transform(df)

@@ -532,7 +532,7 @@ def _concentration(d: Data):
 def _bootstrap_sql(n_iter: int) -> str:
     draw = "(('0x' || substr(md5('42:' || i || ':' || k), 1, 8))::BIGINT % (SELECT count(*) FROM pos))"
     return sql(
-        f"SELECT a.model AS model_a, b.model AS model_b, {R('CASE WHEN a.model = b.model THEN 1.0 ELSE avg(CAST(a.s - b.s >= 0 AS DOUBLE)) END')} AS p_value FROM sums a JOIN sums b USING (i) GROUP BY ALL",
+        f"SELECT a.model AS model_a, b.model AS model_b, {R('CASE WHEN a.model = b.model THEN 1.0 ELSE avg(CAST(a.s - b.s >= 0 AS DOUBLE)) END')} AS p_value FROM sums a JOIN sums b USING (i) GROUP BY a.model, b.model",
         "rmsse",
         pos="SELECT unique_id, row_number() OVER (ORDER BY unique_id) - 1 AS pick FROM (SELECT unique_id FROM rmsse GROUP BY unique_id HAVING count(rmsse) = 3)",
         draws=f"SELECT i, {draw} AS pick FROM range({n_iter}) t(i), range((SELECT count(*) FROM pos)) u(k)",
@@ -580,7 +580,7 @@ def _qq(d: Data):
     "calibration_deciles",
     sql(
         f"""SELECT model, CAST(bin AS INTEGER) AS bin, {R('avg(y_hat)')} AS mean_forecast, {R('avg(y)')} AS mean_y, {R('avg(y_hat - y)')} AS mean_residual, count(*) AS n FROM (
-        SELECT l.*, greatest(len(list_filter(edges, e -> e < l.y_hat)) - 1, 0) AS bin FROM long l JOIN (
+        SELECT l.*, greatest(len(list_filter(edges, lambda e: e < l.y_hat)) - 1, 0) AS bin FROM long l JOIN (
           SELECT model, list_distinct(quantile_cont(y_hat, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM long GROUP BY model) USING (model)) GROUP BY model, bin""",
         "long",
     ),
