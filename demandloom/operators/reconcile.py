@@ -1,13 +1,269 @@
-"""Forecast reconciliation over the summing edges."""
+"""Forecast reconciliation over the sparse summing edges.
+
+A horizon is held as columns ``k1..kh`` of one row per node or bottom series. The normal
+equations ``S' W^-1 S b = S' W^-1 y`` are solved by conjugate gradients whose products with S
+and S' are joins with the edges and grouped sums. No matrix with a series-sized side exists and
+no node's rows are gathered in one task; what reaches the driver has the size of the horizon
+or of the residual window (days), never of the panel.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.session import settle
+
+TINY = 1e-12
+
 
 def bottom_up(forecast: DataFrame, edges: DataFrame, model: str, out: str = "BottomUp") -> DataFrame:
     """Every node is the sum of its bottom forecasts."""
     by = [c for c in ("cutoff", "ds") if c in forecast.columns]
     joined = forecast.join(edges, forecast["unique_id"] == edges["bottom_id"])
     return joined.groupBy("level_idx", F.col("node").alias("unique_id"), *by).agg(F.sum(F.col(f"`{model}`")).alias(out))
+
+
+def _cols(h: int) -> list[str]:
+    return [f"k{j}" for j in range(1, h + 1)]
+
+
+def _sum_up(bottom: DataFrame, edges: DataFrame, h: int) -> DataFrame:
+    """S v: bottom rows to node rows."""
+    return edges.select("bottom_id", "node_id").join(bottom, "bottom_id").groupBy("node_id").agg(*[F.sum(c).alias(c) for c in _cols(h)])
+
+
+def _sum_down(nodes: DataFrame, edges: DataFrame, h: int) -> DataFrame:
+    """S' v: node rows to bottom rows."""
+    return edges.select("bottom_id", "node_id").join(nodes, "node_id").groupBy("bottom_id").agg(*[F.sum(c).alias(c) for c in _cols(h)])
+
+
+Weigh = Callable[[DataFrame], DataFrame]  # node rows -> node rows times W^-1
+
+
+def diagonal_weights(weights: DataFrame, h: int) -> Weigh:
+    """W^-1 for a diagonal W given as ``node_id, w`` (the variances)."""
+
+    def apply(nodes: DataFrame) -> DataFrame:
+        scaled = nodes.join(weights, "node_id")
+        return scaled.select("node_id", *[(F.col(c) / F.greatest("w", F.lit(TINY))).alias(c) for c in _cols(h)])
+
+    return apply
+
+
+def identity_weights(h: int) -> Weigh:
+    return lambda nodes: nodes.select("node_id", *_cols(h))
+
+
+def _totals(df: DataFrame, terms: Sequence[Column]) -> np.ndarray:
+    row = df.agg(*[F.coalesce(F.sum(t), F.lit(0.0)).alias(f"t{i}") for i, t in enumerate(terms)]).first()
+    return np.array(row, dtype=float)
+
+
+def solve_bottom(base: DataFrame, edges: DataFrame, weigh: Weigh, h: int, *, tol: float = 1e-10, max_iter: int = 200) -> DataFrame:
+    """Reconciled bottom forecasts ``bottom_id, k1..kh`` by conjugate gradients.
+
+    Starts from the base forecasts of the bottom level. Step lengths are one number per
+    horizon step. The state is checkpointed in every iteration.
+    """
+    ks = _cols(h)
+    own = edges.where(F.col("is_bottom")).select("bottom_id", "node_id").join(base, "node_id").select("bottom_id", *ks)
+    gap = base.join(_sum_up(own, edges, h).select("node_id", *[F.col(c).alias(f"u_{c}") for c in ks]), "node_id")
+    gap = gap.select("node_id", *[(F.col(c) - F.col(f"u_{c}")).alias(c) for c in ks])
+    r0 = _sum_down(weigh(gap), edges, h)
+    state = settle(
+        own.join(r0.select("bottom_id", *[F.col(c).alias(f"r_{c}") for c in ks]), "bottom_id").select(
+            "bottom_id", *ks, *[f"r_{c}" for c in ks], *[F.col(f"r_{c}").alias(f"p_{c}") for c in ks]
+        )
+    )
+    rr = _totals(state, [F.col(f"r_{c}") ** 2 for c in ks])
+    scale = np.maximum(_totals(_sum_down(weigh(base), edges, h), [F.col(c) ** 2 for c in ks]), TINY)
+    for _ in range(max_iter):
+        if np.all(rr <= tol * tol * scale):
+            break
+        direction = state.select("bottom_id", *[F.col(f"p_{c}").alias(c) for c in ks])
+        image = _sum_down(weigh(_sum_up(direction, edges, h)), edges, h)
+        both = settle(state.join(image.select("bottom_id", *[F.col(c).alias(f"a_{c}") for c in ks]), "bottom_id"))
+        pap = _totals(both, [F.col(f"p_{c}") * F.col(f"a_{c}") for c in ks])
+        alpha = np.where(pap > 0, rr / np.where(pap > 0, pap, 1.0), 0.0)
+        new_r = {c: F.col(f"r_{c}") - float(a) * F.col(f"a_{c}") for c, a in zip(ks, alpha, strict=True)}
+        rr_next = _totals(both, [new_r[c] ** 2 for c in ks])
+        beta = np.where(rr > 0, rr_next / np.where(rr > 0, rr, 1.0), 0.0)
+        state = both.select(
+            "bottom_id",
+            *[(F.col(c) + float(a) * F.col(f"p_{c}")).alias(c) for c, a in zip(ks, alpha, strict=True)],
+            *[new_r[c].alias(f"r_{c}") for c in ks],
+            *[(new_r[c] + float(b) * F.col(f"p_{c}")).alias(f"p_{c}") for c, b in zip(ks, beta, strict=True)],
+        )
+        rr = rr_next
+    return settle(state.select("bottom_id", *ks))
+
+
+# --- shrunken covariance in low-rank form ----------------------------------------------------
+
+
+def _partial_matrix(rows: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], side: int) -> np.ndarray:
+    """Sum over all rows of a (days x side) matrix: partial sums per task, then per day.
+
+    ``fn`` maps a batch to its matrix. Only (days x side) numbers come to the driver.
+    """
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                part = fn(pdf)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"t": np.arange(len(total)), "v": [list(map(float, r)) for r in total]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"t": [int(pdf["t"].iloc[0])], "v": [list(np.sum(np.array(pdf["v"].tolist()), axis=0))]})
+
+    parts = rows.mapInPandas(partial, "t int, v array<double>")
+    merged = parts.groupBy("t").applyInPandas(merge, "t int, v array<double>").orderBy("t").collect()
+    return np.array([r["v"] for r in merged]).reshape(len(merged), side)
+
+
+def standardised_residuals(base: DataFrame) -> DataFrame:
+    """``node_id, x array(T), d``: centred residuals over their standard deviation, and the variance."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            res = np.array(pdf["actual"].tolist()) - np.array(pdf["fitted"].tolist())
+            res = res.reshape(len(pdf), -1)
+            res = res - res.mean(axis=1, keepdims=True)
+            var = np.maximum((res**2).mean(axis=1), 1e-8)
+            x = res / np.sqrt(var)[:, None]
+            yield pd.DataFrame({"node_id": pdf["node_id"], "x": [list(map(float, r)) for r in x], "d": var})
+
+    return base.select("node_id", "actual", "fitted").mapInPandas(run, "node_id string, x array<double>, d double")
+
+
+def shrinkage_intensity(gram: np.ndarray, n_nodes: int, fourth: float) -> float:
+    """Share of the diagonal target from the (days x days) Gram matrix of standardised residuals.
+
+    Uses that sums over all pairs of series equal sums over all pairs of days.
+    """
+    days = len(gram)
+    squares = float((gram**2).sum()) / days**2
+    off = squares - n_nodes
+    spread = float((np.diag(gram) ** 2).sum()) - days * squares - fourth
+    if off <= 0:
+        return 1.0
+    return float(np.clip(days / (days - 1) ** 3 * spread / off, 0.0, 1.0))
+
+
+def shrunk_weights(residuals: DataFrame, h: int) -> tuple[Weigh, float]:
+    """W^-1 for W = lam D + (1 - lam) R R' / T by the Woodbury identity, and lam."""
+    ks = _cols(h)
+    residuals = settle(residuals)
+    days = len(residuals.select("x").first()[0])
+    gram = _partial_matrix(residuals, lambda pdf: (lambda x: x.T @ x)(np.array(pdf["x"].tolist())), days)
+    quartic = F.aggregate("x", F.lit(0.0), lambda a, v: a + (v * v - 1) * (v * v - 1))
+    n_nodes, fourth = residuals.agg(F.count("*"), F.sum(quartic)).first()
+    lam = max(shrinkage_intensity(gram, n_nodes, fourth), 1e-4)
+    if lam >= 1.0:
+        return diagonal_weights(residuals.select("node_id", F.col("d").alias("w")), h), 1.0
+    inner = np.linalg.inv(gram + lam * days / (1 - lam) * np.eye(days))
+
+    def apply(nodes: DataFrame) -> DataFrame:
+        rows = settle(nodes.join(residuals, "node_id"))
+
+        def project(pdf: pd.DataFrame) -> np.ndarray:
+            u = pdf[ks].to_numpy() / np.sqrt(pdf["d"].to_numpy())[:, None]
+            return np.array(pdf["x"].tolist()).T @ u
+
+        c = inner @ _partial_matrix(rows, project, h)
+
+        def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                root = np.sqrt(pdf["d"].to_numpy())[:, None]
+                x = np.array(pdf["x"].tolist()).reshape(len(pdf), -1)
+                out = (pdf[ks].to_numpy() / root - (x @ c if len(pdf) else 0.0)) / lam / root
+                yield pd.DataFrame(out, columns=ks).assign(node_id=pdf["node_id"].to_numpy())[["node_id", *ks]]
+
+        return rows.mapInPandas(back, "node_id string, " + ", ".join(f"{k} double" for k in ks))
+
+    return apply, lam
+
+
+# --- methods ---------------------------------------------------------------------------------
+
+
+def _wide(base: DataFrame, h: int) -> DataFrame:
+    return base.select("node_id", *[F.element_at("y_hat", j).alias(f"k{j}") for j in range(1, h + 1)])
+
+
+def recon_mintrace(base: DataFrame, edges: DataFrame, h: int, method: str) -> DataFrame:
+    """Reconciled bottom forecasts ``bottom_id, k1..kh``.
+
+    ``base`` has ``node_id, y_hat, fitted, actual`` (arrays), ``edges`` ``bottom_id, node_id,
+    is_bottom``. Methods: ols, wls_struct, wls_var, mint_shrink.
+    """
+    if method == "ols":
+        weigh = identity_weights(h)
+    elif method == "wls_struct":
+        weigh = diagonal_weights(settle(edges.groupBy("node_id").agg(F.count("*").cast("double").alias("w"))), h)
+    elif method == "wls_var":
+        gap = F.zip_with("actual", "fitted", lambda a, f: (a - f) * (a - f))
+        var = F.aggregate(gap, F.lit(0.0), lambda a, v: a + v) / F.size("actual")
+        weigh = diagonal_weights(settle(base.select("node_id", F.greatest(var, F.lit(1e-8)).alias("w"))), h)
+    elif method == "mint_shrink":
+        weigh, _ = shrunk_weights(standardised_residuals(base), h)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return solve_bottom(settle(_wide(base, h)), settle(edges), weigh, h)
+
+
+def recon_erm(base: DataFrame, edges: DataFrame, h: int, lam: float = 0.01, *, around_bottom_up: bool = False) -> DataFrame:
+    """Empirical-risk reconciliation: bottom actuals regressed on all fitted node values.
+
+    The ridge problem is solved in its dual form, with a (days x days) kernel in place of a
+    (nodes x nodes) matrix: b = B' (K + lam I)^-1 Y y_hat. With ``around_bottom_up`` the
+    regression explains what the bottom forecasts leave over, so a strong penalty falls back to
+    plain bottom-up.
+    """
+    ks = _cols(h)
+    rows = settle(base.join(_wide(base, h), "node_id"))
+    days = len(rows.select("fitted").first()[0])
+    kernel = _partial_matrix(rows, lambda pdf: (lambda x: x.T @ x)(np.array(pdf["fitted"].tolist())), days)
+    ridge = lam * max(float(np.trace(kernel)) / days, TINY)
+    ahead = _partial_matrix(rows, lambda pdf: np.array(pdf["fitted"].tolist()).T @ pdf[ks].to_numpy(), h)
+    coef = np.linalg.solve(kernel + ridge * np.eye(days), ahead)
+    bottom = edges.where(F.col("is_bottom")).select("bottom_id", "node_id").join(rows, "node_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            target = np.array(pdf["actual"].tolist()).reshape(len(pdf), days if len(pdf) else 0)
+            out = np.zeros((0, h))
+            if len(pdf):
+                fitted, own = np.array(pdf["fitted"].tolist()), pdf[ks].to_numpy()
+                out = own + (target - fitted) @ coef if around_bottom_up else target @ coef
+            yield pd.DataFrame(out, columns=ks).assign(bottom_id=pdf["bottom_id"].to_numpy())[["bottom_id", *ks]]
+
+    return bottom.mapInPandas(run, "bottom_id string, " + ", ".join(f"{k} double" for k in ks))
+
+
+METHODS = {
+    "MinT_OLS": lambda b, e, h: recon_mintrace(b, e, h, "ols"),
+    "MinT_WLS_struct": lambda b, e, h: recon_mintrace(b, e, h, "wls_struct"),
+    "MinT_WLS_var": lambda b, e, h: recon_mintrace(b, e, h, "wls_var"),
+    "MinT_shrink": lambda b, e, h: recon_mintrace(b, e, h, "mint_shrink"),
+    "ERM_closed": lambda b, e, h: recon_erm(b, e, h),
+    "ERM_reg_bu": lambda b, e, h: recon_erm(b, e, h, around_bottom_up=True),
+    "BU": lambda b, e, h: e.where(F.col("is_bottom")).select("bottom_id", "node_id").join(_wide(b, h), "node_id").drop("node_id"),
+}
+
+
+def reconcile(base: DataFrame, edges: DataFrame, h: int, method: str, cutoff: Column) -> DataFrame:
+    """Bottom forecasts of one method in long form: ``unique_id, ds, <method>``."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}, use one of {sorted(METHODS)}")
+    wide = METHODS[method](base, edges, h)
+    values = F.posexplode(F.array(*_cols(h))).alias("_k", method)
+    return wide.select(F.col("bottom_id").alias("unique_id"), values).select("unique_id", F.date_add(cutoff, F.col("_k") + 1).alias("ds"), method)

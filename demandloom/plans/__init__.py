@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_CATALOGS = ("panel_queries", "score_queries")
+_CATALOGS = ("panel_queries", "score_queries", "model_queries")
 
 
 def load_all() -> None:

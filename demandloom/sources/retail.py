@@ -69,5 +69,5 @@ def load_sales_wide(spark: SparkSession, raw_dir: str) -> DataFrame:
     return cells.select(
         *[F.element_at("_c", k + 1).alias(c) for k, c in enumerate(SALES_IDS)],
         F.concat_ws("_", F.element_at("_c", 2), F.element_at("_c", 5)).alias("unique_id"),
-        F.slice("_c", len(SALES_IDS) + 1, len(days)).cast("array<float>").alias("units"),
+        F.transform(F.slice("_c", len(SALES_IDS) + 1, len(days)), lambda v: v.try_cast("float")).alias("units"),
     )
