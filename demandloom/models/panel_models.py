@@ -1,8 +1,9 @@
 """Models fitted on many series at once, with recursive multi-step forecasts.
 
 A series' forecast state is one row: its last 28 values and the known future drivers as arrays.
-Every step computes the features from the arrays and appends the prediction, so the recursion
-needs no window, join or shuffle. The state is checkpointed every few steps.
+Each step computes the features from that row and appends the prediction, so the recursion
+needs no window, join or shuffle. Linear scores run all steps inside one Arrow batch function;
+tree models are applied by Spark ML step by step.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from demandloom.session import settle
 LAGS = (7, 14, 28)
 WINDOWS = (7, 28)
 TAIL = 28
+YEAR_ORIGIN = 2000  # years enter linear models as a small number
 DATE_FEATURES = ("dayofweek", "day", "week", "month", "year")
 LAG_FEATURES = (*[f"lag{k}" for k in LAGS], *[f"rolling_mean_lag1_window_size{w}" for w in WINDOWS])
-CHECKPOINT_EVERY = 7
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -69,7 +70,11 @@ def _step_features(state: DataFrame, step: int, exog: Sequence[str]) -> DataFram
 
 
 def recurse(state: DataFrame, h: int, predict: Predict, name: str, exog: Sequence[str] = (), floor: float | None = 0.0) -> DataFrame:
-    """Forecast ``h`` steps; ``predict`` adds a ``prediction`` column to a frame with the features."""
+    """Forecast ``h`` steps with a Spark ML model that adds a ``prediction`` column.
+
+    The state (one row per series) is checkpointed after every step; chained unbroken, the
+    plans of later steps would contain all earlier ones.
+    """
     base = state.columns
     state = state.withColumn("_out", F.array().cast("array<double>"))
     for step in range(1, h + 1):
@@ -81,12 +86,70 @@ def recurse(state: DataFrame, h: int, predict: Predict, name: str, exog: Sequenc
             F.concat(F.slice("hist", 2, TAIL - 1), F.array("_v")).alias("hist"),
             F.concat("_out", F.array("_v")).alias("_out"),
         )
-        if step % CHECKPOINT_EVERY == 0 and step < h:
+        if step < h:
             state = settle(state)
     rows = state.select("unique_id", "cutoff", F.posexplode("_out").alias("_k", name))
     return rows.select("unique_id", F.date_add("cutoff", F.col("_k") + 1).alias("ds"), name)
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """A linear score over named features: identity or log link, optionally on log1p of the lags.
+
+    Without ``coefficients`` every state row brings its own in ``beta`` (intercept first).
+    """
+
+    features: tuple[str, ...]
+    coefficients: tuple[float, ...] | None = None
+    intercept: float = 0.0
+    log_link: bool = False
+
+    def score(self, values: dict[str, np.ndarray], beta: np.ndarray | None) -> np.ndarray:
+        lagged = lambda f, v: np.log1p(np.maximum(v, 0.0)) if self.log_link and f in LAG_FEATURES else v
+        x = np.column_stack([lagged(f, values[f]) for f in self.features])
+        if beta is not None:
+            return beta[:, 0] + np.sum(beta[:, 1:] * x, axis=1)
+        total = self.intercept + x @ np.array(self.coefficients)
+        return np.exp(np.minimum(total, 30.0)) if self.log_link else total
+
+
+def recurse_batches(state: DataFrame, h: int, scorer: Scorer, name: str, exog: Sequence[str] = (), floor: float | None = 0.0) -> DataFrame:
+    """Forecast ``h`` steps with a linear score, vectorised over the series of a batch."""
+    own_beta = scorer.coefficients is None
+    drivers = [f"_x_{c}" for c in exog]
+
+    def run(batches):
+        for pdf in batches:
+            n = len(pdf)
+            hist = np.array(pdf["hist"].tolist(), dtype=float).reshape(n, TAIL)
+            beta = np.array(pdf["beta"].tolist(), dtype=float) if own_beta and n else None
+            known = {c: np.nan_to_num(np.array(pdf[f"_x_{c}"].tolist(), dtype=float).reshape(n, h)) for c in exog}
+            cut = pd.to_datetime(pdf["cutoff"])
+            out = np.empty((n, h))
+            for k in range(h if n else 0):
+                ds = (cut + pd.Timedelta(days=k + 1)).dt
+                dow = ds.dayofweek.to_numpy()
+                values = {
+                    "dayofweek": dow,
+                    "day": ds.day.to_numpy(),
+                    "week": (ds.dayofyear.to_numpy() - dow + 10) // 7,
+                    "month": ds.month.to_numpy(),
+                    "year": ds.year.to_numpy() - YEAR_ORIGIN,
+                    **{f"lag{j}": hist[:, -j] for j in LAGS},
+                    **{f"rolling_mean_lag1_window_size{w}": hist[:, -w:].mean(axis=1) for w in WINDOWS},
+                    **{c: v[:, k] for c, v in known.items()},
+                }
+                pred = scorer.score(values, beta)
+                out[:, k] = pred if floor is None else np.maximum(pred, floor)
+                hist = np.column_stack([hist[:, 1:], out[:, k]])
+            yield pdf[["unique_id", "cutoff"]].assign(_out=[[float(v) for v in row] for row in out])
+
+    cols = ["unique_id", "cutoff", "hist", *(["beta"] if own_beta else []), *drivers]
+    rows = state.select(*cols).mapInPandas(run, "unique_id string, cutoff date, _out array<double>")
+    stepped = rows.select("unique_id", "cutoff", F.posexplode("_out").alias("_k", name))
+    return stepped.select("unique_id", F.date_add("cutoff", F.col("_k") + 1).alias("ds"), name)
+
+
 def attach_future(state: DataFrame, future: DataFrame, exog: Sequence[str]) -> DataFrame:
     """Known future drivers (``unique_id, ds, <exog>``) as one array per driver and series."""
     steps = F.sort_array(F.collect_list(F.struct("ds", *exog)))
@@ -109,28 +172,26 @@ def future_exog(panel: DataFrame, calendar: DataFrame, h: int, *, with_calendar:
 # --- fitted heads ----------------------------------------------------------------------------
 
 
-def _linear_predict(features: Sequence[str], coefficients: Sequence[float], intercept: float, link: str) -> Predict:
-    total: Column = F.lit(float(intercept))
-    for f, c in zip(features, coefficients, strict=True):
-        total = total + F.col(f) * F.lit(float(c))
-    return lambda df: df.withColumn("prediction", F.exp(F.least(total, F.lit(30.0))) if link == "log" else total)
+def _assembled(train: DataFrame, features: Sequence[str], log_lags: bool = False) -> DataFrame:
+    rows = train.na.fill(0.0, list(features)).withColumn("year", F.col("year") - YEAR_ORIGIN)
+    if log_lags:
+        rows = rows.withColumns({c: F.log1p(F.greatest(F.col(c), F.lit(0.0))) for c in LAG_FEATURES})
+    return VectorAssembler(inputCols=list(features), outputCol="_v").transform(rows)
 
 
-def fit_linear(train: DataFrame, features: Sequence[str], target: str = "y") -> Predict:
+def fit_linear(train: DataFrame, features: Sequence[str], target: str = "y") -> Scorer:
     """Least squares on the named features; nulls count as 0."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="_v").transform(train.na.fill(0.0, list(features)))
-    fit = LinearRegression(featuresCol="_v", labelCol=target, solver="normal", regParam=1e-8).fit(rows)
-    return _linear_predict(features, fit.coefficients, fit.intercept, "identity")
+    fit = LinearRegression(featuresCol="_v", labelCol=target, solver="normal", regParam=1e-8).fit(_assembled(train, features))
+    return Scorer(tuple(features), tuple(float(c) for c in fit.coefficients), float(fit.intercept))
 
 
-def fit_tweedie(train: DataFrame, features: Sequence[str], power: float = 1.1) -> Predict:
-    """Tweedie regression with log link."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="_v").transform(train.na.fill(0.0, list(features)))
+def fit_tweedie(train: DataFrame, features: Sequence[str], power: float = 1.1) -> Scorer:
+    """Tweedie regression with log link; lags enter as log1p, close to linear under that link."""
     glm = GeneralizedLinearRegression(
         family="tweedie", variancePower=power, linkPower=0.0, featuresCol="_v", labelCol="y", maxIter=25, regParam=1e-6
     )
-    fit = glm.fit(rows)
-    return _linear_predict(features, fit.coefficients, fit.intercept, "log")
+    fit = glm.fit(_assembled(train, features, log_lags=True))
+    return Scorer(tuple(features), tuple(float(c) for c in fit.coefficients), float(fit.intercept), log_link=True)
 
 
 def fit_trees(train: DataFrame, features: Sequence[str], *, iterations: int = 10, depth: int = 4, seed: int = 42) -> Predict:
@@ -159,20 +220,15 @@ def fc_global_tweedie(panel: DataFrame, h: int, power: float = 1.1, future: Data
     state = forecast_state(panel)
     if exog:
         state = attach_future(state, future, exog)
-    # log of the level features keeps the log link close to linear in them
-    predict = fit_tweedie(_logged(training_frame(panel)), [*DATE_FEATURES, *LAG_FEATURES, *exog], power)
-    return recurse(state, h, lambda df: predict(_logged(df)), "Tweedie", exog)
-
-
-def _logged(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.log1p(F.greatest(F.col(c), F.lit(0.0))) for c in LAG_FEATURES})
+    scorer = fit_tweedie(training_frame(panel), [*BASE_FEATURES, *exog], power)
+    return recurse_batches(state, h, scorer, "Tweedie", exog)
 
 
 def fc_global_linear(panel: DataFrame, h: int) -> DataFrame:
     """Linear model on the differenced target, undone by a running sum from the last level."""
     diffs = feat_difference(panel).where(F.col("y_diff").isNotNull())
-    predict = fit_linear(training_frame(diffs, "y_diff"), BASE_FEATURES, "y_diff")
-    steps = recurse(forecast_state(diffs, "y_diff"), h, predict, "Linear", floor=None)
+    scorer = fit_linear(training_frame(diffs, "y_diff"), BASE_FEATURES, "y_diff")
+    steps = recurse_batches(forecast_state(diffs, "y_diff"), h, scorer, "Linear", floor=None)
     last = panel.groupBy("unique_id").agg(F.max_by("y", "ds").cast("double").alias("level"))
     return undo_difference(steps, last, "Linear").select("unique_id", "ds", "Linear")
 
@@ -217,9 +273,8 @@ def fit_segments(train: DataFrame, keys: Sequence[str], features: Sequence[str]
     no single task more, and only a small matrix per segment is solved in Python.
     """
     keys, p = list(keys), len(features) + 1
-    x: list[Column] = [F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]]
-    year = [i + 1 for i, f in enumerate(features) if f == "year"]
-    x = [c - 2000.0 if i in year else c for i, c in enumerate(x)]
+    shift = lambda f: F.col(f) - YEAR_ORIGIN if f == "year" else F.col(f)
+    x: list[Column] = [F.lit(1.0), *[F.coalesce(shift(f).cast("double"), F.lit(0.0)) for f in features]]
     products = [F.sum(x[i] * x[j]).alias(f"a_{i}_{j}") for i in range(p) for j in range(i, p)]
     targets = [F.sum(x[i] * F.col("y")).alias(f"b_{i}") for i in range(p)]
     sums = train.groupBy(*keys).agg(*products, *targets)
@@ -245,14 +300,7 @@ def fc_segmented(panel: DataFrame, h: int, keys: Sequence[str] = ("store_id",),
     model = fit_segments(training_frame(panel), keys, features)
     state = join_checked(forecast_state(panel, keep=keys), model.table, list(keys), "inner")
 
-    def predict(df: DataFrame) -> DataFrame:
-        total = F.element_at("beta", 1)
-        for i, f in enumerate(features):
-            value = F.col(f) - 2000.0 if f == "year" else F.col(f)
-            total = total + F.element_at("beta", i + 2) * value
-        return df.withColumn("prediction", total)
-
-    return recurse(state, h, predict, "Segmented")
+    return recurse_batches(state, h, Scorer(tuple(features)), "Segmented")
 
 
 def cv_segmented(panel: DataFrame, h: int, points: Sequence[Column], keys: Sequence[str] = ("store_id",)) -> DataFrame:

@@ -102,9 +102,8 @@ def build_long(
     ids = ["unique_id", *STATICS]
     first = F.array_position(F.transform("units", lambda v: F.coalesce(v > 0, F.lit(False))), True)
     sold = sales.withColumn("_first", first).where(F.col("_first") > 0)
-    start = F.col("_first")
-    if last_n_days:
-        start = F.greatest(start, F.size("units") - last_n_days)
+    earliest = F.size("units") - last_n_days if last_n_days else F.lit(1)
+    start = F.greatest(F.col("_first"), earliest, F.lit(1))
     # days before the start are cut from the array, so they are never generated
     kept = sold.withColumn("_start", start.cast("int")).withColumn("units", F.slice("units", F.col("_start"), F.size("units")))
     label = F.concat(F.lit("d_"), (F.col("_i") + F.col("_start")).cast("string"))
