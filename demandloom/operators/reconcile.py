@@ -55,54 +55,58 @@ def diagonal_weights(weights: DataFrame, h: int) -> Weigh:
     return apply
 
 
-def identity_weights(h: int) -> Weigh:
-    return lambda nodes: nodes.select("node_id", *_cols(h))
-
-
 def _totals(df: DataFrame, terms: Sequence[Column]) -> np.ndarray:
     row = df.agg(*[F.coalesce(F.sum(t), F.lit(0.0)).alias(f"t{i}") for i, t in enumerate(terms)]).first()
     return np.array(row, dtype=float)
 
 
-def solve_bottom(base: DataFrame, edges: DataFrame, weigh: Weigh, h: int, *, tol: float = 1e-10, max_iter: int = 200) -> DataFrame:
-    """Reconciled bottom forecasts ``bottom_id, k1..kh`` by conjugate gradients.
+def solve_bottom(
+    base: DataFrame, edges: DataFrame, weigh: Weigh, diagonal: DataFrame, h: int, *, tol: float = 1e-9, max_iter: int = 200
+) -> DataFrame:
+    """Reconciled bottom forecasts ``bottom_id, k1..kh`` by preconditioned conjugate gradients.
 
-    Starts from the base forecasts of the bottom level. Step lengths are one number per
-    horizon step. The state is checkpointed in every iteration.
+    Starts from the base forecasts of the bottom level. ``diagonal`` (``bottom_id, m``) is the
+    diagonal of the system, or near it. Step lengths are one number per horizon step. The state
+    is checkpointed in every iteration.
     """
     ks = _cols(h)
     own = edges.where(F.col("is_bottom")).select("bottom_id", "node_id").join(base, "node_id").select("bottom_id", *ks)
     gap = base.join(_sum_up(own, edges, h).select("node_id", *[F.col(c).alias(f"u_{c}") for c in ks]), "node_id")
     gap = gap.select("node_id", *[(F.col(c) - F.col(f"u_{c}")).alias(c) for c in ks])
-    r0 = _sum_down(weigh(gap), edges, h)
-    state = settle(
-        own.join(r0.select("bottom_id", *[F.col(c).alias(f"r_{c}") for c in ks]), "bottom_id").select(
-            "bottom_id", *ks, *[f"r_{c}" for c in ks], *[F.col(f"r_{c}").alias(f"p_{c}") for c in ks]
-        )
-    )
-    rr = _totals(state, [F.col(f"r_{c}") ** 2 for c in ks])
-    scale = np.maximum(_totals(_sum_down(weigh(base), edges, h), [F.col(c) ** 2 for c in ks]), TINY)
+    r0 = _sum_down(weigh(gap), edges, h).select("bottom_id", *[F.col(c).alias(f"r_{c}") for c in ks])
+    start = own.join(r0, "bottom_id").join(diagonal, "bottom_id")
+    state = settle(start.select("*", *[(F.col(f"r_{c}") / F.col("m")).alias(f"p_{c}") for c in ks]))
+    rz = _totals(state, [F.col(f"r_{c}") * F.col(f"p_{c}") for c in ks])
+    scaled = _sum_down(weigh(base), edges, h).join(diagonal, "bottom_id")
+    limit = tol * tol * np.maximum(_totals(scaled, [F.col(c) * F.col(c) / F.col("m") for c in ks]), TINY)
     for _ in range(max_iter):
-        if np.all(rr <= tol * tol * scale):
+        if np.all(rz <= limit):
             break
         direction = state.select("bottom_id", *[F.col(f"p_{c}").alias(c) for c in ks])
         image = _sum_down(weigh(_sum_up(direction, edges, h)), edges, h)
         both = settle(state.join(image.select("bottom_id", *[F.col(c).alias(f"a_{c}") for c in ks]), "bottom_id"))
         pap = _totals(both, [F.col(f"p_{c}") * F.col(f"a_{c}") for c in ks])
-        alpha = np.where(pap > 0, rr / np.where(pap > 0, pap, 1.0), 0.0)
+        alpha = np.where(pap > 0, rz / np.where(pap > 0, pap, 1.0), 0.0)
         new_r = {c: F.col(f"r_{c}") - float(a) * F.col(f"a_{c}") for c, a in zip(ks, alpha, strict=True)}
-        rr_next = _totals(both, [new_r[c] ** 2 for c in ks])
-        beta = np.where(rr > 0, rr_next / np.where(rr > 0, rr, 1.0), 0.0)
+        rz_next = _totals(both, [new_r[c] * new_r[c] / F.col("m") for c in ks])
+        beta = np.where(rz > 0, rz_next / np.where(rz > 0, rz, 1.0), 0.0)
         state = both.select(
             "bottom_id",
+            "m",
             *[(F.col(c) + float(a) * F.col(f"p_{c}")).alias(c) for c, a in zip(ks, alpha, strict=True)],
             *[new_r[c].alias(f"r_{c}") for c in ks],
-            *[(new_r[c] + float(b) * F.col(f"p_{c}")).alias(f"p_{c}") for c, b in zip(ks, beta, strict=True)],
+            *[(new_r[c] / F.col("m") + float(b) * F.col(f"p_{c}")).alias(f"p_{c}") for c, b in zip(ks, beta, strict=True)],
         )
-        rr = rr_next
+        rz = rz_next
     return settle(state.select("bottom_id", *ks))
 
 
+def system_diagonal(edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """Diagonal of S' W^-1 S for a diagonal W: per bottom series the sum of 1 / w over its nodes."""
+    joined = edges.select("bottom_id", "node_id").join(weights, "node_id")
+    return settle(joined.groupBy("bottom_id").agg(F.sum(1 / F.greatest("w", F.lit(TINY))).alias("m")))
+
+
 # --- shrunken covariance in low-rank form ----------------------------------------------------
 
 
@@ -161,7 +165,6 @@ def shrinkage_intensity(gram: np.ndarray, n_nodes: int, fourth: float) -> float:
 def shrunk_weights(residuals: DataFrame, h: int) -> tuple[Weigh, float]:
     """W^-1 for W = lam D + (1 - lam) R R' / T by the Woodbury identity, and lam."""
     ks = _cols(h)
-    residuals = settle(residuals)
     days = len(residuals.select("x").first()[0])
     gram = _partial_matrix(residuals, lambda pdf: (lambda x: x.T @ x)(np.array(pdf["x"].tolist())), days)
     quartic = F.aggregate("x", F.lit(0.0), lambda a, v: a + (v * v - 1) * (v * v - 1))
@@ -205,19 +208,23 @@ def recon_mintrace(base: DataFrame, edges: DataFrame, h: int, method: str) -> Da
     ``base`` has ``node_id, y_hat, fitted, actual`` (arrays), ``edges`` ``bottom_id, node_id,
     is_bottom``. Methods: ols, wls_struct, wls_var, mint_shrink.
     """
-    if method == "ols":
-        weigh = identity_weights(h)
-    elif method == "wls_struct":
-        weigh = diagonal_weights(settle(edges.groupBy("node_id").agg(F.count("*").cast("double").alias("w"))), h)
+    edges = settle(edges)
+    if method in ("ols", "wls_struct"):
+        size = F.max(F.lit(1.0)) if method == "ols" else F.count("*").cast("double")
+        weights = edges.groupBy("node_id").agg(size.alias("w"))
     elif method == "wls_var":
         gap = F.zip_with("actual", "fitted", lambda a, f: (a - f) * (a - f))
         var = F.aggregate(gap, F.lit(0.0), lambda a, v: a + v) / F.size("actual")
-        weigh = diagonal_weights(settle(base.select("node_id", F.greatest(var, F.lit(1e-8)).alias("w"))), h)
+        weights = base.select("node_id", F.greatest(var, F.lit(1e-8)).alias("w"))
     elif method == "mint_shrink":
-        weigh, _ = shrunk_weights(standardised_residuals(base), h)
+        residuals = settle(standardised_residuals(base))
+        weigh, _ = shrunk_weights(residuals, h)
+        diagonal = system_diagonal(edges, residuals.select("node_id", F.col("d").alias("w")))
+        return solve_bottom(settle(_wide(base, h)), edges, weigh, diagonal, h)
     else:
         raise ValueError(f"unknown method {method!r}")
-    return solve_bottom(settle(_wide(base, h)), settle(edges), weigh, h)
+    weights = settle(weights)
+    return solve_bottom(settle(_wide(base, h)), edges, diagonal_weights(weights, h), system_diagonal(edges, weights), h)
 
 
 def recon_erm(base: DataFrame, edges: DataFrame, h: int, lam: float = 0.01, *, around_bottom_up: bool = False) -> DataFrame:
