@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.session import settle
+
 BROADCAST_ROWS = 500_000
 
 
@@ -15,8 +17,8 @@ def join_checked(
 ) -> DataFrame:
     """Broadcast ``small`` when it has at most ``limit`` rows, else leave a shuffled join.
 
-    ``small`` is persisted for the check and used from there by the join.
+    ``small`` is computed once, checkpointed, for the check and for the join.
     """
-    small = small.persist()
+    small = settle(small)
     fits = small.limit(limit + 1).count() <= limit
     return big.join(F.broadcast(small) if fits else small, list(on), how)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from demandloom.functions.expr import ratio, week_of_year
 from demandloom.functions.joins import join_checked
+from demandloom.session import settle
 
 NO_EVENT = 999
 SNAP_STATES = ("CA", "TX", "WI")
@@ -99,10 +100,9 @@ def mean_encodings(df: DataFrame, as_of: Column | None = None) -> dict[str, Data
         df = df.where(F.col("ds") <= as_of)
     used = list(dict.fromkeys(c for k in present.values() for c in k))
     sets = [[F.col(c) for c in (*k, "dayofweek")] for k in present.values()]
-    table = (
+    table = settle(
         df.groupingSets(sets, *[F.col(c) for c in (*used, "dayofweek")])
         .agg(F.avg("y").alias("_mean"), *[F.grouping(c).alias(f"_g_{c}") for c in used])
-        .persist()
     )
     out = {}
     for name, key in present.items():

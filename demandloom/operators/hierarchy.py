@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from demandloom.functions.expr import need
 from demandloom.operators.reshape import densify_panel, latest
+from demandloom.session import settle
 
 TOTAL = "Total"
 PLACE_PRODUCT = ("state_id", "store_id", "cat_id", "dept_id", "item_id")
@@ -157,7 +158,7 @@ def hier_extract_bottom(reconciled: DataFrame, statics: DataFrame) -> DataFrame:
 def level_weights(components: DataFrame) -> DataFrame:
     """Trailing revenue to a share within its level (left as is where the level sells nothing),
     then without the nodes that have no usable scale."""
-    components = components.persist()
+    components = settle(components)
     totals = components.groupBy("level_idx").agg(F.sum("trailing_revenue").alias("_total"))
     share = F.when(F.col("_total") > 0, F.col("trailing_revenue") / F.col("_total")).otherwise(F.col("trailing_revenue"))
     joined = components.join(F.broadcast(totals), "level_idx")  # one row per level

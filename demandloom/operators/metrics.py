@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from demandloom.functions.expr import ratio, revenue, smape_term, weighted
 from demandloom.operators.reshape import models_long
+from demandloom.session import settle
 
 TRAILING_ROWS = 28
 SERIES_FLOOR = 1e-9
@@ -21,7 +22,7 @@ def error() -> Column:
 
 
 def series_components(train: DataFrame, by: Sequence[str] = ("unique_id",), price: str | None = "sell_price") -> DataFrame:
-    """Per series the revenue of its last 28 rows and the mean squared first difference.
+    """Per series the revenue of its last 28 rows and the mean squared and absolute first difference.
 
     One ordered pass per series: the trailing revenue is a moving sum whose value on the last
     row is wanted, so no second (descending) sort is made.
@@ -34,18 +35,26 @@ def series_components(train: DataFrame, by: Sequence[str] = ("unique_id",), pric
     return (
         rows.withColumn("_trailing", trailing)
         .groupBy(*by)
-        .agg(F.max_by("_trailing", "ds").alias("trailing_revenue"), F.avg(F.col("_step") * F.col("_step")).alias("scale"))
+        .agg(
+            F.max_by("_trailing", "ds").alias("trailing_revenue"),
+            F.avg(F.col("_step") * F.col("_step")).alias("scale"),
+            F.avg(F.abs("_step")).alias("abs_scale"),
+        )
     )
 
 
 def wrmsse_components(train: DataFrame, price: str | None = "sell_price") -> DataFrame:
-    """``unique_id, weight, scale``: revenue share of the last 28 rows, squared-difference scale.
+    """``unique_id, weight, scale``: revenue share of the last 28 rows, squared-difference scale."""
+    return components_of(settle(series_components(train, price=price)))
+
+
+def components_of(per_series: DataFrame) -> DataFrame:
+    """Weights and scales from the (settled) per-series table.
 
     Series with scale 0 are dropped after the shares are taken; a null scale (a single row) is
-    kept. The per-series table is persisted: the total and every score axis reuse it.
+    kept.
     """
-    per_series = series_components(train, price=price).persist()
-    total = per_series.agg(F.sum("trailing_revenue")).scalar()
+    total = F.lit(per_series.agg(F.sum("trailing_revenue")).first()[0])
     return per_series.where(F.col("scale").isNull() | (F.col("scale") != 0)).select(
         "unique_id", ratio(F.col("trailing_revenue"), total).alias("weight"), "scale"
     )
@@ -80,7 +89,7 @@ def wrmsse(truth: DataFrame, forecast: DataFrame, components: DataFrame, forecas
     """
     keys = ["unique_id", "ds"] + (["cutoff"] if "cutoff" in truth.columns and "cutoff" in forecast.columns else [])
     pairs = truth.select(*keys, "y").join(forecast.select(*keys, F.col(forecast_col).alias("y_hat")), keys)
-    per_series = pairs.groupBy("unique_id").agg(F.avg(error() * error()).alias("mse")).persist()
+    per_series = settle(pairs.groupBy("unique_id").agg(F.avg(error() * error()).alias("mse")))
     if per_series.isEmpty():
         raise ValueError("no overlapping rows between truth and forecast")
     scored = per_series.join(components, "unique_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,18 +14,18 @@ from demandloom.functions.expr import forecast_columns, need, ratio, revenue, we
 from demandloom.operators.hierarchy import LEVELS, PLACE_PRODUCT, PLAIN_LEVELS, level_history, level_weights, roll_up
 from demandloom.operators.metrics import (
     aggregate_series_metrics,
+    components_of,
     conventional_metrics,
     error,
-    naive_scale,
     per_series_metrics,
     rmsse,
     series_components,
     squared_error_by,
     wmape_bias_pct,
     wrmsse_by,
-    wrmsse_components,
 )
 from demandloom.operators.reshape import latest, models_long
+from demandloom.session import settle
 
 SEGMENTS = ("state_id", "store_id", "cat_id", "dept_id")
 
@@ -35,38 +35,43 @@ class ScoringInputs:
     """A wide backtest frame with everything the axes need around it.
 
     ``train`` holds the rows before the first test day; ``train_end`` may name its last day
-    when that is known without a scan.
+    when that is known without a scan. The per-series training table is computed once, on first
+    use, and shared by all axes.
     """
 
     cv: DataFrame
     train: DataFrame
     statics: DataFrame
-    components: DataFrame
     models: list[str] = field(default_factory=list)
     train_end: Column | None = None
 
     @classmethod
     def build(cls, cv: DataFrame, panel: DataFrame, statics: DataFrame, first_test: Column | None = None) -> ScoringInputs:
-        start = first_test if first_test is not None else cv.agg(F.min("ds")).scalar()
-        train = panel.where(F.col("ds") < start)
-        return cls(cv, train, statics, wrmsse_components(train), forecast_columns(cv), F.date_sub(start, 1))
+        start = first_test if first_test is not None else F.lit(cv.agg(F.min("ds")).first()[0])
+        return cls(cv, panel.where(F.col("ds") < start), statics, forecast_columns(cv), F.date_sub(start, 1))
 
     @property
     def long(self) -> DataFrame:
         return models_long(self.cv, self.models)
 
+    @cached_property
+    def series(self) -> DataFrame:
+        """Trailing revenue and difference scales per training series."""
+        return settle(series_components(self.train))
 
-def _weighted_axis(long: DataFrame, inp: ScoringInputs, by: Sequence[str]) -> DataFrame:
-    """Weighted rmse, mae, smape, bias, mase per (by..., model)."""
-    ps = per_series_metrics(long, naive_scale(inp.train), *by).join(inp.components.select("unique_id", "weight"), "unique_id")
-    return ps.groupBy(*by, "model").agg(
-        *[weighted(F.col(c), F.col("weight")).alias(c) for c in ("rmse", "mae", "smape", "bias", "mase")]
-    )
+    @cached_property
+    def components(self) -> DataFrame:
+        return components_of(self.series)
+
+    @property
+    def scales(self) -> DataFrame:
+        """Absolute-difference scale of the series where it is defined and not zero."""
+        return self.series.where(F.col("abs_scale") > 0).select("unique_id", F.col("abs_scale").alias("naive_scale"))
 
 
 def score_headline(inp: ScoringInputs) -> DataFrame:
     """Per model WRMSSE and the weighted series metrics, best first."""
-    ps = per_series_metrics(inp.long, naive_scale(inp.train))
+    ps = per_series_metrics(inp.long, inp.scales)
     weighted_means = aggregate_series_metrics(ps, inp.components)
     return wrmsse_by(inp.long, inp.components).join(weighted_means, "model").orderBy("wrmsse", "model")
 
@@ -120,7 +125,7 @@ def score_segments_all(inp: ScoringInputs, axes: Sequence[str] = SEGMENTS) -> Da
     axes = [a for a in axes if a in inp.statics.columns]
     tags = F.inline(F.array(*[F.struct(F.lit(a).alias("segment_axis"), F.col(a).cast("string").alias("segment")) for a in axes]))
     per = (
-        per_series_metrics(inp.long, naive_scale(inp.train))
+        per_series_metrics(inp.long, inp.scales)
         .join(_pooled_sums(inp.long), ["model", "unique_id"])
         .join(inp.statics.select("unique_id", *axes), "unique_id")
         .join(inp.components, "unique_id", "left")
@@ -168,7 +173,7 @@ def _level_train(inp: ScoringInputs, levels=LEVELS, names=None, node=None) -> Da
 
 def level_components(inp: ScoringInputs) -> DataFrame:
     """``level_idx, level, node, weight, scale`` of the aggregated training series."""
-    return level_weights(series_components(_level_train(inp), by=_LEVEL_KEY))
+    return level_weights(series_components(_level_train(inp), by=_LEVEL_KEY)).drop("abs_scale")
 
 
 def _level_cv(inp: ScoringInputs, levels=LEVELS, names=None, node=None) -> DataFrame:
@@ -195,9 +200,7 @@ def score_per_level(inp: ScoringInputs) -> DataFrame:
 
 def score_levels_dash(inp: ScoringInputs) -> DataFrame:
     """Every metric at every level."""
-    history = _level_train(inp).persist()
-    components = level_weights(series_components(history, by=_LEVEL_KEY)).drop("level")
-    scales = naive_scale(history, by=("level_idx", "node"))
+    components = level_weights(series_components(_level_train(inp), by=_LEVEL_KEY)).drop("level")
     rows = _level_cv(inp)
     sums = {"_ae": F.abs(error()), "_e": error(), "_ay": F.abs("y"), "_sy": F.col("y")}
     per_node = (
@@ -210,8 +213,7 @@ def score_levels_dash(inp: ScoringInputs) -> DataFrame:
             *[F.sum(c).alias(n) for n, c in sums.items()],
         )
         .join(components, ["level_idx", "node"], "left")
-        .join(scales, ["level_idx", "node"], "left")
-        .withColumns({"rmse": F.sqrt("mse"), "mase": ratio(F.col("mae"), F.col("naive_scale"))})
+        .withColumns({"rmse": F.sqrt("mse"), "mase": ratio(F.col("mae"), F.col("abs_scale"))})
     )
     floor = F.lit(1e-9)
     return per_node.groupBy("model", "level", "level_idx").agg(
@@ -233,8 +235,8 @@ def score_hier_notebook(inp: ScoringInputs) -> DataFrame:
     names = [n for n, _ in PLAIN_LEVELS]
     node = F.concat_ws("|", *PLACE_PRODUCT)
     scales = series_components(_level_train(inp, specs, names, node), by=_LEVEL_KEY).where(F.col("scale") > 0)
-    bottom = _attach(series_components(inp.train), inp.statics, PLACE_PRODUCT)
-    weights = roll_up(bottom, ["trailing_revenue"], [], specs, names, node).persist()
+    bottom = _attach(inp.series, inp.statics, PLACE_PRODUCT)
+    weights = settle(roll_up(bottom, ["trailing_revenue"], [], specs, names, node))
     totals = weights.groupBy("level_idx").agg(F.sum("trailing_revenue").alias("_total"))
     weights = weights.join(F.broadcast(totals), "level_idx").select(
         "level_idx", "node", ratio(F.col("trailing_revenue"), F.col("_total")).alias("weight")

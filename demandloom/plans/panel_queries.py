@@ -14,7 +14,7 @@ from demandloom.operators import reshape as rs
 from demandloom.plans.inputs import H, MODELS, REGIONS, Data
 from demandloom.plans.registry import query
 from demandloom.plans.sql import R, sql
-from demandloom.session import fresh_path
+from demandloom.session import fresh_path, settle
 from demandloom.sources import cv_tables, retail, sinks
 from demandloom.sources import tpch_panel as tp
 
@@ -251,8 +251,8 @@ def _history(d: Data):
 )
 def _sink_json(d: Data):
     base = fresh_path(d.spark, "dash")
-    table = m.wrmsse_for_models(d.cv, d.scoring.components, MODELS).persist()
-    gap = F.col("wrmsse") - table.agg(F.min("wrmsse")).scalar()
+    table = settle(m.wrmsse_for_models(d.cv, d.scoring.components, MODELS))
+    gap = F.col("wrmsse") - F.lit(table.agg(F.min("wrmsse")).first()[0])
     rows = table.withColumn("inverse_gap", F.when(gap == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), gap)))
     sinks.sink_dashboard_json({"headline": rows}, base)
     return rounded(d.spark.read.schema("model string, wrmsse double, inverse_gap double").json(f"{base}/headline"), inverse_gap=3)

@@ -76,7 +76,7 @@ def _naive_scale(d: Data):
 
 @query("per_series_metrics", sql(f"SELECT model, unique_id, {cols(*SERIES)}, n_obs FROM psm", "psm"))
 def _per_series(d: Data):
-    return rounded(m.per_series_metrics(d.scoring.long, m.naive_scale(d.scoring.train)))
+    return rounded(m.per_series_metrics(d.scoring.long, d.scoring.scales))
 
 
 _WEIGHTED = ", ".join(f"{R(f'sum(weight * {c}) / sum(weight)')} AS {c}" for c in SERIES)
@@ -92,7 +92,7 @@ _WEIGHTED = ", ".join(f"{R(f'sum(weight * {c}) / sum(weight)')} AS {c}" for c in
     ),
 )
 def _aggregate(d: Data):
-    ps = m.per_series_metrics(d.scoring.long, m.naive_scale(d.scoring.train))
+    ps = m.per_series_metrics(d.scoring.long, d.scoring.scales)
     both = m.aggregate_series_metrics(ps, d.scoring.components).withColumn("kind", F.lit("weighted"))
     return rounded(both.unionByName(m.aggregate_series_metrics(ps).withColumn("kind", F.lit("plain"))))
 

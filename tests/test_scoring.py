@@ -45,7 +45,7 @@ def test_no_overlap_raises(spark, toy_scoring):
 
 
 def test_weighted_and_plain_means_differ_as_they_should(toy_scoring):
-    ps = m.per_series_metrics(toy_scoring.long, m.naive_scale(toy_scoring.train))
+    ps = m.per_series_metrics(toy_scoring.long, toy_scoring.scales)
     pdf = ps.join(toy_scoring.components, "unique_id").toPandas()
     got = {r["model"]: r["rmse"] for r in rows(m.aggregate_series_metrics(ps, toy_scoring.components))}
     for model, g in pdf.groupby("model"):
