@@ -70,7 +70,7 @@ def bootstrap_pvalues(inp: ScoringInputs, n_iter: int = 1000, seed: int = 42) ->
         .agg(F.max("rmsse"))
         .dropna(subset=models)
     )
-    numbered = running_totals(wide, [], [F.asc("unique_id")], {"_pos": F.lit(1).cast("bigint")}).persist()
+    numbered = running_totals(wide, [], [F.asc("unique_id")], {"_pos": F.lit(1).cast("bigint")})
     n, total = numbered.agg(F.count("*"), F.sum("weight")).first()
     if not n:
         return inp.cv.sparkSession.createDataFrame([], "model_a string, model_b string, p_value double")

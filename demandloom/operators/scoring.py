@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from demandloom.functions.expr import forecast_columns, need, ratio, revenue, weighted
 from demandloom.operators.hierarchy import LEVELS, PLACE_PRODUCT, PLAIN_LEVELS, level_history, level_weights, roll_up
 from demandloom.operators.metrics import (
-    aggregate_series_metrics,
     components_of,
     conventional_metrics,
     error,
@@ -70,10 +69,17 @@ class ScoringInputs:
 
 
 def score_headline(inp: ScoringInputs) -> DataFrame:
-    """Per model WRMSSE and the weighted series metrics, best first."""
-    ps = per_series_metrics(inp.long, inp.scales)
-    weighted_means = aggregate_series_metrics(ps, inp.components)
-    return wrmsse_by(inp.long, inp.components).join(weighted_means, "model").orderBy("wrmsse", "model")
+    """Per model WRMSSE and the weighted series metrics, best first; one pass over the errors."""
+    ps = per_series_metrics(inp.long, inp.scales).join(inp.components, "unique_id")
+    scaled = F.sqrt(ratio(F.col("rmse") * F.col("rmse"), F.col("scale")))
+    return (
+        ps.groupBy("model")
+        .agg(
+            F.coalesce(F.sum(F.col("weight") * scaled), F.lit(0.0)).alias("wrmsse"),
+            *[weighted(F.col(c), F.col("weight")).alias(c) for c in ("rmse", "mae", "smape", "bias", "mase")],
+        )
+        .orderBy("wrmsse", "model")
+    )
 
 
 def score_headline_dash(inp: ScoringInputs) -> DataFrame:
