@@ -142,8 +142,8 @@ def score_requests_history(request_history: DataFrame, statics: DataFrame, h: in
 
     Every series starts from its own last day. Statics are attached for models that use them.
     """
-    clean = validate_requests(request_history, statics, min_rows=min_rows)
-    good = request_history.join(clean.select("unique_id"), "unique_id", "left_anti")
+    rejects = validate_requests(request_history, statics, min_rows=min_rows)
+    good = request_history.join(rejects.select("unique_id"), "unique_id", "left_anti")
     last = good.groupBy("unique_id").agg(F.max("ds").alias("_d"), F.max_by("y", "ds").alias("y_hat"))
     steps = last.select("unique_id", "y_hat", F.explode(F.sequence(F.date_add("_d", 1), F.date_add("_d", h))).alias("ds"))
     return steps.join(statics, "unique_id").select("unique_id", "ds", "y_hat", *[c for c in statics.columns if c != "unique_id"])
