@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from demandloom.llm.common import ids_column, rows_of
 
-MEMO = 500_000
+MEMO = 300_000
 MEMO_CHARS = 48
-STATES = 300_000
+STATES = 120_000
+PAIRS = 300_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -96,7 +97,7 @@ class Transducer:
         """
         known = self._apart.get((left, right))
         if known is None:
-            if len(self._apart) > 2_000_000:
+            if len(self._apart) > PAIRS:
                 self._apart.clear()
             known, ranks = True, self.ranks
             for a, end_a in self.spine(left, 1):
