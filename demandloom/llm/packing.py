@@ -18,6 +18,7 @@ corpus is not one task.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -35,7 +36,7 @@ SMALL_SHARE = 3
 PIVOTS = 2000
 BUCKET_ROWS = 100_000
 END_ID = 1
-MEMO = 1_000_000
+MEMO = 800_000
 RUNS = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("run_length", "from_rank", "run_pieces", "first_sequence", "run_offset")]
 )
@@ -260,24 +261,47 @@ class _Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts. Separators that str.split knows and the vocabulary's splitter doesn't take the long way."""
-        chunks = [None if _ODD.search(x) else (x.lower() if x.isascii() else x).split() for x in texts]
+        chunks = [None if _ODD.search(x) else _lowered(x).split() for x in texts]
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        fresh = [c for c in set().union(*(c for c in chunks if c)) if c not in memo]
-        stopped = [c for c in fresh if c[-1] in ".,;:!?" and c[:-1].isalpha()]  # a word and its stop are split anyway
-        self._learn(list({c for c in fresh if c.isalpha() and len(c) <= 64} | {c[:-1] for c in stopped if len(c) <= 64 and c[:-1] not in memo}))
-        for stop in ".,;:!?":
+        # lookups go to a small table of this slice's chunks
+        here = {c: memo.get(c) for c in set().union(*(c for c in chunks if c))}
+        fresh = [c for c, ids in here.items() if ids is None]
+        bare = {c: c.rstrip(_STOPS) for c in fresh}  # a word and what follows it are split anyway
+        words = {w for c, w in bare.items() if len(c) <= 64 and _letters(w)}
+        stops = {c[len(w) :] for c, w in bare.items() if w in words and len(c) <= 64 and len(w) < len(c)}
+        self._learn([w for w in words if w not in memo])
+        for stop in stops:
             if stop not in memo:
                 memo[stop] = self._one(stop)
-        memo.update((c, memo[c[:-1]] + memo[c[-1]]) for c in stopped if len(c) <= 64)
-        other = [c for c in fresh if c not in memo]
-        rest = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False))}
-        memo.update((c, v) for c, v in rest.items() if len(c) <= 64)
-        get = memo.__getitem__ if all(len(c) <= 64 for c in rest) else (lambda c: rest[c] if c in rest else memo[c])
+        other = []
+        for c, w in bare.items():
+            if w in words and len(c) <= 64:
+                here[c] = memo[c] = memo[w] if len(w) == len(c) else memo[w] + memo[c[len(w) :]]
+            else:
+                other.append(c)
+        for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            here[c] = np.array(e.ids, dtype="<u4").tobytes()
+            if len(c) <= 64:
+                memo[c] = here[c]
+        get = here.__getitem__
         return [self._one(x) if c is None else b"".join(map(get, c)) for x, c in zip(texts, chunks)]
 
 
+_STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all ASCII punctuation but the apostrophe
+
+
+def _letters(word: str) -> bool:
+    """Whether a word is made of letters alone, also once it is normalised."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
+def _lowered(text: str) -> str:
+    """Lower case where Python's is the vocabulary's, letter by letter; elsewhere the tokenizer does it."""
+    return text if "\u03a3" in text or "\u0130" in text else text.lower()
+
+
 def _odd():
     import re
 
