@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from demandloom.llm.common import ids_column, rows_of
 
-MEMO = 300_000
+MEMO = 200_000
 MEMO_CHARS = 48
-STATES = 120_000
-PAIRS = 300_000
+STATES = 180_000
+PAIRS = 400_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -149,11 +149,13 @@ class Transducer:
             target = moves.get(key)
             if target is None:
                 target, emitted = self._step(state, byte)
-                moves[key] = target
                 if emitted:
                     emits[key] = emitted
-            if key in emits:
+                    target = ~target
+                moves[key] = target
+            if target < 0:  # a move that emits
                 out += emits[key]
+                target = ~target
             state = target
         return out + list(self.last[state])
 
@@ -243,24 +245,30 @@ def _coder(ranks: bytes, pattern: str):
     if key not in _CODERS:
         _CODERS.clear()
         table = read_ranks(ranks)
-        _CODERS[key] = (Transducer(table), regex.compile(pattern).findall, {}, StreamDecoder({i: t for t, i in table.items()}))
+        _CODERS[key] = (Transducer(table), regex.compile(pattern).findall, ({}, {}), StreamDecoder({i: t for t, i in table.items()}))
     return _CODERS[key]
 
 
 def encoder(ranks: bytes, pattern: str):
     """A function text -> little-endian 32-bit ids."""
     transducer, split, memo, _ = _coder(ranks, pattern)
+    young, old = memo  # what is used again moves from the old half to the young one
 
     def one(match: str) -> bytes:
-        ids = np.array(transducer.encode(match.encode()), dtype="<i4").tobytes()
+        ids = old.get(match)
+        if ids is None:
+            ids = np.array(transducer.encode(match.encode()), dtype="<i4").tobytes()
         if len(match) <= MEMO_CHARS:
-            if len(memo) > MEMO:
-                memo.clear()
-            memo[match] = ids
+            if len(young) > MEMO:
+                old.clear()
+                old.update(young)
+                young.clear()
+            young[match] = ids
         return ids
 
     def encode(text: str) -> bytes:
-        return b"".join([memo.get(m) or one(m) for m in split(text)])
+        get = young.get
+        return b"".join([get(m) or one(m) for m in split(text)])
 
     return encode
 
