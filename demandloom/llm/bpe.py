@@ -308,3 +308,28 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str = "") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded): ids of whole texts, and the text that the streaming decoder makes of the ids, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches):
+        import pyarrow as pa
+
+        work, decoder = encoder(shared.value, pattern), _coder(shared.value, pattern)[3]
+
+        def text_of(ids: bytes) -> str:
+            text = decoder.feed(np.frombuffer(ids, dtype="<i4"))
+            decoder.close()
+            return text
+
+        for batch in batches:
+            for part in rows_of(batch, 512):
+                ids = [work(x or "") for x in part.column(1).to_pylist()]
+                texts = pa.array(map(text_of, ids), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids_column(ids), texts], names=["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, ids array<int>, decoded string"
+    )
