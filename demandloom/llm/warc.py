@@ -122,11 +122,15 @@ def records_of(archive: bytes) -> Iterator[bytes]:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from at most ``SAMPLE_PAGES`` pages (drawn by a hash of page_id); a plain one if they are too few."""
+    """A dictionary from about ``SAMPLE_PAGES`` pages (drawn by a hash of page_id); a plain one if they are too few."""
     import zstandard
 
-    drawn = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).orderBy(F.xxhash64("page_id"), "html").limit(SAMPLE_PAGES)
-    sample = [record(r["page_id"], "", r["html"][:20_000].encode(), "0" * 40, "response", None) for r in drawn.collect()]
+    total = max(1, pages.count())
+    draw = F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(1 << 30))
+    drawn = pages.filter(draw <= int((1 << 30) * min(1.0, SAMPLE_PAGES / total))).select(
+        F.col("page_id").cast("long").alias("page_id"), F.substring(F.coalesce("html", F.lit("")), 1, 20_000).alias("html")
+    )
+    sample = [record(r["page_id"], "", r["html"].encode(), "0" * 40, "response", None) for r in drawn.limit(2 * SAMPLE_PAGES).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
