@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import ids_column, rows_of
+from demandloom.llm.common import ids_column, rows_of, take_memory
 
 MEMO = 200_000
 MEMO_CHARS = 48
@@ -241,6 +241,7 @@ _CODERS: dict[tuple[str, str], tuple] = {}
 def _coder(ranks: bytes, pattern: str):
     import regex
 
+    take_memory("bpe", _CODERS.clear)
     key = (hashlib.sha256(ranks).hexdigest(), pattern)
     if key not in _CODERS:
         _CODERS.clear()

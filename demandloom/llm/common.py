@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from demandloom.session import fresh_path, settle
 
-__all__ = ["field", "fresh_path", "ids_column", "rows_of", "saved", "settle", "table"]
+__all__ = ["fresh_path", "ids_column", "rows_of", "saved", "settle", "table", "take_memory"]
 
-_ = StorageLevel  # nothing here caches on executors: every hand-off is a file in the shared folder
+_MEMOS: dict[str, Callable[[], None]] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def take_memory(owner: str, clear: Callable[[], None]) -> None:
+    """Called at the start of a task: empties what other operators still remember in this Python worker."""
+    for name, forget in list(_MEMOS.items()):
+        if name != owner:
+            forget()
+            del _MEMOS[name]
+    _MEMOS[owner] = clear
 
 
-def field(name: str) -> Column:
-    """A column by its exact name, also when it holds dots."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:

@@ -27,9 +27,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import rows_of, settle
+from demandloom.llm.common import rows_of, settle, take_memory
 from demandloom.llm.components import components
-from demandloom.llm.shingles import MinHash, shingle_set
+from demandloom.llm.shingles import MinHash, forget, shingle_set
 
 THRESHOLD = 0.8
 TOLERANCE = 1e-6
@@ -124,6 +124,7 @@ def profiles(docs: DataFrame, with_sets: bool = False) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        take_memory("shingles", forget)
         for batch in batches:
             for part in rows_of(batch, 512):
                 rows = []
@@ -197,6 +198,7 @@ def possible_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFram
     def run(batches):
         import pyarrow as pa
 
+        take_memory("cells", lambda: None)
         for table, ends in _by_cell(batches, ["band", "i", "j"]):
             sigs, cls = _matrix(table.column("sig")), table.column("cls").to_numpy()
             side, i, j = (table.column(c).to_numpy() for c in ("side", "i", "j"))
@@ -246,6 +248,7 @@ def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        take_memory("cells", lambda: None)
         for table, ends in _by_cell(batches, ["component", "i", "j"]):
             sigs, cls, docs = _matrix(table.column("sig")), table.column("cls").to_numpy(), table.column("docs").to_numpy()
             side, i, j = (table.column(c).to_numpy() for c in ("side", "i", "j"))

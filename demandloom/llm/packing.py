@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandloom.llm.common import rows_of, saved
+from demandloom.llm.common import rows_of, saved, take_memory
 
 CAPACITY = 4096
 GROUPS = 96
@@ -326,6 +326,7 @@ def tokenised(docs: DataFrame, definition: str, capacity: int = CAPACITY, end_id
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        take_memory("packing", _ENCODERS.clear)
         text = shared.value
         if text not in _ENCODERS:
             _ENCODERS.clear()

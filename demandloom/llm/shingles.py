@@ -20,13 +20,14 @@ class _Fingerprints(dict):
     def __missing__(self, word: str) -> int:
         value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
         if len(word) <= 40:
-            if len(self) > 600_000:
+            if len(self) > 400_000:
                 self.clear()
             self[word] = value
         return value
 
 
 _known = _Fingerprints()
+forget = _known.clear
 
 
 def words_of(text: str | None) -> list[str]:
