@@ -116,20 +116,20 @@ def deal(rows: pd.DataFrame, parts: list[tuple[int, int]]) -> list[int]:
 
 
 def placements(rows: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[int]]:
-    """(doc_id, row_key, shard, first_slot) of each distinct row, and the shards that change.
+    """(row_key, shard, first_slot) of each distinct row, and the shards that change.
 
-    ``rows``: doc_id, row_key, old_shard, size; a written table.
+    ``rows``: row_key, old_shard, size. Rows with one key count to the first of their old shards.
     """
     spark = rows.sparkSession
-    old = {r["old_shard"]: int(r["b"]) for r in rows.groupBy("old_shard").agg(F.sum("size").alias("b")).collect()}
+    alike = settle(rows.groupBy("row_key").agg(F.min("old_shard").alias("old_shard"), F.count("*").alias("n"), F.sum("size").alias("bytes")))
+    old = {r["old_shard"]: int(r["b"]) for r in alike.groupBy("old_shard").agg(F.sum("bytes").alias("b")).collect()}
     ranges, home = transfers(old, shards)
     lost = {home[s] for s, _, _, j in ranges if s in home and home[s] != j}
     changed = sorted(lost | {j for s, _, _, j in ranges if home.get(s) != j})
     cuts = spark.createDataFrame(ranges, "old_shard string, low long, high long, shard int")
     extent = spark.createDataFrame([(s, max(1, -(-b // block_bytes))) for s, b in old.items()], "old_shard string, blocks long")
     items = settle(
-        rows.groupBy("old_shard", "doc_id", "row_key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-        .join(extent, "old_shard")
+        alike.join(extent, "old_shard")
         .withColumn("block", F.pmod("row_key", "blocks"))
         .drop("blocks")
     )
@@ -142,22 +142,22 @@ def placements(rows: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES) ->
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [(int(p["shard"]), int(p["part"])) for p in pdf["parts"].iloc[0]]
-        return pdf[["old_shard", "block", "doc_id", "row_key", "n", "bytes"]].assign(shard=deal(pdf, parts))
+        return pdf[["old_shard", "block", "row_key", "n", "bytes"]].assign(shard=deal(pdf, parts))
 
-    columns = ["old_shard", "block", "doc_id", "row_key", "n", "bytes"]
+    columns = ["old_shard", "block", "row_key", "n", "bytes"]
     whole = items.join(sides.filter("size(parts) = 1"), ["old_shard", "block"]).select(*columns, F.col("parts")[0]["shard"].alias("shard"))
     dealt = (
         items.join(sides.filter("size(parts) > 1"), ["old_shard", "block"])
         .groupBy("old_shard", "block")
-        .applyInPandas(split, "old_shard string, block long, doc_id long, row_key long, n long, bytes long, shard int")
+        .applyInPandas(split, "old_shard string, block long, row_key long, n long, bytes long, shard int")
     )
     placed = settle(whole.unionByName(dealt))
     counts = placed.groupBy("shard", "old_shard", "block").agg(F.sum("n").alias("m"))
     earlier = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("m").over(earlier), F.lit(0))).drop("m")
-    inside = Window.partitionBy("shard", "old_shard", "block").orderBy("row_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard", "old_shard", "block").orderBy("row_key").rowsBetween(Window.unboundedPreceding, -1)
     slots = placed.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(bases, ["shard", "old_shard", "block"])
-    return slots.select("doc_id", "row_key", "shard", (F.col("base") + F.col("inside")).alias("first_slot")), changed
+    return slots.select("row_key", "shard", (F.col("base") + F.col("inside")).alias("first_slot")), changed
 
 
 def reshard(docs: DataFrame, shards: int = 8, old_shard=None) -> DataFrame:
@@ -172,20 +172,18 @@ def reshard(docs: DataFrame, shards: int = 8, old_shard=None) -> DataFrame:
             "size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1,
         }
     )
-    rows = settle(marked.select("doc_id", "row_key", F.coalesce("old_shard", F.lit("")).alias("old_shard"), "size"))
-    places, changed = placements(rows, shards)
-    again = Window.partitionBy("row_key", "doc_id").orderBy(F.lit(0))
+    places, changed = placements(marked.select("row_key", F.coalesce("old_shard", F.lit("")).alias("old_shard"), "size"), shards)
+    again = Window.partitionBy("row_key").orderBy(F.lit(0))  # the join below uses this exchange
     own = marked.drop("old_shard", "size").withColumn("copy", F.row_number().over(again) - 1)
-    target = places.select(F.col("doc_id").alias("place_id"), F.col("row_key").alias("place_key"), "shard", "first_slot").distinct()
     moved = (
-        own.join(target, (F.col("row_key") == F.col("place_key")) & F.col("doc_id").eqNullSafe(F.col("place_id")))
+        own.join(places, "row_key")
         .withColumn("slot", F.col("first_slot") + F.col("copy"))
-        .drop("row_key", "copy", "place_id", "place_key", "first_slot")
+        .drop("row_key", "copy", "first_slot")
     )
     if not changed:
         return moved
     path = fresh_path(docs.sparkSession, "shards")
-    moved.filter(F.col("shard").isin(changed)).write.partitionBy("shard").parquet(path)
+    moved.filter(F.col("shard").isin(changed)).write.partitionBy("shard").option("compression", "zstd").parquet(path)
     back = docs.sparkSession.read.schema(moved.schema).parquet(path)
     if len(changed) == shards:
         return back
