@@ -35,7 +35,7 @@ def exact_quantiles(
     """
     keys = list(keys)
     v = F.col(value).cast("double")
-    base = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
+    base = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     base = base.withColumn("_b", value_bucket(F.col("_v")))
     per_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     counts = (

@@ -33,13 +33,15 @@ def densify_panel(
     Only the sparse rows are shuffled: each row is stretched up to the day before the next row
     of its series, so the filled panel appears already partitioned by series and no join with
     a grid is needed. The partition count is fixed, because the sparse rows would let adaptive
-    execution merge partitions that become far larger once filled.
+    execution merge partitions that become far larger once filled. Rows after ``until`` are dropped.
     """
     end = until if until is not None else latest(facts)
+    facts = facts.where(F.col("ds") <= end)
     partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     facts = facts.repartition(partitions, "unique_id")
     by_id = W.partitionBy("unique_id").orderBy("ds")
-    stop = F.coalesce(F.date_sub(F.lead("ds").over(by_id), 1), end)
+    # several rows of one day stay rows of that day; the last of them is stretched
+    stop = F.greatest(F.col("ds"), F.coalesce(F.date_sub(F.lead("ds").over(by_id), 1), end))
     stretched = facts.select(
         "unique_id", *statics, *fill, F.col("ds").alias("_from"), stop.alias("_to")
     ).withColumn("ds", F.explode(F.sequence("_from", "_to")))

@@ -193,3 +193,17 @@ def test_ensemble_checks_weights(toy):
         fd.ensemble(cv, ["Naive"], [1.0, 2.0])
     with pytest.raises(ValueError):
         fd.ensemble(cv, ["Naive", "SeasonalNaive"], [1.0, -1.0])
+
+
+def test_densify_keeps_repeated_days_and_drops_later_rows(spark):
+    from pyspark.sql import functions as F
+
+    from demandloom.operators.reshape import densify_panel
+
+    facts = spark.sql(
+        "SELECT 'a' AS unique_id, DATE '2020-01-01' AS ds, 2.0D AS y UNION ALL SELECT 'a', DATE '2020-01-01', 3.0D "
+        "UNION ALL SELECT 'a', DATE '2020-01-03', 4.0D UNION ALL SELECT 'a', DATE '2020-01-09', 9.0D UNION ALL SELECT 'b', DATE '2020-01-04', 1.0D"
+    )
+    got = densify_panel(facts, until=F.lit("2020-01-04").cast("date"))
+    rows = sorted((r.unique_id, r.ds.day, r.y) for r in got.collect())
+    assert rows == [("a", 1, 2.0), ("a", 1, 3.0), ("a", 2, 0.0), ("a", 3, 4.0), ("a", 4, 0.0), ("b", 4, 1.0)]
