@@ -16,11 +16,9 @@ from demandloom.operators.reconcile import reconcile
 from demandloom.operators.reshape import latest
 from demandloom.session import settle
 
-FIT_DAYS = 364  # days of fitted values the error covariance is estimated from
 
-
-def node_base(panel: DataFrame, h: int, end: Column, model: SeriesModel, fit_days: int = FIT_DAYS) -> DataFrame:
-    """Base forecasts and fitted values of every node: ``node_id, y_hat, fitted, actual``."""
+def node_base(panel: DataFrame, h: int, end: Column, model: SeriesModel, fit_days: int | None = None) -> DataFrame:
+    """Base forecasts and all fitted values (or the last ``fit_days``) of every node: ``node_id, y_hat, fitted, actual``."""
     nodes = hier_aggregate(panel, end=end)
     keyed = nodes.select(F.concat_ws(":", F.col("level_idx").cast("string"), "unique_id").alias("unique_id"), "ds", "y")
     return series_base(keyed, model, h, fit_days).withColumnRenamed("unique_id", "node_id")

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.functions.expr import week_of_year
-from demandloom.functions.joins import join_checked
 from demandloom.operators.features import feat_date, feat_difference, feat_lags, feat_rolling_lagged, undo_difference
 from demandloom.operators.folds import fold_test
 from demandloom.operators.reshape import encode_categoricals, latest
@@ -298,7 +297,7 @@ def fit_segments(train: DataFrame, keys: Sequence[str], features: Sequence[str]
 def fc_segmented(panel: DataFrame, h: int, keys: Sequence[str] = ("store_id",), features: Sequence[str] = BASE_FEATURES) -> DataFrame:
     """One model per segment, all fitted in one pass, forecasts stacked."""
     model = fit_segments(training_frame(panel), keys, features)
-    state = join_checked(forecast_state(panel, keep=keys), model.table, list(keys), "inner")
+    state = forecast_state(panel, keep=keys).join(model.table, list(keys))
 
     return recurse_batches(state, h, Scorer(tuple(features)), "Segmented")
 
@@ -317,19 +316,21 @@ def _count_terms() -> list[Column]:
     return [F.lit(1.0), *days, F.coalesce(F.col("price_norm"), F.lit(1.0)) - 1.0, F.col("snap").cast("double")]
 
 
-def fit_count_glm(cells: DataFrame, key: str, *, iterations: int = 8, ridge: float = 1.0) -> DataFrame:
+def fit_count_glm(cells: DataFrame, key: str, *, max_iter: int = 100, tol: float = 1e-8, ridge: float = 1.0) -> DataFrame:
     """Poisson regression with log link per key: ``<key>, beta``.
 
     ``cells`` has one row per (key, covariates) with ``n`` days and total ``y``, which is all a
-    Poisson fit needs. Each Newton step is one grouped aggregate and a small solve per key.
+    Poisson fit needs. Each Newton step is one grouped aggregate and a small solve per key. Steps are
+    at most 2 per coefficient; they go on until the largest is below ``tol``, else an error is raised.
     """
     x, p = _count_terms(), _COUNT_TERMS
     beta = cells.groupBy(key).agg(F.log(F.greatest(F.sum("y") / F.sum("n"), F.lit(1e-3))).alias("_l"))
-    beta = beta.select(key, F.concat(F.array("_l"), F.array_repeat(F.lit(0.0), p - 1)).alias("beta"))
+    start = F.concat(F.array("_l"), F.array_repeat(F.lit(0.0), p - 1))
+    beta = beta.select(key, start.alias("beta"), F.lit(0.0).alias("_step"))
 
     def solve(batches):
         for pdf in batches:
-            out = []
+            out, moved = [], []
             for row in pdf.to_dict("records"):
                 a = np.zeros((p, p))
                 for i in range(p):
@@ -339,21 +340,24 @@ def fit_count_glm(cells: DataFrame, key: str, *, iterations: int = 8, ridge: flo
                 shrink = ridge * np.r_[0.0, np.ones(p - 1)]
                 step = np.linalg.solve(a + np.diag(shrink) + 1e-9 * np.eye(p), np.array([row[f"g_{i}"] for i in range(p)]) - shrink * old)
                 out.append([float(v) for v in old + np.clip(step, -2.0, 2.0)])
-            yield pdf[[key]].assign(beta=out) if out else pd.DataFrame(columns=[key, "beta"])
+                moved.append(float(np.abs(step).max()))
+            yield pdf[[key]].assign(beta=out, _step=moved) if out else pd.DataFrame(columns=[key, "beta", "_step"])
 
-    for _ in range(iterations):
-        rows = join_checked(cells, beta, [key], "inner")
+    for _ in range(max_iter):
+        rows = cells.join(beta.select(key, "beta"), key)
         eta = sum((F.element_at("beta", i + 1) * x[i] for i in range(p)), F.lit(0.0))
         mu = F.col("n") * F.exp(F.least(eta, F.lit(30.0)))
         rows = rows.withColumn("_mu", mu)
         curve = [F.sum(F.col("_mu") * x[i] * x[j]).alias(f"a_{i}_{j}") for i in range(p) for j in range(i, p)]
         slope = [F.sum((F.col("y") - F.col("_mu")) * x[i]).alias(f"g_{i}") for i in range(p)]
         sums = rows.groupBy(key).agg(F.first("beta").alias("beta"), *curve, *slope)
-        beta = settle(sums.mapInPandas(solve, f"{key} string, beta array<double>"))
-    return beta
+        beta = settle(sums.mapInPandas(solve, f"{key} string, beta array<double>, _step double"))
+        if (beta.agg(F.max("_step")).first()[0] or 0.0) <= tol:
+            return beta.drop("_step")
+    raise RuntimeError(f"count regression hasn't converged after {max_iter} steps")
 
 
-def fc_count_glm(features: DataFrame, routes: DataFrame, future: DataFrame, *, prior_days: float = 28.0, iterations: int = 8) -> DataFrame:
+def fc_count_glm(features: DataFrame, routes: DataFrame, future: DataFrame, *, prior_days: float = 28.0, max_iter: int = 100) -> DataFrame:
     """Count forecasts on weekday, price and snap: per series, or pooled with shrunken levels.
 
     ``features`` has ``unique_id, y, dayofweek, price_norm, snap``; ``routes`` says which series
@@ -364,15 +368,15 @@ def fc_count_glm(features: DataFrame, routes: DataFrame, future: DataFrame, *, p
     keyed = features.join(routes.select("unique_id", key.alias("_key")), "unique_id")
     covariates = ["dayofweek", "price_norm", "snap"]
     cells = settle(keyed.groupBy("_key", *covariates).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("y")))
-    beta = fit_count_glm(cells, "_key", iterations=iterations)
+    beta = fit_count_glm(cells, "_key", max_iter=max_iter)
     x = _count_terms()
     eta = sum((F.element_at("beta", i + 1) * x[i] for i in range(_COUNT_TERMS)), F.lit(0.0))
     mean = F.exp(F.least(eta, F.lit(30.0)))
     per_series = keyed.groupBy("unique_id", "_key", *covariates).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    expected = join_checked(per_series, beta, ["_key"], "inner").groupBy("unique_id", "_key").agg(
+    expected = per_series.join(beta, "_key").groupBy("unique_id", "_key").agg(
         F.sum("y").alias("_y"), F.sum(F.col("n") * mean).alias("_e"), F.sum("n").alias("_n")
     )
     prior = prior_days * F.col("_e") / F.col("_n")
     level = expected.select("unique_id", "_key", ((F.col("_y") + prior) / F.greatest(F.col("_e") + prior, F.lit(1e-9))).alias("_level"))
-    rows = join_checked(future.join(level, "unique_id"), beta, ["_key"], "inner")
+    rows = future.join(level, "unique_id").join(beta, "_key")
     return rows.select("unique_id", "ds", (F.col("_level") * mean).alias("CountGLM"))

@@ -67,19 +67,24 @@ def series_forecast(panel: DataFrame, models: Mapping[str, SeriesModel], h: int,
     return rows.groupBy("unique_id").applyInPandas(run, schema)
 
 
-def series_base(panel: DataFrame, model: SeriesModel, h: int, fit_days: int) -> DataFrame:
-    """Per series the forecast and the last ``fit_days`` fitted values and actuals as arrays.
+def series_base(panel: DataFrame, model: SeriesModel, h: int, fit_days: int | None = None) -> DataFrame:
+    """Per series the forecast and the fitted values and actuals as arrays of one length.
+
+    The length is the panel's span in days, or ``fit_days``; days before a series began are NaN.
 
     ``unique_id, y_hat array(h), fitted array, actual array``: what reconciliation needs.
     Missing fitted values (the warm-up of a short series) are taken as the actual.
     """
+    if fit_days is None:
+        fit_days = panel.agg(F.datediff(F.max("ds"), F.min("ds"))).first()[0]
+        fit_days = 0 if fit_days is None else fit_days + 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values("ds")["y"].to_numpy(dtype=float)
         ahead, inside = model(values, h)
         inside = np.where(np.isfinite(inside), inside, values)
         pad = max(fit_days - len(values), 0)
-        tail = lambda a: [0.0] * pad + [float(v) for v in a[-fit_days:]]
+        tail = lambda a: [float("nan")] * pad + [float(v) for v in a[-fit_days:]]
         return pd.DataFrame(
             {"unique_id": [pdf["unique_id"].iloc[0]], "y_hat": [[float(v) for v in ahead]], "fitted": [tail(inside)], "actual": [tail(values)]}
         )

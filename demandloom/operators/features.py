@@ -14,7 +14,6 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from demandloom.functions.expr import ratio, week_of_year
-from demandloom.functions.joins import join_checked
 from demandloom.session import settle
 
 NO_EVENT = 999
@@ -125,7 +124,7 @@ def feat_mean_encoding(df: DataFrame, as_of: Column | None = None) -> DataFrame:
         df = feat_date(df)
     for name, table in mean_encodings(df, as_of).items():
         if name not in df.columns:
-            df = join_checked(df, table, [*ENCODING_KEYS[name], "dayofweek"])
+            df = df.join(table, [*ENCODING_KEYS[name], "dayofweek"], "left")
     return df
 
 
@@ -162,23 +161,12 @@ def feat_event_distance(df: DataFrame, days: DataFrame | None = None) -> DataFra
     return df.join(F.broadcast(event_distances(days)), "ds", "left")
 
 
-def price_ranks(df: DataFrame) -> DataFrame:
-    """Average-tie rank of each distinct price within (store, day).
-
-    Equal prices are counted first, so the ordered window sees distinct prices only.
-    """
-    by_store_day = W.partitionBy("store_id", "ds").orderBy("sell_price")
-    return (
-        df.where(F.col("sell_price").isNotNull())
-        .groupBy("store_id", "ds", "sell_price")
-        .agg(F.count("*").alias("_n"))
-        .select(
-            "store_id",
-            "ds",
-            "sell_price",
-            (F.sum("_n").over(by_store_day) - F.col("_n") + (F.col("_n") + 1) / 2).alias("price_rank_in_store"),
-        )
-    )
+def price_rank() -> Column:
+    """Average rank of the price among those of the same store and day; null without a price."""
+    priced = F.col("sell_price").isNotNull()
+    lowest = F.rank().over(W.partitionBy("store_id", "ds", priced).orderBy("sell_price"))
+    ties = F.count("*").over(W.partitionBy("store_id", "ds", priced, "sell_price"))
+    return F.when(priced, lowest + (ties - 1) / 2)
 
 
 def feat_price_stats(df: DataFrame) -> DataFrame:
@@ -193,7 +181,7 @@ def feat_price_stats(df: DataFrame) -> DataFrame:
         }
     )
     if "store_id" in df.columns:
-        df = df.join(price_ranks(df), ["store_id", "ds", "sell_price"], "left")
+        df = df.withColumn("price_rank_in_store", price_rank())
     return df
 
 

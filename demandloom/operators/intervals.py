@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandloom.functions.expr import need
-from demandloom.functions.joins import join_checked
 from demandloom.functions.ordered import exact_quantiles
 
 METHODS = ("pooled", "grouped", "scaled")
@@ -108,7 +107,7 @@ def conformal_apply(state: ConformalState, forecast: DataFrame, forecast_col: st
         half = half * F.least(scale, F.lit(MAX_SCALE))
     if state.method == "grouped" and state.grouped is not None and state.group_col in forecast.columns:
         by_group = state.grouped.select(state.group_col, F.col("step").alias("_step"), F.col("q").alias("_gq"))
-        out = join_checked(out, by_group, [state.group_col, "_step"])
+        out = out.join(by_group, [state.group_col, "_step"], "left")
         half = F.coalesce(F.col("_gq"), half)
     return _bounds(out, col, half).drop("_step", "_q", "_gq")
 

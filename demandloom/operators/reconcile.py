@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from demandloom.session import settle
 
 TINY = 1e-12
+VAR_FLOOR = 1e-8  # least variance of a node's residuals
 
 
 def bottom_up(forecast: DataFrame, edges: DataFrame, model: str, out: str = "BottomUp") -> DataFrame:
@@ -61,13 +62,13 @@ def _totals(df: DataFrame, terms: Sequence[Column]) -> np.ndarray:
 
 
 def solve_bottom(
-    base: DataFrame, edges: DataFrame, weigh: Weigh, diagonal: DataFrame, h: int, *, tol: float = 1e-9, max_iter: int = 200
+    base: DataFrame, edges: DataFrame, weigh: Weigh, diagonal: DataFrame, h: int, *, tol: float = 1e-9, max_iter: int = 1000
 ) -> DataFrame:
     """Reconciled bottom forecasts ``bottom_id, k1..kh`` by preconditioned conjugate gradients.
 
     Starts from the base forecasts of the bottom level. ``diagonal`` (``bottom_id, m``) is the
     diagonal of the system, or near it. Step lengths are one number per horizon step. The state
-    is checkpointed in every iteration.
+    is checkpointed in every iteration. Raises if the tolerance isn't reached in ``max_iter`` steps.
     """
     ks = _cols(h)
     own = edges.where(F.col("is_bottom")).select("bottom_id", "node_id").join(base, "node_id").select("bottom_id", *ks)
@@ -98,6 +99,9 @@ def solve_bottom(
             *[(new_r[c] / F.col("m") + float(b) * F.col(f"p_{c}")).alias(f"p_{c}") for c, b in zip(ks, beta, strict=True)],
         )
         rz = rz_next
+    else:
+        if not np.all(rz <= limit):
+            raise RuntimeError(f"reconciliation hasn't converged after {max_iter} iterations")
     return settle(state.select("bottom_id", *ks))
 
 
@@ -134,28 +138,38 @@ def _partial_matrix(rows: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], s
 
 
 def standardised_residuals(base: DataFrame) -> DataFrame:
-    """``node_id, x array(T), d``: centred residuals over their standard deviation, and the variance."""
+    """``node_id, x array(T), d``: centred residuals over their standard deviation, and the variance.
+
+    Days before a series began are NaN and count as no residual. A node without variance gets zeros.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             res = np.array(pdf["actual"].tolist()) - np.array(pdf["fitted"].tolist())
             res = res.reshape(len(pdf), -1)
-            res = res - res.mean(axis=1, keepdims=True)
-            var = np.maximum((res**2).mean(axis=1), 1e-8)
-            x = res / np.sqrt(var)[:, None]
+            known = np.isfinite(res)
+            days = np.maximum(known.sum(axis=1, keepdims=True), 1)
+            res = np.where(known, res, 0.0)
+            res = np.where(known, res - res.sum(axis=1, keepdims=True) / days, 0.0)
+            raw = (res**2).sum(axis=1) / days[:, 0]
+            var = np.maximum(raw, VAR_FLOOR)
+            x = np.where(raw[:, None] > VAR_FLOOR, res / np.sqrt(var)[:, None], 0.0)
             yield pd.DataFrame({"node_id": pdf["node_id"], "x": [list(map(float, r)) for r in x], "d": var})
 
     return base.select("node_id", "actual", "fitted").mapInPandas(run, "node_id string, x array<double>, d double")
 
 
-def shrinkage_intensity(gram: np.ndarray, n_nodes: int, fourth: float) -> float:
+def shrinkage_intensity(gram: np.ndarray, trace: float, fourth: float) -> float:
     """Share of the diagonal target from the (days x days) Gram matrix of standardised residuals.
 
+    ``trace`` (squared correlations of nodes with themselves) and ``fourth`` take the diagonal out again;
+    a constant node adds nothing to either.
+
     Uses that sums over all pairs of series equal sums over all pairs of days.
     """
     days = len(gram)
     squares = float((gram**2).sum()) / days**2
-    off = squares - n_nodes
+    off = squares - trace
     spread = float((np.diag(gram) ** 2).sum()) - days * squares - fourth
     if off <= 0:
         return 1.0
@@ -167,9 +181,11 @@ def shrunk_weights(residuals: DataFrame, h: int) -> tuple[Weigh, float]:
     ks = _cols(h)
     days = len(residuals.select("x").first()[0])
     gram = _partial_matrix(residuals, lambda pdf: (lambda x: x.T @ x)(np.array(pdf["x"].tolist())), days)
-    quartic = F.aggregate("x", F.lit(0.0), lambda a, v: a + (v * v - 1) * (v * v - 1))
-    n_nodes, fourth = residuals.agg(F.count("*"), F.sum(quartic)).first()
-    lam = max(shrinkage_intensity(gram, n_nodes, fourth), 1e-4)
+    # a node's correlation with itself: 1 with all days, less with missing ones, 0 without variance
+    own = residuals.withColumn("_r", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v) / days)
+    quartic = F.aggregate("x", F.lit(0.0), lambda a, v: a + (v * v - F.col("_r")) * (v * v - F.col("_r")))
+    trace, fourth = own.agg(F.sum(F.col("_r") * F.col("_r")), F.sum(quartic)).first()
+    lam = max(shrinkage_intensity(gram, trace, fourth), 1e-4)
     if lam >= 1.0:
         return diagonal_weights(residuals.select("node_id", F.col("d").alias("w")), h), 1.0
     inner = np.linalg.inv(gram + lam * days / (1 - lam) * np.eye(days))
@@ -213,9 +229,9 @@ def recon_mintrace(base: DataFrame, edges: DataFrame, h: int, method: str) -> Da
         size = F.max(F.lit(1.0)) if method == "ols" else F.count("*").cast("double")
         weights = edges.groupBy("node_id").agg(size.alias("w"))
     elif method == "wls_var":
-        gap = F.zip_with("actual", "fitted", lambda a, f: (a - f) * (a - f))
-        var = F.aggregate(gap, F.lit(0.0), lambda a, v: a + v) / F.size("actual")
-        weights = base.select("node_id", F.greatest(var, F.lit(1e-8)).alias("w"))
+        gap = F.filter(F.zip_with("actual", "fitted", lambda a, f: (a - f) * (a - f)), lambda v: ~F.isnan(v))
+        var = F.aggregate(gap, F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size(gap), F.lit(1))
+        weights = base.select("node_id", F.greatest(var, F.lit(VAR_FLOOR)).alias("w"))
     elif method == "mint_shrink":
         residuals = settle(standardised_residuals(base))
         weigh, _ = shrunk_weights(residuals, h)
@@ -236,7 +252,8 @@ def recon_erm(base: DataFrame, edges: DataFrame, h: int, lam: float = 0.01, *, a
     plain bottom-up.
     """
     ks = _cols(h)
-    rows = settle(base.join(_wide(base, h), "node_id"))
+    known = lambda c: F.transform(c, lambda v: F.nanvl(v, F.lit(0.0))).alias(c)  # noqa: E731  no sale before a series began
+    rows = settle(base.select("node_id", known("fitted"), known("actual")).join(_wide(base, h), "node_id"))
     days = len(rows.select("fitted").first()[0])
     kernel = _partial_matrix(rows, lambda pdf: (lambda x: x.T @ x)(np.array(pdf["fitted"].tolist())), days)
     ridge = lam * max(float(np.trace(kernel)) / days, TINY)

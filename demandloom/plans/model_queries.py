@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from demandloom.functions.expr import rounded
+from demandloom.functions.expr import ratio, rounded
 from demandloom.models import hierarchical as hm
 from demandloom.models import panel_models as pm
 from demandloom.models import pretrained as pt
@@ -163,9 +163,11 @@ def _profile(d: Data):
 
 @query("fc_count_glm")
 def _count_glm(d: Data):
-    features = ft.feat_minimal(d.panel.join(F.broadcast(d.calendar), "ds"), states=REGIONS).select("unique_id", "y", "dayofweek", F.round("price_norm", 2).alias("price_norm"), "snap")
+    features = ft.feat_minimal(d.panel.join(F.broadcast(d.calendar), "ds"), states=REGIONS).select("unique_id", "y", "dayofweek", "price_norm", "snap")
     routes = dm.demand_route(dm.intermittency_profile(d.panel), d.statics, "dept_id")
-    future = ft.feat_snap(ft.feat_date(pm.future_exog(d.panel, _future_calendar(d), H)), REGIONS).withColumn("price_norm", F.lit(1.0))
+    future = ft.feat_snap(ft.feat_date(pm.future_exog(d.panel, _future_calendar(d), H)), REGIONS)
+    usual = d.panel.groupBy("unique_id").agg(F.avg("sell_price").alias("usual"))
+    future = future.join(usual, "unique_id").withColumn("price_norm", ratio(F.col("sell_price"), F.col("usual")))
     return rounded(pm.fc_count_glm(features, routes, future.select("unique_id", "ds", "dayofweek", "price_norm", "snap")))
 
 

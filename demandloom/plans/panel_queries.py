@@ -753,34 +753,34 @@ def _by_id(d: Data):
     return ok.unionByName(dm.request_rejects_by_id(requests, d.small), allowMissingColumns=True)
 
 
-_SHORT = "SELECT unique_id FROM facts GROUP BY unique_id HAVING count(*) < 75"
+_SHORT = "SELECT unique_id FROM facts GROUP BY unique_id HAVING count(*) < 55"
 
 
 @query(
     "score_requests_history",
     sql(
         f"""SELECT unique_id, lo + k::INTEGER AS ds, y_hat, store_id FROM (SELECT unique_id, store_id, max(ds) AS lo, arg_max(y, ds) AS y_hat FROM facts
-        WHERE unique_id NOT IN ({_SHORT}) GROUP BY ALL), range(1, 8) t(k)""",
+        WHERE unique_id NOT IN ({_SHORT}) GROUP BY ALL), range(1, 29) t(k)""",
         "facts",
     ),
 )
 def _by_history(d: Data):
     history = d.facts.select("unique_id", "ds", "y")
-    out = dm.score_requests_history(history, d.statics, 7, min_rows=75)
+    out = dm.score_requests_history(history, d.statics, 28, min_rows=55)
     return out.select("unique_id", "ds", "y_hat", "store_id")
 
 
 @query(
     "validate_requests",
     sql(
-        """SELECT unique_id, n_rows, concat_ws(',', CASE WHEN lo < 0 THEN 'negative_y' END, CASE WHEN n_rows < 75 THEN 'short_history' END, CASE WHEN state_id <> 'ASIA' THEN 'unknown_id' END) AS reasons
-        FROM (SELECT unique_id, state_id, count(*) AS n_rows, min(y - 1.5) AS lo FROM facts GROUP BY ALL) WHERE lo < 0 OR n_rows < 75 OR state_id <> 'ASIA'""",
+        """SELECT unique_id, n_rows, concat_ws(',', CASE WHEN lo < 0 THEN 'negative_y' END, CASE WHEN n_rows < 55 THEN 'short_history' END, CASE WHEN state_id <> 'ASIA' THEN 'unknown_id' END) AS reasons
+        FROM (SELECT unique_id, state_id, count(*) AS n_rows, min(y - 1.5) AS lo FROM facts GROUP BY ALL) WHERE lo < 0 OR n_rows < 55 OR state_id <> 'ASIA'""",
         "facts",
     ),
 )
 def _validate(d: Data):
     history = d.facts.select("unique_id", "ds", (F.col("y") - 1.5).alias("y"))
-    return dm.validate_requests(history, d.statics.where(F.col("state_id") == "ASIA"), min_rows=75)
+    return dm.validate_requests(history, d.statics.where(F.col("state_id") == "ASIA"), min_rows=55)
 
 
 @query(

@@ -735,7 +735,7 @@ def _insights(d: Data):
         dg.insight_facts(
             m.wrmsse_for_models(inp.cv, inp.components, MODELS),
             dg.bias_variance(inp),
-            dg.bootstrap_pvalues(inp, n_iter=200),
+            dg.bootstrap_pvalues(inp),
             star,
             fva.fva_chain(inp, ["Naive", SN, "Ensemble"]),
             fva.fva_per_fold(inp, SN),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,25 +51,31 @@ def load_prices(spark: SparkSession, raw_dir: str) -> DataFrame:
     return read_csv(spark, f"{raw_dir}/sell_prices.csv", PRICE_SCHEMA)
 
 
-def load_sales_wide(spark: SparkSession, raw_dir: str) -> DataFrame:
+def load_sales_wide(spark: SparkSession, raw_dir: str, n_days: int | None = None) -> DataFrame:
     """Wide unit sales: id columns, ``unique_id`` and ``units``, the day columns as one array.
 
     The file has one column per day (about two thousand). As an array they stay one expression
     in every plan, where a column each would make the generated code explode. Reads the
-    evaluation file, or the validation file where that is absent.
+    evaluation file, or the validation file where that is absent. Cells may be quoted. With
+    ``n_days`` only the first days are kept.
     """
     try:
         lines = spark.read.text(f"{raw_dir}/sales_train_evaluation.csv")
     except AnalysisException:
         lines = spark.read.text(f"{raw_dir}/sales_train_validation.csv")
-    is_header = F.col("value").startswith(f"{SALES_IDS[0]},")
-    header = lines.where(is_header).first()[0].strip().split(",")
+    is_header = F.col("value").rlike(f'^"?{SALES_IDS[0]}"?,')
+    header = next(csv.reader([lines.where(is_header).first()[0].strip()]))
     days = header[len(SALES_IDS) :]
     if tuple(header[: len(SALES_IDS)]) != SALES_IDS or days != [f"d_{k + 1}" for k in range(len(days))]:
         raise ValueError("sales header has to be the id columns followed by d_1, d_2, ...")
-    cells = lines.where(~is_header).select(F.split("value", ",").alias("_c"))
+    kept = len(days) if n_days is None else min(n_days, len(days))
+    raw = F.regexp_extract_all("value", F.lit(r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'), F.lit(1))
+    bare = F.transform(raw, lambda c: F.when(c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    cells = lines.where(~is_header & (F.trim("value") != "")).select(
+        F.when(F.instr("value", '"') > 0, bare).otherwise(F.split("value", ",")).alias("_c")
+    )
     return cells.select(
         *[F.element_at("_c", k + 1).alias(c) for k, c in enumerate(SALES_IDS)],
         F.concat_ws("_", F.element_at("_c", 2), F.element_at("_c", 5)).alias("unique_id"),
-        F.transform(F.slice("_c", len(SALES_IDS) + 1, len(days)), lambda v: v.try_cast("float")).alias("units"),
+        F.transform(F.slice("_c", len(SALES_IDS) + 1, kept), lambda v: v.try_cast("float")).alias("units"),
     )

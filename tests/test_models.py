@@ -137,6 +137,36 @@ def test_shrunk_covariance_equals_dense_solution(small_hierarchy):
     assert np.allclose(_bottoms(rc.recon_mintrace(base, edges, 2, "mint_shrink")), _dense(s, w, y_hat), atol=1e-6)
 
 
+def test_constant_nodes_leave_the_shrinkage_alone(spark, small_hierarchy):
+    rng, actual = np.random.default_rng(5), small_hierarchy[3]
+    fitted = actual + rng.normal(0, 2, 40) + rng.normal(0, 1, (7, 40))  # errors in common
+    base = spark.createDataFrame([(str(i), [0.0, 0.0], fitted[i].tolist(), actual[i].tolist()) for i in range(7)], small_hierarchy[4].schema)
+    res = actual - fitted - (actual - fitted).mean(1, keepdims=True)
+    x = res / res.std(1, keepdims=True)
+    corr, off = x @ x.T / 40, ~np.eye(7, dtype=bool)
+    spread = sum(((x[i] * x[j] - corr[i, j]) ** 2).sum() for i in range(7) for j in range(7) if i != j)
+    dense = 40 / 39**3 * spread / (corr[off] ** 2).sum()
+    flat = spark.createDataFrame([(f"flat{i}", [1.0, 1.0], [2.0] * 40, [2.0] * 40) for i in range(10)], base.schema)
+    intensity = lambda b: rc.shrunk_weights(rc.settle(rc.standardised_residuals(b)), 2)[1]
+    assert 0 < dense < 1 and abs(intensity(base) - dense) < 1e-9 and abs(intensity(base.unionByName(flat)) - dense) < 1e-9
+
+
+def test_days_before_a_series_began_count_for_nothing(spark, small_hierarchy):
+    s, y_hat, fitted, actual, base, edges = small_hierarchy
+    longer = base.select("node_id", "y_hat", *[F.concat(F.array_repeat(F.lit(float("nan")), 9), c).alias(c) for c in ("fitted", "actual")])
+    for method in ("wls_var", "mint_shrink"):
+        assert np.isfinite(_bottoms(rc.recon_mintrace(longer, edges, 2, method))).all()
+    assert np.allclose(_bottoms(rc.recon_mintrace(longer, edges, 2, "wls_var")), _bottoms(rc.recon_mintrace(base, edges, 2, "wls_var")), atol=1e-6)
+    assert np.allclose(_bottoms(rc.recon_erm(longer, edges, 2)), actual[3:] @ np.linalg.solve(fitted.T @ fitted + 0.01 * np.trace(fitted.T @ fitted) / 49 * np.eye(40), fitted.T @ y_hat), atol=1e-6)
+
+
+def test_unfinished_reconciliation_is_an_error(small_hierarchy):
+    s, y_hat, fitted, actual, base, edges = small_hierarchy
+    weights = base.select("node_id", F.lit(1.0).alias("w"))
+    with pytest.raises(RuntimeError):
+        rc.solve_bottom(rc._wide(base, 2), edges, rc.diagonal_weights(weights, 2), rc.system_diagonal(edges, weights), 2, max_iter=1)
+
+
 def test_erm_dual_equals_primal(small_hierarchy):
     s, y_hat, fitted, actual, base, edges = small_hierarchy
     k = fitted.T @ fitted

@@ -80,6 +80,23 @@ def test_build_long_from_csv(spark, raw_dir):
     assert sorted({r["ds"] for r in trimmed}) == [_day(3), _day(4), _day(5)] and len(trimmed) == 6
 
 
+def test_quoted_sales_and_first_days(spark, raw_dir):
+    path = f"{raw_dir}/sales_train_evaluation.csv"
+    head = "id,item_id,dept_id,cat_id,store_id,state_id,d_1,d_2,d_3"
+    with open(path, "w") as f:
+        f.write(head + '\n"a, ""b""","F,1",F_1,F,CA_1,CA,1,"2",3\nx,F_2,F_1,F,CA_1,CA,,5,6\n')
+    got = {r["id"]: r for r in rows(retail.load_sales_wide(spark, raw_dir, n_days=2))}
+    assert got['a, "b"']["unique_id"] == "F,1_CA_1" and got['a, "b"']["units"] == [1.0, 2.0]
+    assert got["x"]["units"] == [None, 5.0] and len(retail.load_sales_wide(spark, raw_dir).first()["units"]) == 3
+
+
+def test_price_ranks_share_ties_and_skip_missing_prices(spark):
+    prices = [("a", 1.0), ("b", 2.0), ("c", 2.0), ("d", None), ("e", 5.0)]
+    table = spark.createDataFrame([(u, "S", _day(0), p) for u, p in prices], "unique_id string, store_id string, ds date, sell_price double")
+    got = {r["unique_id"]: r["price_rank_in_store"] for r in rows(ft.feat_price_stats(table))}
+    assert got == {"a": 1.0, "b": 2.5, "c": 2.5, "d": None, "e": 4.0}
+
+
 def test_calendar_with_a_gap_is_refused(spark, tmp_path):
     (tmp_path / "calendar.csv").write_text("date,wm_yr_wk\n2020-01-01,1\n2020-01-03,1\n")
     with pytest.raises(ValueError):
