@@ -127,14 +127,14 @@ def _partial_matrix(rows: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], s
                 part = fn(pdf)
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"t": np.arange(len(total)), "v": [list(map(float, r)) for r in total]})
+            yield pd.DataFrame({"t": np.arange(len(total)), "v": [np.asarray(r, dtype=float).tobytes() for r in total]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"t": [int(pdf["t"].iloc[0])], "v": [list(np.sum(np.array(pdf["v"].tolist()), axis=0))]})
+        return pd.DataFrame({"t": [int(pdf["t"].iloc[0])], "v": [np.sum([np.frombuffer(v) for v in pdf["v"]], axis=0).tobytes()]})
 
-    parts = rows.mapInPandas(partial, "t int, v array<double>")
-    merged = parts.groupBy("t").applyInPandas(merge, "t int, v array<double>").orderBy("t").collect()
-    return np.array([r["v"] for r in merged]).reshape(len(merged), side)
+    parts = rows.mapInPandas(partial, "t int, v binary")
+    merged = parts.groupBy("t").applyInPandas(merge, "t int, v binary").orderBy("t").collect()
+    return np.array([np.frombuffer(r["v"]) for r in merged]).reshape(len(merged), side)
 
 
 def standardised_residuals(base: DataFrame) -> DataFrame:
