@@ -9,18 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from demandloom.session import fresh_path, settle
 
-__all__ = ["fresh_path", "ids_column", "rows_of", "saved", "settle", "table", "take_memory"]
+__all__ = ["fresh_path", "ids_column", "release", "rows_of", "saved", "settle", "table", "take_memory"]
 
 _MEMOS: dict[str, Callable[[], None]] = {}
 
 
 def take_memory(owner: str, clear: Callable[[], None]) -> None:
-    """Called at the start of a task: empties what other operators still remember in this Python worker."""
+    """Called at the start of a task: empties what other operators still remember in this Python worker.
+
+    Workers are reused, and Arrow's pool keeps what earlier tasks freed; it is given back as well.
+    """
     for name, forget in list(_MEMOS.items()):
         if name != owner:
             forget()
             del _MEMOS[name]
     _MEMOS[owner] = clear
+    release()
+
+
+def release() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +58,4 @@ def rows_of(batch, most: int):
     """An Arrow batch in slices of at most ``most`` rows, so that results of one slice stay small."""
     for at in range(0, batch.num_rows, most):
         yield batch.slice(at, most)
+    release()

@@ -29,8 +29,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import rows_of, settle
-from demandloom.llm.shingles import in_order, words_of
+from demandloom.llm.common import rows_of, settle, take_memory
+from demandloom.llm.shingles import forget, in_order, words_of
 
 SAMPLE_ROWS = 20_000
 PATTERNS = 256
@@ -69,6 +69,7 @@ def _counted(sample: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        take_memory("toxicity", lambda: None)
         sums = (defaultdict(float), defaultdict(float))
         for batch in batches:
             for text, label, weight in zip(*(c.to_pylist() for c in batch.columns)):
@@ -91,6 +92,7 @@ def weighed(sample: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        take_memory("shingles", forget)
         for batch in batches:
             family = [int(g.min().astype(np.int64)) if len(g := in_order(words_of(x), 3)) else 0 for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(family, pa.int64())], names=[*batch.schema.names, "family"])
@@ -150,6 +152,7 @@ def _vectors(sample: DataFrame, patterns: list[str]) -> DataFrame:
     def run(batches):
         import pandas as pd
 
+        take_memory("toxicity", lambda: None)
         known = Features(patterns)
         for pdf in batches:
             out = []
@@ -291,6 +294,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        take_memory("toxicity", lambda: None)
         known = Features(model.patterns)
         for batch in batches:
             for part in rows_of(batch, 1024):
@@ -318,6 +322,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        take_memory("toxicity", lambda: None)
         known = Features(model.patterns)
         for batch in batches:
             for part in rows_of(batch, 1024):

@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from demandloom.llm import bpe, chat, exact_dedup, licenses, ngram_join, packing, queries, reshard, shingles, topk, toxicity, warc
 
 RANKS = queries.ranks_content()
@@ -197,3 +198,36 @@ def test_bpe(docs):
     with pytest.raises(ValueError):
         decoder.feed(oracle.encode_ordinary("😀")[:1])
         decoder.close()
+
+
+def test_pipeline(spark, docs, tmp_path):
+    rng = random.Random(9)
+    toxic = [(1000 + i, prose(rng, 60) + " you pathetic moron vekuta vekuso", "x", 1) for i in range(80)]
+    clean = [(2000 + i, prose(rng, 60), "x", 1) for i in range(160)]
+    table = docs.filter("doc_id IS NOT NULL").unionByName(spark.createDataFrame(toxic + clean, SCHEMA))
+    marks = spark.createDataFrame([(r[0], int(r[0] < 2000)) for r in toxic + clean], "doc_id long, toxic int")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    # the classifier's own decisions, then everything after it by brute force
+    bad = {r.doc_id for r in toxicity.score_documents(table, marks).filter("predicted = 1").collect()}
+    judged = {i for i in bad if i >= 1000}  # of those with labels; 240 rows teach chance patterns that a text of 9000 random words shows too
+    assert judged <= {r[0] for r in toxic} and len(judged) >= 0.97 * len(toxic)
+    fold = str.maketrans(exact_dedup._UPPER, exact_dedup._LOWER)
+    single = {}
+    for r in sorted((r for r in table.collect() if r.doc_id not in bad), key=lambda r: r.doc_id):
+        single[(r.text or "").translate(fold)] = (r.doc_id, r.text or "")
+    rest = sorted(single.values())
+    sets = [shingles.shingle_set(x) for _, x in rest]
+    group = list(range(len(rest)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x) and len(sets[j]) and len(np.intersect1d(x, sets[j])) >= 0.8 * len(np.union1d(x, sets[j])):
+                group = [group[i] if g == group[j] else g for g in group]
+    last = {g: row for g, row in zip(group, rest)}
+    tokens = Tokenizer.from_str(queries.words_definition())
+    want = collections.Counter()
+    for doc_id, text in last.values():
+        ids = np.array([*tokens.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want.update((doc_id, s // 4096, zlib.crc32(ids[s : s + 4096].tobytes())) for s in range(0, len(ids), 4096))
+    assert len(last) < len(rest) < table.count() - len(bad)
+    assert collections.Counter((r.doc_id, r.piece, zlib.crc32(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
