@@ -9,6 +9,9 @@ from __future__ import annotations
 import numpy as np
 
 _GRID = np.linspace(0.02, 0.98, 33)
+_EDGE = 1e-4  # alpha and gamma are at least that far inside their open bounds
+_STARTS = 4  # local minima of the grid that are refined, per error type
+_GAIN, _FINE = 1e-6, 1e-4  # a window is done when it is this small and gains no more than that
 _SEASONAL_TEST = 1.645  # one-sided 5 % normal quantile of the autocorrelation test
 
 
@@ -98,8 +101,11 @@ def theta(y: np.ndarray, h: int, season: int = 7) -> tuple[np.ndarray, np.ndarra
 
 
 def _seasonal_pass(y: np.ndarray, season: int, alpha: np.ndarray, gamma: np.ndarray, level0: float, season0: np.ndarray):
-    """Level + additive season recursion for all (alpha, gamma): errors for both error types."""
-    k = len(alpha)
+    """Level + additive season recursion for all (alpha, gamma): errors for both error types.
+
+    The relative errors are those of positive data; they stay zero for other data.
+    """
+    k, positive = len(alpha), bool(np.all(y > 0))
     level = np.full(k, level0)
     states = np.repeat(season0[:, None], k, axis=1)
     additive, relative, log_mean = np.zeros(k), np.zeros(k), np.zeros(k)
@@ -111,19 +117,81 @@ def _seasonal_pass(y: np.ndarray, season: int, alpha: np.ndarray, gamma: np.ndar
         if fitted is not None:
             fitted[t] = mean
         additive += gap * gap
-        size = np.maximum(np.abs(mean), 1e-8)
-        relative += (gap / size) ** 2
-        log_mean += np.log(size)
+        if positive:
+            size = np.maximum(np.abs(mean), 1e-8)
+            relative += (gap / size) ** 2
+            log_mean += np.log(size)
         level = level + alpha * gap
         states[p] = states[p] + gamma * gap
     return additive, relative, log_mean, level, states, fitted
 
 
+def _region(a: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, gamma) of points of the unit square: gamma is the share ``s`` of what alpha leaves of 1."""
+    alpha = np.clip(a, _EDGE, 1 - _EDGE)
+    return alpha, np.maximum(np.clip(s, 0, 1) * (1 - alpha), _EDGE)
+
+
+def _ets_scores(y: np.ndarray, season: int, alpha: np.ndarray, gamma: np.ndarray, level0: float, season0: np.ndarray) -> list[np.ndarray]:
+    """n log of the likelihood's variance per point: additive errors, and relative ones for positive data."""
+    n = len(y)
+    add, rel, log_mean, *_ = _seasonal_pass(y, season, alpha, gamma, level0, season0)
+    scores = [n * np.log(np.maximum(add, 1e-12) / n)]
+    if np.all(y > 0):
+        scores.append(n * np.log(np.maximum(rel, 1e-12) / n) + 2 * log_mean)
+    return scores
+
+
+def _low_points(score: np.ndarray) -> np.ndarray:
+    """Flat positions of the best local minima of a grid, best first."""
+    padded = np.pad(score, 1, constant_values=np.inf)
+    rows, cols = score.shape
+    around = [padded[1 + i : 1 + i + rows, 1 + j : 1 + j + cols] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    low = np.flatnonzero((score <= np.min(around, axis=0)).ravel())
+    return low[np.argsort(score.ravel()[low], kind="stable")][:_STARTS]
+
+
+def _ets_search(y: np.ndarray, season: int, level0: float, season0: np.ndarray) -> tuple[float, float]:
+    """Best (alpha, gamma) of the admissible region alpha, gamma > 0, alpha + gamma <= 1.
+
+    A grid over the whole region, then windows around its local minima of each error type. A window whose best
+    point is at its edge moves there; else it shrinks, until that no longer improves the criterion.
+    """
+    axes = np.linspace(0, 1, 21), np.linspace(0, 1, 17)
+    a, s = (g.ravel() for g in np.meshgrid(*axes, indexing="ij"))
+    found = []  # error type, criterion, place in the unit square, half width of the window
+    for kind, score in enumerate(_ets_scores(y, season, *_region(a, s), level0, season0)):
+        for at in _low_points(score.reshape(21, 17)):
+            found.append([kind, float(score[at]), a[at], s[at], 1 / 20, 1 / 16])
+    da, ds = (g.ravel() for g in np.meshgrid(np.linspace(-1, 1, 9), np.linspace(-1, 1, 9), indexing="ij"))
+    active = list(found)
+    while active:
+        a = np.clip(np.concatenate([f[2] + f[4] * da for f in active]), 0, 1)
+        s = np.clip(np.concatenate([f[3] + f[5] * ds for f in active]), 0, 1)
+        scores = _ets_scores(y, season, *_region(a, s), level0, season0)
+        going = []
+        for k, f in enumerate(active):
+            score = scores[f[0]][81 * k : 81 * (k + 1)]
+            at = int(np.argmin(score))
+            gain = f[1] - float(score[at])
+            inside = max(abs(da[at]), abs(ds[at])) < 1
+            if gain > 0:
+                f[1:4] = float(score[at]), a[81 * k + at], s[81 * k + at]
+            if gain <= 0 or inside:
+                f[4:6] = f[4] / 4, f[5] / 4
+            if gain > _GAIN or max(f[4:6]) > _FINE:
+                going.append(f)
+        active = going
+    best = min(found, key=lambda f: f[1])
+    alpha, gamma = _region(np.array([best[2]]), np.array([best[3]]))
+    return float(alpha[0]), float(gamma[0])
+
+
 def ets(y: np.ndarray, h: int, season: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Exponential smoothing, no trend, additive season; the error type is chosen by AICc.
 
-    Additive and multiplicative errors share the state recursion, so one pass over the
-    parameter grid serves both likelihoods. Data with zeros allow additive errors only.
+    Additive and multiplicative errors share the state recursion and have as many parameters, so one pass over the
+    parameter grid serves both likelihoods and these alone decide. Data with zeros allow additive errors only.
     """
     y = np.asarray(y, dtype=float)
     n = len(y)
@@ -131,24 +199,7 @@ def ets(y: np.ndarray, h: int, season: int = 7) -> tuple[np.ndarray, np.ndarray]
         return seasonal_naive(y, h, season)
     level0 = float(y[: 2 * season].mean())
     season0 = (y[:season] + y[season : 2 * season]) / 2 - level0
-    alpha, gamma = (g.ravel() for g in np.meshgrid(np.linspace(0.02, 0.9, 12), np.linspace(0.001, 0.5, 8)))
-    params, small = season + 3, n > season + 4
-    penalty = 2 * params + (2 * params * (params + 1) / (n - params - 1) if small else 0.0)
-    best = None
-    for _ in range(2):
-        keep = alpha + gamma <= 1
-        alpha, gamma = alpha[keep], gamma[keep]
-        add, rel, log_mean, *_ = _seasonal_pass(y, season, alpha, gamma, level0, season0)
-        scores = [n * np.log(np.maximum(add, 1e-12) / n)]
-        if np.all(y > 0):
-            scores.append(n * np.log(np.maximum(rel, 1e-12) / n) + 2 * log_mean)
-        for score in scores:
-            at = int(np.argmin(score))
-            if best is None or score[at] + penalty < best[0]:
-                best = (float(score[at] + penalty), float(alpha[at]), float(gamma[at]))
-        da, dg = np.meshgrid(np.linspace(-0.06, 0.06, 9), np.linspace(-0.05, 0.05, 7))
-        alpha = np.clip(best[1] + da.ravel(), 0.001, 0.999)
-        gamma = np.clip(best[2] + dg.ravel(), 0.0001, 0.999)
-    *_, level, states, fitted = _seasonal_pass(y, season, np.array([best[1]]), np.array([best[2]]), level0, season0)
+    alpha, gamma = _ets_search(y, season, level0, season0)
+    *_, level, states, fitted = _seasonal_pass(y, season, np.array([alpha]), np.array([gamma]), level0, season0)
     phases = (n + np.arange(h)) % season
     return level[0] + states[phases, 0], fitted[:, 0]

@@ -45,6 +45,20 @@ def test_series_edge_cases():
     assert (sm.seasonal_naive(np.array([1.0, 3.0]), 2)[0] == 2).all()
 
 
+def test_ets_searches_the_whole_admissible_region():
+    """Near a random walk alpha is close to 1, with a fast-moving season gamma is."""
+    rng = np.random.default_rng(11)
+    walk = np.cumsum(rng.normal(0, 1, 300))
+    season = np.cumsum(rng.normal(0, 1, (43, 7)), axis=0).ravel()[:300]
+    alpha, gamma = (g.ravel() for g in np.meshgrid(np.linspace(0.0005, 0.9995, 80), np.linspace(0.0005, 0.9995, 80)))
+    alpha, gamma = alpha[alpha + gamma <= 1], gamma[alpha + gamma <= 1]
+    for y in (walk, season):
+        level0 = y[:14].mean()
+        sse, *_ = sm._seasonal_pass(y, 7, alpha, gamma, level0, (y[:7] + y[7:14]) / 2 - level0)
+        assert max(alpha[sse.argmin()], gamma[sse.argmin()]) > 0.6
+        assert ((y - sm.ets(y, 7)[1]) ** 2).sum() <= sse.min() * (1 + 1e-6)
+
+
 def test_pretrained_hook_sees_only_history(toy, points):
     got = pt.cv_pretrained(toy, pt.seasonal_naive_loader(), H, points).toPandas()
     ref = fd.baseline_cv(toy, H, 2).toPandas()
