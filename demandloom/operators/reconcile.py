@@ -20,6 +20,7 @@ from demandloom.session import settle
 
 TINY = 1e-12
 VAR_FLOOR = 1e-8  # least variance of a node's residuals
+L1_BLOCK = 16  # bottom series per task of the L1 regression
 
 
 def bottom_up(forecast: DataFrame, edges: DataFrame, model: str, out: str = "BottomUp") -> DataFrame:
@@ -243,11 +244,12 @@ def recon_mintrace(base: DataFrame, edges: DataFrame, h: int, method: str) -> Da
     return solve_bottom(settle(_wide(base, h)), edges, diagonal_weights(weights, h), system_diagonal(edges, weights), h)
 
 
-def recon_erm(base: DataFrame, edges: DataFrame, h: int, lam: float = 0.01, *, around_bottom_up: bool = False) -> DataFrame:
+def recon_erm(base: DataFrame, edges: DataFrame, h: int, lam: float | None = 0.01, *, around_bottom_up: bool = False) -> DataFrame:
     """Empirical-risk reconciliation: bottom actuals regressed on all fitted node values.
 
     The ridge problem is solved in its dual form, with a (days x days) kernel in place of a
-    (nodes x nodes) matrix: b = B' (K + lam I)^-1 Y y_hat. With ``around_bottom_up`` the
+    (nodes x nodes) matrix: b = B' (K + lam I)^-1 Y y_hat. Without a penalty (``None``) the pseudo-inverse
+    of the kernel takes its place, which gives the least-squares weights of smallest norm. With ``around_bottom_up`` the
     regression explains what the bottom forecasts leave over, so a strong penalty falls back to
     plain bottom-up.
     """
@@ -256,9 +258,12 @@ def recon_erm(base: DataFrame, edges: DataFrame, h: int, lam: float = 0.01, *, a
     rows = settle(base.select("node_id", known("fitted"), known("actual")).join(_wide(base, h), "node_id"))
     days = len(rows.select("fitted").first()[0])
     kernel = _partial_matrix(rows, lambda pdf: (lambda x: x.T @ x)(np.array(pdf["fitted"].tolist())), days)
-    ridge = lam * max(float(np.trace(kernel)) / days, TINY)
     ahead = _partial_matrix(rows, lambda pdf: np.array(pdf["fitted"].tolist()).T @ pdf[ks].to_numpy(), h)
-    coef = np.linalg.solve(kernel + ridge * np.eye(days), ahead)
+    if lam is None:
+        coef = np.linalg.pinv(kernel, rcond=days * np.finfo(float).eps, hermitian=True) @ ahead
+    else:
+        ridge = lam * max(float(np.trace(kernel)) / days, TINY)
+        coef = np.linalg.solve(kernel + ridge * np.eye(days), ahead)
     bottom = edges.where(F.col("is_bottom")).select("bottom_id", "node_id").join(rows, "node_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,13 +278,96 @@ def recon_erm(base: DataFrame, edges: DataFrame, h: int, lam: float = 0.01, *, a
     return bottom.mapInPandas(run, "bottom_id string, " + ", ".join(f"{k} double" for k in ks))
 
 
+class Lasso:
+    """Minimises |r - X'p|^2 / 2T + lam |p|_1 for many r over one X (nodes x days), by feature-sign search.
+
+    Signs of the nonzero weights are guessed, the weights solved for and, where a sign was wrong, taken back to the best
+    point on the way; so the optimum is exact, however alike the rows of X are. Rows of the Gram matrix are kept as used.
+    """
+
+    def __init__(self, x: np.ndarray, lam: float):
+        size = np.sqrt((x**2).mean(axis=1))
+        some = size > TINY * size.max(initial=0.0)  # the others are zero but for rounding
+        self.size = np.where(some, size, 1.0)
+        self.x, self.lam, self.gram = np.where(some[:, None], x, 0.0) / self.size[:, None], lam / self.size, {}
+
+    def _row(self, j: int) -> np.ndarray:
+        if j not in self.gram:
+            self.gram[j] = self.x @ self.x[j] / self.x.shape[1]
+        return self.gram[j]
+
+    def solve(self, r: np.ndarray) -> np.ndarray:
+        n, lam = len(self.x), self.lam
+        c = self.x @ r / self.x.shape[1]
+        p, signs, tol = np.zeros(n), np.zeros(n), 1e-6 * lam + 1e-11 * float(np.abs(c).max(initial=0.0))
+        for _ in range(20 * n + 100):
+            on = np.flatnonzero(signs)
+            slope = (p[on] @ np.array([self._row(j) for j in on]) if len(on) else np.zeros(n)) - c
+            if np.all(np.abs(slope[on] + lam[on] * signs[on]) <= tol[on]):
+                free = np.where(signs == 0, np.abs(slope) - lam - tol, -1.0)
+                j = int(np.argmax(free))
+                if free[j] <= 0:
+                    return p / self.size
+                signs[j] = -np.sign(slope[j])
+                on = np.flatnonzero(signs)
+            a = np.array([self._row(j)[on] for j in on])
+            gap = c[on] - lam[on] * signs[on] - a @ p[on]
+            move = np.linalg.lstsq(a, gap, rcond=1e-12)[0]
+            rest = gap - a @ move
+            flat = bool(np.any(np.abs(rest) > tol[on]))  # dependent rows: along ``rest`` only the penalty changes
+            move = np.where(np.abs(rest) > 1e-9 * np.abs(rest).max(), rest, 0.0) if flat else move
+            with np.errstate(divide="ignore", invalid="ignore"):
+                turns = -p[on] / move
+            turns = np.unique(turns[(turns > 0) & (turns < (np.inf if flat else 1.0))])
+            turns = turns[:1] if flat else np.append(turns, 1.0)
+            if not len(turns):
+                break
+            tries = p[on] + turns[:, None] * move
+            for k, at in enumerate(turns if flat else turns[:-1]):
+                tries[k, np.isclose(p[on] + at * move, 0.0, atol=1e-14 * max(1.0, float(np.abs(p[on]).max())))] = 0.0
+            step = tries - p[on]
+            cost = 0.5 * np.einsum("ki,ij,kj->k", step, a, step) + step @ (a @ p[on] - c[on]) + np.abs(tries) @ lam[on]
+            p[on] = tries[int(np.argmin(cost))]
+            signs = np.sign(p)
+        raise RuntimeError("the L1 regression of ERM_reg_bu hasn't converged")
+
+
+def recon_erm_l1(base: DataFrame, edges: DataFrame, h: int, lam: float = 0.01) -> DataFrame:
+    """Empirical-risk reconciliation around bottom-up with an L1 penalty.
+
+    What the bottom forecast of a series leaves over is regressed on the fitted values of all nodes; few weights are
+    nonzero. The loss is that of the series itself, so series are solved apart, in blocks; the task of a block
+    holds the fitted values of all nodes (nodes x days).
+    """
+    ks = _cols(h)
+    known = lambda c: F.transform(c, lambda v: F.nanvl(v, F.lit(0.0))).alias(c)  # noqa: E731  no sale before a series began
+    rows = settle(base.select("node_id", known("fitted"), known("actual")).join(_wide(base, h), "node_id"))
+    bottom = edges.where(F.col("is_bottom")).select("bottom_id", "node_id").join(rows, "node_id")
+    blocks = -(-bottom.count() // L1_BLOCK)
+    bottom = bottom.withColumn("block", F.pmod(F.hash("bottom_id"), F.lit(max(blocks, 1))))
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("_block")
+    nodes = rows.select(every_block, *[F.col(c).alias(f"_{c}") for c in ("node_id", "fitted", *ks)])
+    schema = "bottom_id string, " + ", ".join(f"{k} double" for k in ks)
+
+    def run(own: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return pd.DataFrame(columns=["bottom_id", *ks])
+        every = every.sort_values("_node_id")
+        lasso, ahead = Lasso(np.array(every["_fitted"].tolist()), lam), every[[f"_{k}" for k in ks]].to_numpy()
+        left = np.array(own["actual"].tolist()) - np.array(own["fitted"].tolist())
+        out = own[ks].to_numpy() + np.array([lasso.solve(r) for r in left]) @ ahead
+        return pd.DataFrame(out, columns=ks).assign(bottom_id=own["bottom_id"].to_numpy())[["bottom_id", *ks]]
+
+    return bottom.groupBy("block").cogroup(nodes.groupBy("_block")).applyInPandas(run, schema)
+
+
 METHODS = {
     "MinT_OLS": lambda b, e, h: recon_mintrace(b, e, h, "ols"),
     "MinT_WLS_struct": lambda b, e, h: recon_mintrace(b, e, h, "wls_struct"),
     "MinT_WLS_var": lambda b, e, h: recon_mintrace(b, e, h, "wls_var"),
     "MinT_shrink": lambda b, e, h: recon_mintrace(b, e, h, "mint_shrink"),
-    "ERM_closed": lambda b, e, h: recon_erm(b, e, h),
-    "ERM_reg_bu": lambda b, e, h: recon_erm(b, e, h, around_bottom_up=True),
+    "ERM_closed": lambda b, e, h: recon_erm(b, e, h, None),
+    "ERM_reg_bu": recon_erm_l1,
     "BU": lambda b, e, h: e.where(F.col("is_bottom")).select("bottom_id", "node_id").join(_wide(b, h), "node_id").drop("node_id"),
 }
 

@@ -189,6 +189,38 @@ def test_erm_dual_equals_primal(small_hierarchy):
     assert np.allclose(_bottoms(rc.recon_erm(base, edges, 2)), primal, atol=1e-6)
 
 
+def test_erm_closed_has_no_penalty(small_hierarchy):
+    s, y_hat, fitted, actual, base, edges = small_hierarchy
+    dense = actual[3:] @ np.linalg.pinv(fitted) @ y_hat
+    assert np.allclose(_bottoms(rc.METHODS["ERM_closed"](base, edges, 2)), dense, atol=1e-6)
+
+
+def test_erm_reg_bu_is_an_l1_fit(small_hierarchy):
+    s, y_hat, fitted, actual, base, edges = small_hierarchy
+    want = []
+    for i in range(3, 7):  # coordinate descent
+        p, left = np.zeros(7), actual[i] - fitted[i]
+        for _ in range(5000):
+            for j in range(7):
+                part = fitted[j] @ (left - p @ fitted + p[j] * fitted[j]) / 40
+                p[j] = np.sign(part) * max(abs(part) - 0.01, 0) / (fitted[j] @ fitted[j] / 40)
+        want.append(y_hat[i] + p @ y_hat)
+    assert np.allclose(_bottoms(rc.METHODS["ERM_reg_bu"](base, edges, 2)), np.array(want), atol=1e-6)
+    strong = rc.recon_erm_l1(base, edges, 2, lam=1e6)
+    assert np.allclose(_bottoms(strong), y_hat[3:])
+
+
+def test_l1_fit_meets_its_conditions_with_repeated_rows():
+    rng = np.random.default_rng(2)
+    x = rng.normal(3, 1, (40, 200)) * rng.uniform(0.1, 100, (40, 1))
+    x = np.vstack([x, x[:10], x[:20] + x[20:], np.zeros((2, 200))])
+    r = rng.normal(0, 5, 200)
+    for lam in (0.01, 1.0, 50.0):
+        p = rc.Lasso(x, lam).solve(r)
+        slope = x @ (r - p @ x) / 200
+        assert np.all(np.abs(slope) <= lam * (1 + 1e-4)) and np.allclose(slope[p != 0], lam * np.sign(p[p != 0]), rtol=1e-3)
+
+
 def test_hierarchical_forecast_columns(toy):
     statics = toy.select("unique_id", "item_id", "dept_id", "cat_id", "store_id", "state_id").distinct()
     got = hm.hier_forecast(toy, statics, 3, ("BU", "MinT_OLS")).toPandas()
