@@ -318,11 +318,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     near = components(possible_links(classes, threshold))
     sizes = near.groupBy("component").agg(F.count("*").alias("size"))
     inside = settle(near.join(sizes, "component").join(classes.select(F.col("cls").alias("node"), "rep", "docs"), "node"))
-    # the sets of these classes only, from the text of one of their documents
+    # the sets of these classes only, from the text of one of their documents; a class whose documents all lack
+    # a doc_id has no rep and finds its text among the rows without one
     reps = inside.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text")
+    wanted = texts.join(reps, "doc_id", "left_semi").unionByName(texts.filter("doc_id IS NULL"))
+    facts_of = inside.select("component", "size", "docs", F.col("node").alias("cls"), "rep")
     sets = (
-        profiles(docs.select("doc_id", "text").join(reps, "doc_id", "left_semi"), with_sets=True)
-        .join(inside.select("component", "size", "docs", F.col("node").alias("cls"), F.col("rep").alias("doc_id")), ["cls", "doc_id"])
+        profiles(wanted, with_sets=True)
+        .join(facts_of, "cls")
+        .filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+        .drop("rep")
         .dropDuplicates(["cls"])
     )
     checked = settle(verified(sets, threshold))

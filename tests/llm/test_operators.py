@@ -131,6 +131,18 @@ def test_ngram_join(docs, empty):
     assert ngram_join.missed(0.8) < 1e-6 and ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_without_doc_id(spark):
+    """A text without doc_id links two others that aren't alike themselves."""
+    words = prose(random.Random(9), 200).split()
+    words = [f"{w}{k}" for k, w in enumerate(words)]
+    middle = words[:-11] + [f"end{k}" for k in range(11)]
+    last = [f"front{k}" for k in range(11)] + middle[11:]
+    texts = [(1, words), (None, middle), (None, middle), (3, last), (4, [f"other{k}" for k in range(50)]), (None, [f"alone{k}" for k in range(50)])]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.group_size, r.copies, r.links, r.doc_links) for r in ngram_join.near_duplicates(table).collect()))
+    assert got == [(0, 0, 1, 1, 0, 0), (0, 1, 4, 2, 2, 3), (0, 1, 4, 2, 2, 3), (1, 1, 4, 1, 1, 2), (3, 1, 4, 1, 1, 2), (4, 4, 1, 1, 0, 0)]
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(8)
     rows, labels = [], []
