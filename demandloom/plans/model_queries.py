@@ -23,6 +23,7 @@ from demandloom.plans.sql import R, sql
 SN = "SeasonalNaive"
 THETA = partial(sm.theta, season=7)
 ETS = partial(sm.ets, season=7)
+HIER_METHODS = ("BU", "MinT_OLS", "MinT_shrink")
 
 
 @query(
@@ -192,11 +193,11 @@ for _name, _method in (
 
 @query("hier_forecast")
 def _hier_forecast(d: Data):
-    return rounded(hm.hier_forecast(d.small, d.small_statics, H, ("BU", "MinT_OLS"), end=d.end), 4)
+    return rounded(hm.hier_forecast(d.small, d.small_statics, H, HIER_METHODS, end=d.end), 4)
 
 
 @query("cv_hier")
 def _cv_hier(d: Data):
-    return rounded(hm.cv_hier(d.small, d.small_statics, H, d.points, ("BU", "MinT_WLS_struct")), 4)
+    return rounded(hm.cv_hier(d.small, d.small_statics, H, d.points, (*HIER_METHODS, "MinT_WLS_struct")), 4)
 
 

@@ -227,3 +227,20 @@ def test_hierarchical_forecast_columns(toy):
     assert len(got) == 9 and np.isfinite(got[["BU", "MinT_OLS"]].to_numpy()).all()
     with pytest.raises(ValueError):
         hm.hier_forecast(toy, statics, 3, ("Unknown",))
+
+
+def test_hierarchy_queries_run_every_method(monkeypatch):
+    from demandloom.plans import model_queries as mq
+    from demandloom.plans import registry
+
+    class Inputs:
+        small = small_statics = end = points = None
+
+    asked = []
+    monkeypatch.setattr(registry, "Data", lambda *_: Inputs)
+    monkeypatch.setattr(mq, "rounded", lambda out, *_: out)
+    monkeypatch.setattr(mq.hm, "hier_forecast", lambda p, s, h, methods, **_: asked.append(methods))
+    monkeypatch.setattr(mq.hm, "cv_hier", lambda p, s, h, points, methods: asked.append(methods))
+    registry.QUERIES["hier_forecast"](None, "")
+    registry.QUERIES["cv_hier"](None, "")
+    assert len(asked) == 2 and all({"BU", "MinT_OLS", "MinT_shrink"} <= set(m) for m in asked)
