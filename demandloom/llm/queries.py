@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import bpe, chat, exact_dedup, licenses, ngram_join, packing, reshard, topk, toxicity, warc
+from demandloom.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    filter_audit,
+    licenses,
+    ngram_join,
+    packing,
+    quality,
+    reshard,
+    spelling,
+    topk,
+    toxicity,
+    warc,
+)
 from demandloom.llm.common import table
 
 WORDS_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -159,3 +173,55 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_license_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_filter_audit",
+    r"""
+    WITH t AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    f AS (
+        SELECT doc_id, part,
+            (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+            + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+            + 8 * regexp_matches(text, '[#$%&*|]')::INT
+            + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE)::INT AS mask FROM t),
+    l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+    c AS (
+        SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad
+        FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+        WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+    s AS (
+        SELECT filter_order, step::INT AS step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+            list_sum([1 << (ascii(filter_order[i]) - 65) FOR i IN range(1, step)]) AS earlier
+        FROM o, range(1, 6) AS r(step)),
+    r AS (
+        SELECT part, filter_order, step, bit,
+            coalesce(sum(n) FILTER (mask & (coalesce(earlier, 0)::INT | bit) = 0), 0) AS kept,
+            coalesce(sum(n) FILTER (mask & coalesce(earlier, 0)::INT = 0 AND mask & bit > 0), 0) AS removed,
+            coalesce(sum(n) FILTER (mask & coalesce(earlier, 0)::INT > 0 AND mask & bit > 0), 0) AS redundant,
+            coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+            coalesce(sum(good) FILTER (mask & coalesce(earlier, 0)::INT = 0 AND mask & bit > 0), 0) AS good_lost,
+            coalesce(sum(bad) FILTER (mask & coalesce(earlier, 0)::INT = 0 AND mask & bit > 0), 0) AS toxic_lost
+        FROM c, s GROUP BY part, filter_order, step, bit)
+    SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+        unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+        (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+    FROM r""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_spelling_groups")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_quality_classifier")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
