@@ -90,8 +90,8 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def described(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, x array<double>) of (doc_id, text), with ``extra`` columns."""
+def described(docs: DataFrame) -> DataFrame:
+    """(doc_id, x array<double>) of (doc_id, text): the only pass over texts."""
 
     def run(batches):
         import pyarrow as pa
@@ -99,16 +99,12 @@ def described(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         take_memory("quality", lambda: None)
         for batch in batches:
             for part in rows_of(batch, 1024):
-                texts = part.column(1).cast(pa.binary())
-                x = [statistics(t.as_py() or b"") for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(x, pa.list_(pa.float64())), *part.columns[2:]], names=["doc_id", "x", *extra]
-                )
+                x = [statistics(t.as_py() or b"") for t in part.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
         release()
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
-    kinds = "".join(f", `{c}` {t}" for c, t in given.dtypes[2:])
-    return given.mapInArrow(run, f"doc_id long, x array<double>{kinds}")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return given.mapInArrow(run, "doc_id long, x array<double>")
 
 
 # ---------------------------------------------------------------- model
@@ -231,17 +227,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on all rows of ``docs`` (doc_id, text) that have a ``quality`` label and aren't held out."""
+def fit(stats: DataFrame, labels: DataFrame) -> Model:
+    """Train on all rows of ``described`` documents that have a ``quality`` label and aren't held out."""
     usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(usable, "doc_id")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int")
-    rows = saved(described(marked, ("label",)).withColumn("fold", fold), "quality-rows")
+    rows = saved(stats.join(usable, "doc_id").withColumn("fold", fold), "quality-rows")
     seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2 or min(seen.values()) < 2:
         share = (seen.get(1, 0) + 0.5) / (sum(seen.values()) + 1)
@@ -265,24 +260,22 @@ def _sum(parts: list[Moments]) -> Moments:
     return Moments(sum(m.n for m in parts), sum(m.total for m in parts), sum(m.square for m in parts))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of whole texts."""
+def score(stats: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of ``described`` documents."""
 
     def run(batches):
         import pyarrow as pa
 
-        take_memory("quality", lambda: None)
         for batch in batches:
-            for part in rows_of(batch, 1024):
-                x = np.array([statistics(t.as_py() or b"") for t in part.column(1).cast(pa.binary())])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(x))], names=["doc_id", "score"])
-        release()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return stats.mapInArrow(run, "doc_id long, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 from ``GOOD_FROM``) of every row."""
-    return score(docs, fit(docs, labels)).select(
+    """doc_id, held_out, score and predicted (1 from ``GOOD_FROM``) of every row. Texts are read once and never shuffled."""
+    stats = saved(described(docs), "quality-statistics")
+    return score(stats, fit(stats, labels)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted")
     )
