@@ -117,6 +117,10 @@ def cell_pairs(side: np.ndarray, same: bool, most: int = 200_000):
 # ---------------------------------------------------------------- profiles
 
 
+def class_of(grams: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(grams, digest_size=8).digest(), "little", signed=True)
+
+
 def profiles(docs: DataFrame, with_sets: bool = False) -> DataFrame:
     """(doc_id, cls, n, sig): fingerprint of the shingle set, its size, one-byte MinHash values; optionally the set."""
     schema = "doc_id long, cls long, n int, sig binary" + (", grams binary" if with_sets else "")
@@ -131,7 +135,7 @@ def profiles(docs: DataFrame, with_sets: bool = False) -> DataFrame:
                 for text in part.column(1).to_pylist():
                     grams = shingle_set(text)
                     raw = grams.tobytes()
-                    cls = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+                    cls = class_of(raw)
                     sig = ((_MINHASH.minima(grams) >> np.uint64(20)) & np.uint64(255)).astype(np.uint8).tobytes()
                     rows.append((cls, len(grams), sig, raw))
                 cls, n, sig, raw = zip(*rows)
@@ -306,9 +310,9 @@ def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document of (doc_id, text): doc_id, cls, class_id, group_size, copies, links, doc_links.
+    """One row per document of (doc_id, text): doc_id, cls, group_key, class_id, group_size, copies, links, doc_links.
 
-    ``class_id``: smallest doc_id of the group; ``links``: other classes linked to the document's class;
+    ``group_key``: any number of the group; ``class_id``: smallest doc_id of the group; ``links``: other classes linked to the document's class;
     ``doc_links``: other documents linked to it, copies of its own class included.
     """
     base = settle(profiles(docs))
@@ -342,6 +346,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     totals = named.groupBy("group").agg(F.min("rep").alias("class_id"), F.sum("docs").alias("group_size"))
     facts = named.join(totals, "group").join(degrees, "cls", "left").select(
         "cls",
+        F.col("group").alias("group_key"),
         "class_id",
         "group_size",
         F.col("docs").alias("copies"),
@@ -350,26 +355,45 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     found = base.filter("n > 0").select("doc_id", "cls").join(facts, "cls")
     empty = base.filter("n = 0").select(
-        "doc_id", "cls", F.col("doc_id").alias("class_id"), *[F.lit(v).cast("long").alias(c) for c, v in (("group_size", 1), ("copies", 1), ("links", 0), ("doc_links", 0))]
+        "doc_id", "cls", F.col("cls").alias("group_key"), F.col("doc_id").alias("class_id"), *[F.lit(v).cast("long").alias(c) for c, v in (("group_size", 1), ("copies", 1), ("links", 0), ("doc_links", 0))]
     )
     return found.unionByName(empty)
 
 
+def with_class(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the class of each row's text as column ``name``."""
+    spot = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        take_memory("shingles", forget)
+        for batch in batches:
+            for part in rows_of(batch, 512):
+                cls = pa.array([class_of(shingle_set(t).tobytes()) for t in part.column(spot).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, cls], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(name)).schema)
+
+
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each group: that with the largest doc_id. Documents without words all stay.
+    """``docs`` with one row of each group: that with the largest doc_id. Documents without words all stay.
 
-    A doc_id names a document: rows that share one leave or stay together (of those that stay one is kept if they are
-    in one group). Rows without a doc_id stay.
+    Rows are decided one by one, also where they share a doc_id; of rows equal in doc_id and class one stays.
+    Rows without a doc_id stay.
     """
     marks = settle(near_duplicates(docs, threshold))
-    grouped = marks.filter("group_size > 1")
-    keepers = grouped.groupBy("class_id").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    ties = grouped.join(keepers.drop("n"), ["class_id", "doc_id"]).groupBy("class_id", "doc_id").agg(F.count("*").alias("ties"))
-    gone = settle(
-        grouped.select("class_id", "doc_id").join(keepers.select("class_id", "doc_id"), ["class_id", "doc_id"], "left_anti").select("doc_id").distinct()
-    )
-    several = ties.filter("ties > 1").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti")
-    once = stay.join(several, "doc_id", "left_anti")
-    again = stay.join(several, "doc_id", "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    grouped = marks.filter("group_size > 1").select("group_key", "doc_id", "cls")
+    keepers = settle(grouped.groupBy("group_key").agg(F.max(F.struct("doc_id", "cls")).alias("k")).select("k.*"))
+    gone = settle(grouped.select("doc_id", "cls").join(keepers, ["doc_id", "cls"], "left_anti").distinct())
+    shared = settle(marks.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    once = docs.join(shared, "doc_id", "left_anti").join(gone.select("doc_id"), "doc_id", "left_anti")
+    if shared.isEmpty():
+        return once.select(docs.columns)
+    several = with_class(docs.join(shared, "doc_id", "left_semi").select(docs.columns), "_near_class")
+    winners, losers = (x.select("doc_id", F.col("cls").alias("_near_class")) for x in (keepers, gone))
+    on = ["doc_id", "_near_class"]
+    stay = settle(several.join(losers, on, "left_anti").select(several.columns))
+    single = stay.join(winners, on, "left_semi").select(several.columns).dropDuplicates(on)
+    rest = stay.join(winners, on, "left_anti").select(several.columns)
+    return once.select(docs.columns).unionByName(single.unionByName(rest).select(docs.columns))

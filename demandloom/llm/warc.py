@@ -30,6 +30,7 @@ LEVEL = 3
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 VERSION = b"WARC/1.1"
+PIECE_BYTES = 1 << 14
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 DATE = "2026-01-01T00:00:00Z"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -94,7 +95,7 @@ def records_of(archive: bytes) -> Iterator[bytes]:
     """Decoded records of an archive, one frame at a time."""
     import zstandard
 
-    at, dictionary = 0, None
+    at, dictionary, view = 0, None, memoryview(archive)
     if len(archive) >= 8 and struct.unpack_from("<I", archive)[0] == DICTIONARY_MAGIC:
         size = struct.unpack_from("<I", archive, 4)[0]
         content = archive[8 : 8 + size]
@@ -113,12 +114,15 @@ def records_of(archive: bytes) -> Iterator[bytes]:
             continue
         if magic != FRAME_MAGIC:
             raise BadRecord(f"no frame at byte {at}")
-        decoder = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
-        data = decoder.decompress(memoryview(archive)[at:])
-        if not decoder.eof:
-            raise BadRecord("the last frame is cut off")
-        at = len(archive) - len(decoder.unused_data)
-        yield data
+        decoder, parts = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj(), []
+        while not decoder.eof:  # by pieces: what lies behind a frame is handed back, and would be for every record
+            piece = view[at : at + PIECE_BYTES]
+            if not len(piece):
+                raise BadRecord("the last frame is cut off")
+            parts.append(decoder.decompress(piece))
+            at += len(piece)
+        at -= len(decoder.unused_data)
+        yield b"".join(parts)
 
 
 def train_dictionary(pages: DataFrame) -> bytes:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from demandloom.llm import filter_audit, quality, spelling
+from demandloom.llm import filter_audit, ngram_join, quality, spelling, warc
 
 SCHEMA = "doc_id long, text string, source string, part string, mask int, n long, word string, x int, label int"
 CLASH = ("clash", 9, 7, "clash", 3, 5)
@@ -245,3 +245,50 @@ def test_quality_on_odd_rows(spark):
     assert {r.score for r in none} == {0.5}
     one = quality.score_documents(frame(spark, rows), table.filter("quality = 1")).collect()
     assert len({r.score for r in one}) == 1 and one[0].predicted == 1
+
+
+# ---------------------------------------------------------------- mended operators
+
+
+def test_rows_that_share_a_doc_id_are_decided_one_by_one(spark):
+    rng = random.Random(6)
+
+    def prose():
+        return [rng.choice("abcdefghijklmnop") * rng.randint(1, 4) + str(rng.randint(0, 99)) for _ in range(200)]
+
+    a, u, v = prose(), " ".join(prose()), " ".join(prose())
+    near_ = [" ".join([*a[:k], "zz", *a[k + 1 :]]) for k in (0, 100, 199)]
+    a = " ".join(a)
+
+    def left(rows):
+        docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, cls string")
+        return sorted((r.doc_id, r.text) for r in ngram_join.drop_near_duplicates(docs).select("doc_id", "text", "cls").collect())
+
+    assert left([(1, a), (2, near_[0]), (1, u), (2, v)]) == sorted([(2, near_[0]), (1, u), (2, v)])
+    got = left([(1, a), (2, near_[0]), (2, near_[1]), (2, u)])
+    assert len(got) == 2 and (2, u) in got and got[0][0] == got[1][0] == 2
+    assert len(left([(1, a), (2, a), (2, a), (2, a)])) == 1
+    # two groups whose smallest doc_id is the same
+    w = u + " tail"
+    assert left([(1, a), (2, near_[0]), (1, u), (3, w)]) == sorted([(2, near_[0]), (3, w)])
+
+
+def test_archives_are_read_in_proportion_to_their_size():
+    import time
+
+    import zstandard
+
+    rng = random.Random(3)
+    pages = [bytes(rng.randbytes(900)) for _ in range(12_000)]
+    compress = zstandard.ZstdCompressor(level=1).compress
+    frames = [compress(warc.record(k, "u", p, "0" * 40, "response", None)) for k, p in enumerate(pages)]
+
+    def seconds(n):
+        start = time.perf_counter()
+        assert sum(1 for _ in warc.records_of(b"".join(frames[:n]))) == n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(12_000) < 30 * seconds(1500) + 0.5
+    with pytest.raises(warc.BadRecord):
+        list(warc.records_of(b"".join(frames[:5])[:-3]))
