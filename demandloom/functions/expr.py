@@ -58,6 +58,13 @@ def draw_number(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
+def draw_index(n: int, *parts: Column) -> Column:
+    """A number from 0 to n - 1 from 64 bits of the parts' md5: the same on any engine, even for any n there is."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    wide = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
+    return (wide % F.lit(n).cast("decimal(20,0)")).cast("bigint")
+
+
 def weighted(value: Column, weight: Column) -> Column:
     """Aggregate: weighted mean over the rows of the group, null values adding nothing."""
     total = F.sum(weight)

@@ -52,7 +52,7 @@ def forecast_state(panel: DataFrame, target: str = "y", keep: Sequence[str] = ()
     return rows.withColumns({"hist": F.concat(pad, "hist"), "cutoff": end})
 
 
-def _step_features(state: DataFrame, step: int, exog: Sequence[str]) -> DataFrame:
+def step_features(state: DataFrame, step: int, exog: Sequence[str]) -> DataFrame:
     ds = F.date_add("cutoff", step)
     mean = lambda w: F.aggregate(F.slice("hist", -w, w), F.lit(0.0), lambda a, v: a + v) / w
     cols: dict[str, Column] = {
@@ -77,7 +77,7 @@ def recurse(state: DataFrame, h: int, predict: Predict, name: str, exog: Sequenc
     base = state.columns
     state = state.withColumn("_out", F.array().cast("array<double>"))
     for step in range(1, h + 1):
-        scored = predict(_step_features(state, step, exog))
+        scored = predict(step_features(state, step, exog))
         value = F.coalesce(F.col("prediction"), F.lit(0.0)).cast("double")
         value = F.greatest(value, F.lit(floor)) if floor is not None else value
         state = scored.withColumn("_v", value).select(
@@ -112,7 +112,7 @@ class Scorer:
         return np.exp(np.minimum(total, 30.0)) if self.log_link else total
 
 
-def recurse_batches(state: DataFrame, h: int, scorer: Scorer, name: str, exog: Sequence[str] = (), floor: float | None = 0.0) -> DataFrame:
+def recurse_batches(state: DataFrame, h: int, scorer: Scorer, name: str, exog: Sequence[str] = (), floor: float | None = 0.0, with_cutoff: bool = False) -> DataFrame:
     """Forecast ``h`` steps with a linear score, vectorised over the series of a batch."""
     own_beta = scorer.coefficients is None
     drivers = [f"_x_{c}" for c in exog]
@@ -146,7 +146,7 @@ def recurse_batches(state: DataFrame, h: int, scorer: Scorer, name: str, exog: S
     cols = ["unique_id", "cutoff", "hist", *(["beta"] if own_beta else []), *drivers]
     rows = state.select(*cols).mapInPandas(run, "unique_id string, cutoff date, _out array<double>")
     stepped = rows.select("unique_id", "cutoff", F.posexplode("_out").alias("_k", name))
-    return stepped.select("unique_id", F.date_add("cutoff", F.col("_k") + 1).alias("ds"), name)
+    return stepped.select("unique_id", *(["cutoff"] if with_cutoff else []), F.date_add("cutoff", F.col("_k") + 1).alias("ds"), name)
 
 
 def attach_future(state: DataFrame, future: DataFrame, exog: Sequence[str]) -> DataFrame:

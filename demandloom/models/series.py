@@ -14,6 +14,13 @@ from demandloom.operators.reshape import latest
 
 # A series model maps (values in day order, horizon) to (forecast, fitted values).
 SeriesModel = Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]
+# A batch model does so for many series at once.
+BatchModel = Callable[[list[np.ndarray], int], list[tuple[np.ndarray, np.ndarray]]]
+BATCH = 128  # series of one call of a batch model
+
+
+def one_by_one(model: SeriesModel) -> BatchModel:
+    return lambda many, h: [model(y, h) for y in many]
 
 
 def as_dates(panel: DataFrame, points: Sequence[Column]) -> list[dt.date]:
@@ -99,3 +106,47 @@ def apply_series_model(panel: DataFrame, model: SeriesModel, name: str, h: int,
     if points is None:
         return series_forecast(panel, {name: model}, h)
     return series_cv(panel, {name: model}, h, points)
+
+
+def fold_base(sparse: DataFrame, model: BatchModel, h: int, cuts: Sequence[dt.date]) -> DataFrame:
+    """Base forecasts of every (fold, series): ``fold, node_id, y_hat array(h), fitted array, actual array``.
+
+    ``sparse`` has ``node_id, ds, y`` with the non-zero days only; a series becomes one row (at most one value per day) and
+    is filled with zeros where it is fitted, from its first day to the fold's cutoff. ``fold`` is the cutoff as text. Arrays of
+    a fold have one length, the days from the first of any series; days before a series began are NaN. Missing fitted values
+    are taken as the actual. A series without a day up to the cutoff has no row in the fold.
+    """
+    if not cuts:
+        raise ValueError("no cutoffs")
+    first = sparse.agg(F.min("ds")).first()[0]
+    origin = first or min(cuts)
+    offset = F.datediff("ds", F.lit(origin)).alias("t")
+    # few bytes, much work: a number of partitions that adaptive execution leaves alone
+    parts = int(sparse.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    series = sparse.repartition(parts, "node_id").groupBy("node_id").agg(F.collect_list(offset).alias("t"), F.collect_list(F.col("y").cast("double")).alias("y"))
+    spans = [((c - origin).days + 1, c.isoformat()) for c in cuts]
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), BATCH):
+                part = pdf.iloc[at : at + BATCH]
+                keys, starts, values = [], [], []
+                for node, t, y in zip(part["node_id"], part["t"], part["y"]):
+                    t, y = np.asarray(t, dtype=int), np.asarray(y, dtype=float)
+                    start = int(t.min())
+                    for span, fold in spans:
+                        if span > start:
+                            here = t < span
+                            full = np.zeros(span - start)
+                            np.add.at(full, t[here] - start, y[here])
+                            keys.append((fold, node))
+                            starts.append(start)
+                            values.append(full)
+                rows = []
+                for (fold, node), start, y, (ahead, inside) in zip(keys, starts, values, model(values, h)):
+                    inside = np.where(np.isfinite(inside), inside, y)
+                    before = np.full(start, np.nan)
+                    rows.append((fold, node, ahead, np.r_[before, inside], np.r_[before, y]))
+                yield pd.DataFrame(rows, columns=["fold", "node_id", "y_hat", "fitted", "actual"])
+
+    return series.mapInPandas(run, "fold string, node_id string, y_hat array<double>, fitted array<double>, actual array<double>")

@@ -100,6 +100,80 @@ def theta(y: np.ndarray, h: int, season: int = 7) -> tuple[np.ndarray, np.ndarra
     return ahead, inside
 
 
+def _ses_many(flat: np.ndarray, sizes: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+    """Squared errors of simple smoothing for rows of series (zeros after their end) and their own alphas."""
+    level = np.repeat(flat[:, :1], alphas.shape[1], axis=1)
+    sse = np.zeros(alphas.shape)
+    for t in range(1, flat.shape[1]):
+        gap = flat[:, t, None] - level
+        gap[sizes <= t] = 0.0
+        sse += gap * gap
+        level += alphas * gap
+    return sse
+
+
+def theta_batch(many: list[np.ndarray], h: int, season: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``theta`` of many series: the recursions over time run once for all of them."""
+    many = [np.asarray(y, dtype=float) for y in many]
+    out: list = [theta(y, h, season) if len(y) < 3 else None for y in many]
+    todo = [k for k, o in enumerate(out) if o is None]
+    if not todo:
+        return out
+    sizes = np.array([len(many[k]) for k in todo])
+    flat = np.zeros((len(todo), sizes.max()))
+    patterns = []
+    for row, k in enumerate(todo):
+        y, n = many[k], sizes[row]
+        seasonal = _is_seasonal(y, season)
+        idx, times = _seasonal_indices(y, season) if seasonal else (np.zeros(season), False)
+        pattern = idx[np.arange(n + h) % season] if seasonal else None
+        patterns.append((pattern, times))
+        flat[row, :n] = y if pattern is None else y / pattern[:n] if times else y - pattern[:n]
+    best = _GRID[np.argmin(_ses_many(flat, sizes, np.tile(_GRID, (len(todo), 1))), axis=1)]
+    fine = np.clip(best[:, None] + np.linspace(-0.03, 0.03, 13), 0.001, 0.999)
+    alphas = fine[np.arange(len(todo)), np.argmin(_ses_many(flat, sizes, fine), axis=1)]
+    levels = flat.copy()
+    for t in range(1, flat.shape[1]):
+        levels[:, t] = levels[:, t - 1] + alphas * (flat[:, t] - levels[:, t - 1])
+    for row, k in enumerate(todo):
+        n, alpha, (pattern, times) = sizes[row], alphas[row], patterns[row]
+        drift = float(np.polyfit(np.arange(n), flat[row, :n], 1)[0]) / 2
+        ahead = levels[row, n - 1] + drift * (np.arange(h) + (1 - (1 - alpha) ** n) / alpha)
+        inside = np.r_[np.nan, levels[row, : n - 1] + drift * (1 - (1 - alpha) ** np.arange(1, n)) / alpha]
+        if pattern is not None:
+            ahead = ahead * pattern[n:] if times else ahead + pattern[n:]
+            inside = inside * pattern[:n] if times else inside + pattern[:n]
+        out[k] = (ahead, inside)
+    return out
+
+
+def weekday_median(y: np.ndarray, h: int, season: int = 7, seasons: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Median of the last ``seasons`` values of the same phase; the mean where there is none yet, 0 without history.
+
+    A median of sums isn't the sum of medians, so forecasts of a hierarchy's nodes disagree and need reconciling.
+    """
+    y = np.asarray(y, dtype=float)
+    n = len(y)
+    fitted = np.full(n, np.nan)
+    if not n:
+        return np.zeros(h), fitted
+    back = np.full((n + h, seasons), np.nan)
+    for j in range(1, seasons + 1):
+        at = np.arange(n + h) - j * season
+        ok = (at >= 0) & (at < n)
+        back[ok, j - 1] = y[at[ok]]
+    # beyond one season ahead the same phases serve again
+    for k in range(n + season, n + h):
+        back[k] = back[k - season]
+    back.sort(axis=1)  # NaN last
+    known = np.isfinite(back).sum(axis=1)
+    low, high = np.maximum(known - 1, 0) // 2, known // 2
+    rows = np.arange(n + h)
+    middle = np.where(known > 0, (back[rows, low] + back[rows, np.where(known > 0, high, 0)]) / 2, np.nan)
+    fitted[:] = middle[:n]
+    return np.where(np.isfinite(middle[n:]), middle[n:], float(y.mean())), fitted
+
+
 def _seasonal_pass(y: np.ndarray, season: int, alpha: np.ndarray, gamma: np.ndarray, level0: float, season0: np.ndarray):
     """Level + additive season recursion for all (alpha, gamma): errors for both error types.
 

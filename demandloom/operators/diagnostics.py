@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from demandloom.functions.expr import draw_number, ratio
+from demandloom.functions.expr import draw_index, ratio
 from demandloom.functions.ordered import exact_quantiles, running_totals
 from demandloom.operators.metrics import error, per_series_rmsse, rmsse, squared_error_by
 from demandloom.operators.reshape import keep_series
 from demandloom.operators.scoring import ScoringInputs
 
+DRAW_BLOCK = 64 << 20  # bytes of drawn rows that every task of a bootstrap holds
+
 
 def residuals_long(inp: ScoringInputs) -> DataFrame:
     """``model, unique_id, ds, y, y_hat, residual`` (forecast minus truth)."""
@@ -76,11 +78,7 @@ def bootstrap_pvalues(inp: ScoringInputs, n_iter: int = 1000, seed: int = 42) ->
         return inp.cv.sparkSession.createDataFrame([], "model_a string, model_b string, p_value double")
     share = F.col("weight") / F.lit(total) if total > 0 else F.col("weight")
     terms = numbered.select((F.col("_pos") - 1).alias("_pick"), *[(share * F.col(f"`{m}`")).alias(f"_m{k}") for k, m in enumerate(models)])
-    draws = inp.cv.sparkSession.range(n_iter * n).select(
-        F.floor(F.col("id") / n).alias("iteration"),
-        (draw_number(F.lit(seed), F.floor(F.col("id") / n), F.col("id") % n) % n).alias("_pick"),
-    )
-    sums = draws.join(terms, "_pick").groupBy("iteration").agg(*[F.sum(f"_m{k}").alias(f"_m{k}") for k in range(len(models))])
+    sums = resampled_sums(terms, n, [f"_m{k}" for k in range(len(models))], n_iter, seed)
     pairs = [
         F.struct(
             F.lit(a).alias("model_a"),
@@ -93,6 +91,25 @@ def bootstrap_pvalues(inp: ScoringInputs, n_iter: int = 1000, seed: int = 42) ->
     return sums.select(F.inline(F.array(*pairs))).groupBy("model_a", "model_b").agg(F.avg("hit").alias("p_value"))
 
 
+def resampled_sums(terms: DataFrame, n: int, names: Sequence[str], n_iter: int, seed: int, block_rows: int | None = None) -> DataFrame:
+    """``iteration`` and the sums of ``names`` over n draws with replacement from ``terms`` (``_pick`` from 0 to n - 1).
+
+    Draws are made where they are counted: a task goes through its iterations, looks the drawn rows up in a block of terms
+    and sends one partial sum per iteration, so n_iter * n draws are never shuffled. A block is broadcast; it has at most
+    ``DRAW_BLOCK`` bytes, and more terms make more blocks (the draws are then repeated per block).
+    """
+    rows = block_rows or max(1, DRAW_BLOCK // (8 * (len(names) + 1)))
+    parts = None
+    for at in range(0, n, rows):
+        block = terms.where((F.col("_pick") >= at) & (F.col("_pick") < at + rows))
+        draws = terms.sparkSession.range(n_iter * n).select(
+            F.floor(F.col("id") / n).alias("iteration"), draw_index(n, F.lit(seed), F.floor(F.col("id") / n), F.col("id") % n).alias("_pick")
+        )
+        part = draws.join(F.broadcast(block), "_pick").groupBy("iteration").agg(*[F.sum(m).alias(m) for m in names])
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("iteration").agg(*[F.sum(m).alias(m) for m in names])
+
+
 def residual_drift(residuals: DataFrame) -> DataFrame:
     """Mean residual per (model, day)."""
     return residuals.groupBy("model", "ds").agg(F.avg("residual").alias("mean_residual"))

@@ -1,10 +1,11 @@
 """Forecast reconciliation over the sparse summing edges.
 
 A horizon is held as columns ``k1..kh`` of one row per node or bottom series. The normal
-equations ``S' W^-1 S b = S' W^-1 y`` are solved by conjugate gradients whose products with S
+equations ``S' W^-1 S b = S' W^-1 y`` are solved directly in two passes over blocks of bottom series (``border``).
+Where the border of the blocks is too large for that, conjugate gradients take over, whose products with S
 and S' are joins with the edges and grouped sums. No matrix with a series-sized side exists and
-no node's rows are gathered in one task; what reaches the driver has the size of the horizon
-or of the residual window (days), never of the panel.
+no node's rows are gathered in one task; what reaches the driver has the size of the horizon, of
+the residual window (days) or of a border of checked size, never of the panel.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.operators import border as bd
+from demandloom.operators.erm_l1 import Lasso, l1_regressions
 from demandloom.session import settle
 
 TINY = 1e-12
-VAR_FLOOR = 1e-8  # least variance of a node's residuals
-L1_BLOCK = 16  # bottom series per task of the L1 regression
+VAR_FLOOR = bd.VAR_FLOOR
 
 
 def bottom_up(forecast: DataFrame, edges: DataFrame, model: str, out: str = "BottomUp") -> DataFrame:
@@ -146,15 +148,8 @@ def standardised_residuals(base: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            res = np.array(pdf["actual"].tolist()) - np.array(pdf["fitted"].tolist())
-            res = res.reshape(len(pdf), -1)
-            known = np.isfinite(res)
-            days = np.maximum(known.sum(axis=1, keepdims=True), 1)
-            res = np.where(known, res, 0.0)
-            res = np.where(known, res - res.sum(axis=1, keepdims=True) / days, 0.0)
-            raw = (res**2).sum(axis=1) / days[:, 0]
-            var = np.maximum(raw, VAR_FLOOR)
-            x = np.where(raw[:, None] > VAR_FLOOR, res / np.sqrt(var)[:, None], 0.0)
+            actual, fitted = (np.array(pdf[c].tolist()).reshape(len(pdf), -1) for c in ("actual", "fitted"))
+            x, var = bd.standardise(actual, fitted)
             yield pd.DataFrame({"node_id": pdf["node_id"], "x": [list(map(float, r)) for r in x], "d": var})
 
     return base.select("node_id", "actual", "fitted").mapInPandas(run, "node_id string, x array<double>, d double")
@@ -215,17 +210,92 @@ def shrunk_weights(residuals: DataFrame, h: int) -> tuple[Weigh, float]:
 # --- methods ---------------------------------------------------------------------------------
 
 
+def _wide_columns(h: int) -> list[Column]:
+    return [F.element_at("y_hat", j).alias(f"k{j}") for j in range(1, h + 1)]
+
+
 def _wide(base: DataFrame, h: int) -> DataFrame:
-    return base.select("node_id", *[F.element_at("y_hat", j).alias(f"k{j}") for j in range(1, h + 1)])
+    return base.select("node_id", *_wide_columns(h))
+
+
+def _weighted(base: DataFrame, edges: DataFrame, method: str) -> tuple[DataFrame, dict[str, bd.Shrinkage] | None]:
+    """Base rows ``fold, node_id, y, w[, x]`` with the variances of a method, and its shrinkage by fold."""
+    if method in ("ols", "wls_struct"):
+        rows = bd.pack_rows(base, lambda pdf: {"w": 1.0}, ", w double", history=False)
+        if method == "wls_struct":
+            there = edges.where(F.col("is_bottom")).select("bottom_id", "node_id").join(base.select("fold", "node_id"), "node_id")
+            size = edges.select("bottom_id", "node_id").join(there.select("fold", "bottom_id"), "bottom_id")
+            size = size.groupBy("fold", "node_id").agg(F.count("*").cast("double").alias("w"))
+            rows = rows.drop("w").join(size, ["fold", "node_id"])
+        return rows, None
+    if method == "wls_var":
+
+        def variance(pdf: pd.DataFrame) -> dict:
+            gap = np.array(pdf["actual"].tolist()) - np.array(pdf["fitted"].tolist())
+            gap = gap.reshape(len(pdf), -1)
+            known = np.isfinite(gap)
+            return {"w": np.maximum((np.where(known, gap, 0.0) ** 2).sum(axis=1) / np.maximum(known.sum(axis=1), 1), VAR_FLOOR)}
+
+        return _of_one_length(base, variance, ", w double"), None
+    if method == "mint_shrink":
+
+        def residuals(pdf: pd.DataFrame) -> dict:
+            actual, fitted = (np.array(pdf[c].tolist()).reshape(len(pdf), -1) for c in ("actual", "fitted"))
+            x, d = bd.standardise(actual, fitted)
+            return {"w": d, "x": [r.tobytes() for r in x]}
+
+        rows = settle(_of_one_length(base, residuals, ", w double, x binary"))
+        return rows, bd.shrinkage(rows, shrinkage_intensity)
+    raise ValueError(f"unknown method {method!r}")
+
 
+def _of_one_length(base: DataFrame, keep: Callable[[pd.DataFrame], dict], extra: str) -> DataFrame:
+    """``pack_rows`` with ``keep`` applied fold by fold, as histories of folds differ in length."""
 
-def recon_mintrace(base: DataFrame, edges: DataFrame, h: int, method: str) -> DataFrame:
-    """Reconciled bottom forecasts ``bottom_id, k1..kh``.
+    def each(pdf: pd.DataFrame) -> dict:
+        parts = [pd.DataFrame(keep(part), index=part.index) for _, part in pdf.groupby("fold", sort=False)]
+        return pd.concat(parts).loc[pdf.index].to_dict("series") if parts else keep(pdf)
 
-    ``base`` has ``node_id, y_hat, fitted, actual`` (arrays), ``edges`` ``bottom_id, node_id,
-    is_bottom``. Methods: ols, wls_struct, wls_var, mint_shrink.
+    return bd.pack_rows(base, each, extra)
+
+
+TRACE_METHODS = {"MinT_OLS": "ols", "MinT_WLS_struct": "wls_struct", "MinT_WLS_var": "wls_var", "MinT_shrink": "mint_shrink"}
+
+
+def recon_mintrace(base: DataFrame, edges: DataFrame, h: int, method: str, *, limit: int | None = None) -> DataFrame:
+    """Reconciled bottom forecasts ``[fold,] bottom_id, k1..kh``.
+
+    ``base`` has ``[fold,] node_id, y_hat, fitted, actual`` (arrays), ``edges`` ``bottom_id, node_id,
+    is_bottom[, block]``. Methods: ols, wls_struct, wls_var, mint_shrink. Folds are solved together, directly (``border``);
+    where the border is too large (``limit``) each fold is solved by conjugate gradients.
     """
-    edges = settle(edges)
+    edges, folded = bd.with_block(edges), bd.with_fold(base)
+    rows, shrink = _weighted(folded, edges, method)
+    direct = bd.solve(bd.block_rows(rows, edges), h, shrink, limit=limit)
+    bottom = edges.where(F.col("is_bottom")).select("bottom_id", "node_id")
+    if direct is not None:
+        out = direct.join(bottom, "node_id").select("fold", "bottom_id", *_cols(h))
+    else:
+        out = None
+        for r in folded.select("fold").distinct().collect() or [{"fold": ""}]:
+            some = _iterated(folded.where(F.col("fold") == r["fold"]).drop("fold"), edges, h, method)
+            some = some.select(F.lit(r["fold"]).alias("fold"), "bottom_id", *_cols(h))
+            out = some if out is None else out.unionByName(some)
+    return out if "fold" in base.columns else out.drop("fold")
+
+
+def mintrace_gradient(base: DataFrame, edges: DataFrame, solution: DataFrame, h: int, method: str) -> DataFrame:
+    """How far a solution is from the condition S' W^-1 (S b - y) = 0 of its method, per bottom series and step, as a share."""
+    edges, folded = bd.with_block(edges), bd.with_fold(base)
+    rows, shrink = _weighted(folded, edges, method)
+    out = bd.normal_gradient(bd.with_fold(solution), rows, edges, h, shrink)
+    return out if "fold" in base.columns else out.drop("fold")
+
+
+def _iterated(base: DataFrame, edges: DataFrame, h: int, method: str) -> DataFrame:
+    """One fold by conjugate gradients: no matrix of the border."""
+    there = edges.where(F.col("is_bottom")).join(base.select("node_id"), "node_id", "left_semi").select("bottom_id")
+    edges = settle(edges.join(there, "bottom_id", "left_semi").join(base.select("node_id"), "node_id", "left_semi"))
     if method in ("ols", "wls_struct"):
         size = F.max(F.lit(1.0)) if method == "ols" else F.count("*").cast("double")
         weights = edges.groupBy("node_id").agg(size.alias("w"))
@@ -233,34 +303,37 @@ def recon_mintrace(base: DataFrame, edges: DataFrame, h: int, method: str) -> Da
         gap = F.filter(F.zip_with("actual", "fitted", lambda a, f: (a - f) * (a - f)), lambda v: ~F.isnan(v))
         var = F.aggregate(gap, F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size(gap), F.lit(1))
         weights = base.select("node_id", F.greatest(var, F.lit(VAR_FLOOR)).alias("w"))
-    elif method == "mint_shrink":
+    else:
         residuals = settle(standardised_residuals(base))
         weigh, _ = shrunk_weights(residuals, h)
         diagonal = system_diagonal(edges, residuals.select("node_id", F.col("d").alias("w")))
         return solve_bottom(settle(_wide(base, h)), edges, weigh, diagonal, h)
-    else:
-        raise ValueError(f"unknown method {method!r}")
     weights = settle(weights)
     return solve_bottom(settle(_wide(base, h)), edges, diagonal_weights(weights, h), system_diagonal(edges, weights), h)
 
 
-def recon_erm(base: DataFrame, edges: DataFrame, h: int, lam: float | None = 0.01, *, around_bottom_up: bool = False) -> DataFrame:
+def recon_erm(base: DataFrame, edges: DataFrame, h: int, lam: float | None = 0.01, *, around_bottom_up: bool = False, certificate: bool = False) -> DataFrame:
     """Empirical-risk reconciliation: bottom actuals regressed on all fitted node values.
 
     The ridge problem is solved in its dual form, with a (days x days) kernel in place of a
     (nodes x nodes) matrix: b = B' (K + lam I)^-1 Y y_hat. Without a penalty (``None``) the pseudo-inverse
     of the kernel takes its place, which gives the least-squares weights of smallest norm. With ``around_bottom_up`` the
     regression explains what the bottom forecasts leave over, so a strong penalty falls back to
-    plain bottom-up.
+    plain bottom-up. With ``certificate`` (no penalty only) ``gradient`` is the length of the slope of a series' squared error
+    in its weights, relative to the slope without weights.
     """
     ks = _cols(h)
-    known = lambda c: F.transform(c, lambda v: F.nanvl(v, F.lit(0.0))).alias(c)  # noqa: E731  no sale before a series began
+    known = lambda c: F.transform(c, lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))).alias(c)  # noqa: E731  no sale before a series began
     rows = settle(base.select("node_id", known("fitted"), known("actual")).join(_wide(base, h), "node_id"))
     days = len(rows.select("fitted").first()[0])
     kernel = _partial_matrix(rows, lambda pdf: (lambda x: x.T @ x)(np.array(pdf["fitted"].tolist())), days)
     ahead = _partial_matrix(rows, lambda pdf: np.array(pdf["fitted"].tolist()).T @ pdf[ks].to_numpy(), h)
+    rest = None
     if lam is None:
-        coef = np.linalg.pinv(kernel, rcond=days * np.finfo(float).eps, hermitian=True) @ ahead
+        inverse = np.linalg.pinv(kernel, rcond=days * np.finfo(float).eps, hermitian=True)
+        coef = inverse @ ahead
+        if certificate:
+            rest = base.sparkSession.sparkContext.broadcast((np.eye(days) - inverse @ kernel, kernel))
     else:
         ridge = lam * max(float(np.trace(kernel)) / days, TINY)
         coef = np.linalg.solve(kernel + ridge * np.eye(days), ahead)
@@ -273,109 +346,78 @@ def recon_erm(base: DataFrame, edges: DataFrame, h: int, lam: float | None = 0.0
             if len(pdf):
                 fitted, own = np.array(pdf["fitted"].tolist()), pdf[ks].to_numpy()
                 out = own + (target - fitted) @ coef if around_bottom_up else target @ coef
-            yield pd.DataFrame(out, columns=ks).assign(bottom_id=pdf["bottom_id"].to_numpy())[["bottom_id", *ks]]
-
-    return bottom.mapInPandas(run, "bottom_id string, " + ", ".join(f"{k} double" for k in ks))
-
+            out = pd.DataFrame(out, columns=ks).assign(bottom_id=pdf["bottom_id"].to_numpy())[["bottom_id", *ks]]
+            if rest is not None:
+                left, kernel_ = rest.value
+                over = target @ left if len(pdf) else np.zeros((0, 0))
+                size = [np.sqrt(max(float(v @ kernel_ @ v), 0.0)) for v in (*over, *target)]
+                out["gradient"] = [a / max(b, TINY) for a, b in zip(size[: len(pdf)], size[len(pdf) :])]
+            yield out
 
-class Lasso:
-    """Minimises |r - X'p|^2 / 2T + lam |p|_1 for many r over one X (nodes x days), by feature-sign search.
+    schema = "bottom_id string, " + ", ".join(f"{k} double" for k in ks)
+    return bottom.mapInPandas(run, schema + (", gradient double" if rest is not None else ""))
 
-    Signs of the nonzero weights are guessed, the weights solved for and, where a sign was wrong, taken back to the best
-    point on the way; so the optimum is exact, however alike the rows of X are. Rows of the Gram matrix are kept as used.
-    """
 
-    def __init__(self, x: np.ndarray, lam: float):
-        size = np.sqrt((x**2).mean(axis=1))
-        some = size > TINY * size.max(initial=0.0)  # the others are zero but for rounding
-        self.size = np.where(some, size, 1.0)
-        self.x, self.lam, self.gram = np.where(some[:, None], x, 0.0) / self.size[:, None], lam / self.size, {}
-
-    def _row(self, j: int) -> np.ndarray:
-        if j not in self.gram:
-            self.gram[j] = self.x @ self.x[j] / self.x.shape[1]
-        return self.gram[j]
-
-    def solve(self, r: np.ndarray) -> np.ndarray:
-        n, lam = len(self.x), self.lam
-        c = self.x @ r / self.x.shape[1]
-        p, signs, tol = np.zeros(n), np.zeros(n), 1e-6 * lam + 1e-11 * float(np.abs(c).max(initial=0.0))
-        for _ in range(20 * n + 100):
-            on = np.flatnonzero(signs)
-            slope = (p[on] @ np.array([self._row(j) for j in on]) if len(on) else np.zeros(n)) - c
-            if np.all(np.abs(slope[on] + lam[on] * signs[on]) <= tol[on]):
-                free = np.where(signs == 0, np.abs(slope) - lam - tol, -1.0)
-                j = int(np.argmax(free))
-                if free[j] <= 0:
-                    return p / self.size
-                signs[j] = -np.sign(slope[j])
-                on = np.flatnonzero(signs)
-            a = np.array([self._row(j)[on] for j in on])
-            gap = c[on] - lam[on] * signs[on] - a @ p[on]
-            move = np.linalg.lstsq(a, gap, rcond=1e-12)[0]
-            rest = gap - a @ move
-            flat = bool(np.any(np.abs(rest) > tol[on]))  # dependent rows: along ``rest`` only the penalty changes
-            move = np.where(np.abs(rest) > 1e-9 * np.abs(rest).max(), rest, 0.0) if flat else move
-            with np.errstate(divide="ignore", invalid="ignore"):
-                turns = -p[on] / move
-            turns = np.unique(turns[(turns > 0) & (turns < (np.inf if flat else 1.0))])
-            turns = turns[:1] if flat else np.append(turns, 1.0)
-            if not len(turns):
-                break
-            tries = p[on] + turns[:, None] * move
-            for k, at in enumerate(turns if flat else turns[:-1]):
-                tries[k, np.isclose(p[on] + at * move, 0.0, atol=1e-14 * max(1.0, float(np.abs(p[on]).max())))] = 0.0
-            step = tries - p[on]
-            cost = 0.5 * np.einsum("ki,ij,kj->k", step, a, step) + step @ (a @ p[on] - c[on]) + np.abs(tries) @ lam[on]
-            p[on] = tries[int(np.argmin(cost))]
-            signs = np.sign(p)
-        raise RuntimeError("the L1 regression of ERM_reg_bu hasn't converged")
-
-
-def recon_erm_l1(base: DataFrame, edges: DataFrame, h: int, lam: float = 0.01) -> DataFrame:
+def recon_erm_l1(base: DataFrame, edges: DataFrame, h: int, lam: float = 0.01, *, certificate: bool = False) -> DataFrame:
     """Empirical-risk reconciliation around bottom-up with an L1 penalty.
 
     What the bottom forecast of a series leaves over is regressed on the fitted values of all nodes; few weights are
-    nonzero. The loss is that of the series itself, so series are solved apart, in blocks; the task of a block
-    holds the fitted values of all nodes (nodes x days).
+    nonzero. The loss is that of the series itself, so series are solved apart (``erm_l1``). With ``certificate`` the relative
+    duality ``gap``, the nodes ``alive`` after screening and ``used`` by a weight are returned too.
     """
-    ks = _cols(h)
-    known = lambda c: F.transform(c, lambda v: F.nanvl(v, F.lit(0.0))).alias(c)  # noqa: E731  no sale before a series began
-    rows = settle(base.select("node_id", known("fitted"), known("actual")).join(_wide(base, h), "node_id"))
-    bottom = edges.where(F.col("is_bottom")).select("bottom_id", "node_id").join(rows, "node_id")
-    blocks = -(-bottom.count() // L1_BLOCK)
-    bottom = bottom.withColumn("block", F.pmod(F.hash("bottom_id"), F.lit(max(blocks, 1))))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("_block")
-    nodes = rows.select(every_block, *[F.col(c).alias(f"_{c}") for c in ("node_id", "fitted", *ks)])
-    schema = "bottom_id string, " + ", ".join(f"{k} double" for k in ks)
 
-    def run(own: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame(columns=["bottom_id", *ks])
-        every = every.sort_values("_node_id")
-        lasso, ahead = Lasso(np.array(every["_fitted"].tolist()), lam), every[[f"_{k}" for k in ks]].to_numpy()
-        left = np.array(own["actual"].tolist()) - np.array(own["fitted"].tolist())
-        out = own[ks].to_numpy() + np.array([lasso.solve(r) for r in left]) @ ahead
-        return pd.DataFrame(out, columns=ks).assign(bottom_id=own["bottom_id"].to_numpy())[["bottom_id", *ks]]
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fitted, actual = (np.array(pdf[c].tolist()).reshape(len(pdf), -1) for c in ("fitted", "actual"))
+            fitted, actual = (np.where(np.isfinite(v), v, 0.0) for v in (fitted, actual))  # no sale before a series began
+            own = [np.asarray(v, dtype=float).tobytes() for v in pdf["y_hat"]]
+            yield pd.DataFrame({"node_id": pdf["node_id"], "x": [v.tobytes() for v in fitted], "r": [v.tobytes() for v in actual - fitted], "y": own})
+
+    nodes = settle(base.select("node_id", "fitted", "actual", "y_hat").mapInPandas(packed, "node_id string, x binary, r binary, y binary"))
+    series = edges.where(F.col("is_bottom")).select("bottom_id", "node_id").join(nodes.select("node_id", "r", F.col("y").alias("own")), "node_id")
+    out = l1_regressions(nodes, series.drop("node_id"), lam, h)
+    return out if certificate else out.select("bottom_id", *_cols(h))
+
+
+def _one_fold(solve: Callable[[DataFrame, DataFrame, int], DataFrame]) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """A method that knows no folds, applied to each of them (a few)."""
 
-    return bottom.groupBy("block").cogroup(nodes.groupBy("_block")).applyInPandas(run, schema)
+    def run(base: DataFrame, edges: DataFrame, h: int) -> DataFrame:
+        if "fold" not in base.columns:
+            return solve(base, edges, h)
+        out = None
+        for r in base.select("fold").distinct().orderBy("fold").collect():
+            part = solve(base.where(F.col("fold") == r["fold"]).drop("fold"), edges, h).withColumn("fold", F.lit(r["fold"]))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    return run
+
+
+def _bottom_base(base: DataFrame, edges: DataFrame, h: int) -> DataFrame:
+    """The base forecasts of the bottom series as they are."""
+    keys = [c for c in ("fold",) if c in base.columns]
+    own = edges.where(F.col("is_bottom")).select("bottom_id", "node_id")
+    return own.join(base.select(*keys, "node_id", *_wide_columns(h)), "node_id").select(*keys, "bottom_id", *_cols(h))
 
 
 METHODS = {
-    "MinT_OLS": lambda b, e, h: recon_mintrace(b, e, h, "ols"),
-    "MinT_WLS_struct": lambda b, e, h: recon_mintrace(b, e, h, "wls_struct"),
-    "MinT_WLS_var": lambda b, e, h: recon_mintrace(b, e, h, "wls_var"),
-    "MinT_shrink": lambda b, e, h: recon_mintrace(b, e, h, "mint_shrink"),
-    "ERM_closed": lambda b, e, h: recon_erm(b, e, h, None),
-    "ERM_reg_bu": recon_erm_l1,
-    "BU": lambda b, e, h: e.where(F.col("is_bottom")).select("bottom_id", "node_id").join(_wide(b, h), "node_id").drop("node_id"),
+    **{name: (lambda b, e, h, m=m: recon_mintrace(b, e, h, m)) for name, m in TRACE_METHODS.items()},
+    "ERM_closed": _one_fold(lambda b, e, h: recon_erm(b, e, h, None)),
+    "ERM_reg_bu": _one_fold(lambda b, e, h: recon_erm_l1(b, e, h)),
+    "BU": _bottom_base,
 }
 
 
-def reconcile(base: DataFrame, edges: DataFrame, h: int, method: str, cutoff: Column) -> DataFrame:
-    """Bottom forecasts of one method in long form: ``unique_id, ds, <method>``."""
+def reconcile_bottom(base: DataFrame, edges: DataFrame, h: int, method: str) -> DataFrame:
+    """Bottom forecasts ``[fold,] bottom_id, k1..kh`` of one method."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}, use one of {sorted(METHODS)}")
-    wide = METHODS[method](base, edges, h)
+    return METHODS[method](base, edges, h)
+
+
+def reconcile(base: DataFrame, edges: DataFrame, h: int, method: str, cutoff: Column) -> DataFrame:
+    """Bottom forecasts of one method in long form: ``unique_id, ds, <method>``."""
     values = F.posexplode(F.array(*_cols(h))).alias("_k", method)
+    wide = reconcile_bottom(base, edges, h, method)
     return wide.select(F.col("bottom_id").alias("unique_id"), values).select("unique_id", F.date_add(cutoff, F.col("_k") + 1).alias("ds"), method)

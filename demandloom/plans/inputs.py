@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandloom.operators.folds import baseline_cv, cutoffs, ensemble
+from demandloom.operators.hierarchy import roll_up
 from demandloom.operators.reshape import static_attributes
 from demandloom.operators.scoring import ScoringInputs
+from demandloom.session import settle
 from demandloom.sources import tpch_panel as tp
 
 H = 28
@@ -72,6 +74,14 @@ class Data:
         base = baseline_cv(self.panel, H, WINDOWS, end=self.end)
         return ensemble(base, ["Naive", "SeasonalNaive"], out="Ensemble")
 
+    @cached_property
+    def node_cv(self) -> DataFrame:
+        """The backtest of every node of the hierarchy, ``unique_id`` = level and node; forecasts are sums, as the models are linear."""
+        placed = self.cv.join(self.statics, "unique_id")
+        rows = settle(roll_up(placed, ["y", *MODELS], ["cutoff", "ds"]))
+        key = F.concat_ws(":", F.col("level_idx").cast("string"), "node").alias("unique_id")
+        return rows.select(key, "level", "cutoff", "ds", "y", *MODELS)
+
     @cached_property
     def small_cv(self) -> DataFrame:
         """The same backtest over the part type x region panel."""

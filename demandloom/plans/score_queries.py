@@ -530,7 +530,7 @@ def _concentration(d: Data):
 
 
 def _bootstrap_sql(n_iter: int) -> str:
-    draw = "(('0x' || substr(md5('42:' || i || ':' || k), 1, 8))::BIGINT % (SELECT count(*) FROM pos))"
+    draw = "CAST(('0x' || substr(md5('42:' || i || ':' || k), 1, 16))::UBIGINT % (SELECT count(*) FROM pos) AS BIGINT)"
     return sql(
         f"SELECT a.model AS model_a, b.model AS model_b, {R('CASE WHEN a.model = b.model THEN 1.0 ELSE avg(CAST(a.s - b.s >= 0 AS DOUBLE)) END')} AS p_value FROM sums a JOIN sums b USING (i) GROUP BY a.model, b.model",
         "rmsse",
@@ -576,17 +576,27 @@ def _qq(d: Data):
     return rounded(dg.residual_qq(dg.residuals_long(d.scoring)))
 
 
+# The backtest of the nodes of all levels, a row per model.
+_NODE_LONG = {
+    "nodes": _level_rows("(SELECT * FROM cv JOIN statics USING (unique_id))", _CV_SUMS, "cutoff, ds", hr.LEVELS, hr.LEVEL_NAMES, _slash),
+    "nlong": " UNION ALL ".join(f"SELECT y, '{x}' AS model, {x} AS y_hat FROM nodes" for x in MODELS),
+}
+
+
 @query(
     "calibration_deciles",
     sql(
         f"""SELECT model, CAST(bin AS INTEGER) AS bin, {R('avg(y_hat)')} AS mean_forecast, {R('avg(y)')} AS mean_y, {R('avg(y_hat - y)')} AS mean_residual, count(*) AS n FROM (
-        SELECT l.*, greatest(len(list_filter(edges, lambda e: e < l.y_hat)) - 1, 0) AS bin FROM long l JOIN (
-          SELECT model, list_distinct(quantile_cont(y_hat, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM long GROUP BY model) USING (model)) GROUP BY model, bin""",
-        "long",
+        SELECT l.*, greatest(len(list_filter(edges, lambda e: e < l.y_hat)) - 1, 0) AS bin FROM nlong l JOIN (
+          SELECT model, list_distinct(quantile_cont(y_hat, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM nlong GROUP BY model) USING (model)) GROUP BY model, bin""",
+        "cv",
+        "statics",
+        **_NODE_LONG,
     ),
 )
 def _calibration(d: Data):
-    return rounded(dg.calibration_deciles(dg.residuals_long(d.scoring)))
+    rows = models_long(d.node_cv.drop("level"), MODELS)
+    return rounded(dg.calibration_deciles(rows.withColumn("residual", F.col("y_hat") - F.col("y"))))
 
 
 @query(
@@ -745,9 +755,14 @@ def _insights(d: Data):
 
 # --- prediction intervals --------------------------------------------------------------------
 
+# The backtest of the nodes of all levels: item x store alone sells on 3 days of 100, so its quantiles are 0.
+_NODE_CV = {
+    "ncv": f"""SELECT level_idx || ':' || node AS unique_id, level, ds, cutoff, y, {SN} FROM (
+        {_level_rows("(SELECT * FROM cv JOIN statics USING (unique_id))", _CV_SUMS, "cutoff, ds", hr.LEVELS, hr.LEVEL_NAMES, _slash)})"""
+}
 _STEP = "CAST(date_diff('day', cutoff, ds) AS INTEGER)"
-_Q = f"SELECT {_STEP} AS step, quantile_cont(abs(y - {SN}), 0.9) AS q FROM cv GROUP BY 1"
-_Q_S = _Q.replace("FROM cv", "FROM cv_s")
+_Q = f"SELECT {_STEP} AS step, quantile_cont(abs(y - {SN}), 0.9) AS q FROM ncv GROUP BY 1"
+_Q_S = _Q.replace("FROM ncv", "FROM cv_s")
 
 
 @query(
@@ -758,23 +773,22 @@ def _cv_residuals(d: Data):
     return rounded(iv.cv_residuals(d.small_cv, SN))
 
 
-@query("conformal_fit_pooled", sql(f"SELECT step, {R('q')} AS q FROM ({_Q})", "cv"))
+@query("conformal_fit_pooled", sql(f"SELECT step, {R('q')} AS q FROM ({_Q})", "cv", "statics", **_NODE_CV))
 def _fit_pooled(d: Data):
-    return rounded(iv.conformal_fit(d.cv, SN).pooled)
+    return rounded(iv.conformal_fit(d.node_cv, SN).pooled)
 
 
 @query(
     "conformal_fit_grouped",
-    sql(f"SELECT dept_id, {_STEP} AS step, {R(f'quantile_cont(abs(y - {SN}), 0.9)')} AS q FROM cv JOIN statics USING (unique_id) GROUP BY ALL", "cv", "statics"),
+    sql(f"SELECT level, {_STEP} AS step, {R(f'quantile_cont(abs(y - {SN}), 0.9)')} AS q FROM ncv GROUP BY ALL", "cv", "statics", **_NODE_CV),
 )
 def _fit_grouped(d: Data):
-    cv = d.cv.join(d.statics.select("unique_id", "dept_id"), "unique_id")
-    return rounded(iv.conformal_fit(cv, SN, method="grouped", group_col="dept_id").grouped)
+    return rounded(iv.conformal_fit(d.node_cv, SN, method="grouped", group_col="level").grouped)
 
 
-@query("conformal_fit_scaled", sql(f"SELECT step, {R('q')} AS q, {R('(SELECT avg(SeasonalNaive) FROM cv)')} AS mean_forecast FROM ({_Q})", "cv"))
+@query("conformal_fit_scaled", sql(f"SELECT step, {R('q')} AS q, {R('(SELECT avg(SeasonalNaive) FROM ncv)')} AS mean_forecast FROM ({_Q})", "cv", "statics", **_NODE_CV))
 def _fit_scaled(d: Data):
-    state = iv.conformal_fit(d.cv, SN, method="scaled")
+    state = iv.conformal_fit(d.node_cv, SN, method="scaled")
     return rounded(state.pooled.withColumn("mean_forecast", state.mean_forecast.scalar()))
 
 
@@ -817,34 +831,36 @@ def _apply_grouped(d: Data):
 
 _INSIDE = "avg(CAST(y >= greatest(f - h, 0) AND y <= f + h AS DOUBLE))"
 _WIDTH = "avg(f + h - greatest(f - h, 0))"
-_BAND = f"SELECT y, {SN} AS f, q AS h, step FROM cv JOIN ({_Q}) t ON t.step = date_diff('day', cutoff, ds)"
+_BAND = f"SELECT y, {SN} AS f, q AS h, step FROM ncv JOIN ({_Q}) t ON t.step = date_diff('day', cutoff, ds)"
 
 
-@query("interval_coverage", sql(f"SELECT {R(_INSIDE)} AS coverage FROM ({_BAND})", "cv"))
+@query("interval_coverage", sql(f"SELECT {R(_INSIDE)} AS coverage FROM ({_BAND})", "cv", "statics", **_NODE_CV))
 def _coverage(d: Data):
-    return rounded(iv.interval_coverage(iv.conformal_apply(iv.conformal_fit(d.cv, SN), d.cv), SN).select("coverage"))
+    return rounded(iv.interval_coverage(iv.conformal_apply(iv.conformal_fit(d.node_cv, SN), d.node_cv), SN).select("coverage"))
 
 
-@query("interval_width", sql(f"SELECT {R(_WIDTH)} AS avg_width FROM ({_BAND})", "cv"))
+@query("interval_width", sql(f"SELECT {R(_WIDTH)} AS avg_width FROM ({_BAND})", "cv", "statics", **_NODE_CV))
 def _width(d: Data):
-    return rounded(iv.interval_coverage(iv.conformal_apply(iv.conformal_fit(d.cv, SN), d.cv), SN).select("avg_width"))
+    return rounded(iv.interval_coverage(iv.conformal_apply(iv.conformal_fit(d.node_cv, SN), d.node_cv), SN).select("avg_width"))
 
 
-@query("coverage_by_step", sql(f"SELECT step, {R(_INSIDE)} AS coverage, {R(_WIDTH)} AS avg_width FROM ({_BAND}) GROUP BY step", "cv"))
+@query("coverage_by_step", sql(f"SELECT step, {R(_INSIDE)} AS coverage, {R(_WIDTH)} AS avg_width FROM ({_BAND}) GROUP BY step", "cv", "statics", **_NODE_CV))
 def _by_step(d: Data):
-    return rounded(iv.coverage_by_step(iv.conformal_apply(iv.conformal_fit(d.cv, SN), d.cv), SN))
+    return rounded(iv.coverage_by_step(iv.conformal_apply(iv.conformal_fit(d.node_cv, SN), d.node_cv), SN))
 
 
 @query(
     "method_compare",
     sql(
         f"""SELECT 'pooled' AS method, {R(_INSIDE)} AS coverage, {R(_WIDTH)} AS avg_width FROM ({_BAND}) UNION ALL
-        SELECT 'scaled', {R(_INSIDE)}, {R(_WIDTH)} FROM (SELECT y, f, h * least(5, sqrt(greatest(f, 0) / greatest((SELECT avg(SeasonalNaive) FROM cv), 1e-8))) AS h FROM ({_BAND}))""",
+        SELECT 'scaled', {R(_INSIDE)}, {R(_WIDTH)} FROM (SELECT y, f, h * least(5, sqrt(greatest(f, 0) / greatest((SELECT avg(SeasonalNaive) FROM ncv), 1e-8))) AS h FROM ({_BAND}))""",
         "cv",
+        "statics",
+        **_NODE_CV,
     ),
 )
 def _methods(d: Data):
-    return rounded(iv.method_compare(d.cv, SN))
+    return rounded(iv.method_compare(d.node_cv, SN))
 
 
 ALPHAS = [0.01 + k * (0.5 - 0.01) / 19 for k in range(20)]
@@ -853,10 +869,12 @@ ALPHAS = [0.01 + k * (0.5 - 0.01) / 19 for k in range(20)]
 @query(
     "alpha_sweep",
     sql(
-        f"""SELECT {R('alpha')} AS alpha, {R(_INSIDE)} AS coverage, {R(_WIDTH)} AS avg_width FROM (SELECT y, {SN} AS f, q AS h, alpha FROM cv JOIN qs ON step = date_diff('day', cutoff, ds)) GROUP BY alpha""",
+        f"""SELECT {R('alpha')} AS alpha, {R(_INSIDE)} AS coverage, {R(_WIDTH)} AS avg_width FROM (SELECT y, {SN} AS f, q AS h, alpha FROM ncv JOIN qs ON step = date_diff('day', cutoff, ds)) GROUP BY alpha""",
         "cv",
-        qs=" UNION ALL ".join(f"SELECT {_STEP} AS step, {a!r}::DOUBLE AS alpha, quantile_cont(abs(y - {SN}), {1 - a}) AS q FROM cv GROUP BY 1" for a in ALPHAS),
+        "statics",
+        **_NODE_CV,
+        qs=" UNION ALL ".join(f"SELECT {_STEP} AS step, {a!r}::DOUBLE AS alpha, quantile_cont(abs(y - {SN}), {1 - a}) AS q FROM ncv GROUP BY 1" for a in ALPHAS),
     ),
 )
 def _sweep(d: Data):
-    return rounded(iv.alpha_sweep(d.cv, SN, ALPHAS))
+    return rounded(iv.alpha_sweep(d.node_cv, SN, ALPHAS))

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from demandloom.models import hierarchical as hm
 from demandloom.models import panel_models as pm
 from demandloom.models import pretrained as pt
+from demandloom.models import segmented as sg
 from demandloom.models import series as se
 from demandloom.models import smoothing as sm
+from demandloom.models import trees as tr
+from demandloom.operators import erm_l1
 from demandloom.operators import folds as fd
 from demandloom.operators import reconcile as rc
 
@@ -229,18 +232,191 @@ def test_hierarchical_forecast_columns(toy):
         hm.hier_forecast(toy, statics, 3, ("Unknown",))
 
 
-def test_hierarchy_queries_run_every_method(monkeypatch):
-    from demandloom.plans import model_queries as mq
-    from demandloom.plans import registry
+def test_hierarchy_queries_run_every_method(spark):
+    """On the smallest tables: every method has a forecast for every series, day and fold."""
+    from demandloom.plans import load_all, registry
 
-    class Inputs:
-        small = small_statics = end = points = None
+    load_all()
+    methods = {"BU", "MinT_OLS", "MinT_shrink"}
+    for name in ("hier_values", "cv_hier_values"):
+        got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert methods <= set(got.columns)
+        assert got.where(" OR ".join(f"{m} IS NULL OR isnan({m})" for m in methods)).isEmpty() and not got.isEmpty()
 
-    asked = []
-    monkeypatch.setattr(registry, "Data", lambda *_: Inputs)
-    monkeypatch.setattr(mq, "rounded", lambda out, *_: out)
-    monkeypatch.setattr(mq.hm, "hier_forecast", lambda p, s, h, methods, **_: asked.append(methods))
-    monkeypatch.setattr(mq.hm, "cv_hier", lambda p, s, h, points, methods: asked.append(methods))
-    registry.QUERIES["hier_forecast"](None, "")
-    registry.QUERIES["cv_hier"](None, "")
-    assert len(asked) == 2 and all({"BU", "MinT_OLS", "MinT_shrink"} <= set(m) for m in asked)
+
+# --- the bordered system ---------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def folded_hierarchy(spark):
+    """Two folds of unlike length over 6 items x 5 stores in 2 states, one series and its days missing in the first fold."""
+    rng = np.random.default_rng(9)
+    cells = [(i, s) for i in range(6) for s in range(5) if (i + 2 * s) % 7]
+    groups: dict[str, list[str]] = {}
+    for i, s in cells:
+        b = f"b{i}-{s}"
+        for n in ("T", f"S{s % 2}", f"D{i % 2}", f"st{s}", f"st{s}D{i % 2}", f"i{i}", f"i{i}S{s % 2}", b):
+            groups.setdefault(n, []).append(b)
+    bottoms = [f"b{i}-{s}" for i, s in cells]
+    edges = [(b, n, b == n, b.split("-")[0]) for n, bs in groups.items() for b in bs]
+    base, dense = [], {}
+    for fold, t in (("f1", 30), ("f2", 45)):
+        gone = bottoms[3] if fold == "f1" else None
+        here = [b for b in bottoms if b != gone]
+        nodes = [n for n, bs in groups.items() if any(b in here for b in bs)]
+        s = np.array([[float(b in groups[n]) for b in here] for n in nodes])
+        y_hat, actual = s @ rng.normal(10, 3, (len(here), 2)) + rng.normal(0, 2, (len(nodes), 2)), rng.normal(10, 2, (len(nodes), t))
+        fitted = actual + rng.normal(0, 1, t) + rng.normal(0, 1, (len(nodes), t)) * rng.uniform(0.5, 5, (len(nodes), 1))
+        if fold == "f2":
+            fitted[4] = actual[4]  # a node without variance
+        base += [(fold, n, y_hat[k].tolist(), fitted[k].tolist(), actual[k].tolist()) for k, n in enumerate(nodes)]
+        dense[fold] = (s, here, y_hat, actual - fitted)
+    base = spark.createDataFrame(base, "fold string, node_id string, y_hat array<double>, fitted array<double>, actual array<double>")
+    return base.repartition(5), spark.createDataFrame(edges, "bottom_id string, node_id string, is_bottom boolean, block string"), dense
+
+
+def _covariance(method, s, res):
+    if method == "ols":
+        return np.eye(len(s))
+    if method == "wls_struct":
+        return np.diag(s.sum(1))
+    if method == "wls_var":
+        return np.diag(np.maximum((res**2).mean(1), rc.VAR_FLOOR))
+    x, d = rc.bd.standardise(res, np.zeros_like(res))
+    t = res.shape[1]
+    corr = x @ x.T / t
+    off = ~np.eye(len(x), dtype=bool)
+    products = x[:, None] * x[None] - corr[:, :, None]
+    lam = np.clip(t / (t - 1) ** 3 * (products**2).sum(2)[off].sum() / (corr[off] ** 2).sum(), 1e-4, 1)
+    r = x * np.sqrt(d)[:, None]
+    return lam * np.diag(d) + (1 - lam) * r @ r.T / t
+
+
+@pytest.mark.parametrize("method", list(rc.TRACE_METHODS.values()))
+def test_bordered_and_iterated_solutions_equal_the_dense_one(folded_hierarchy, method):
+    base, edges, dense = folded_hierarchy
+    for limit in (None, 0):  # without a border the fallback runs
+        # a weight of 1e8 beside others of 1 is too much for conjugate gradients, which stop at a share of the whole
+        folds = ["f1"] if limit == 0 and method in ("wls_var", "mint_shrink") else ["f1", "f2"]
+        found = rc.recon_mintrace(base.where(F.col("fold").isin(folds)), edges, 2, method, limit=limit)
+        got = {(r.fold, r.bottom_id): (r.k1, r.k2) for r in found.collect()}
+        for fold in folds:
+            s, here, y_hat, res = dense[fold]
+            want = _dense(s, _covariance(method, s, res), y_hat)
+            assert np.allclose([got.pop((fold, b)) for b in here], want, atol=1e-5 if limit is None else 1e-3)
+        assert not got
+    if method != "wls_var":
+        gradient = rc.mintrace_gradient(base, edges, rc.recon_mintrace(base, edges, 2, method), 2, method).collect()
+        assert len(gradient) == sum(len(d[1]) for d in dense.values()) and max(abs(r.k1) + abs(r.k2) for r in gradient) < 1e-7
+        wrong = rc.recon_mintrace(base, edges, 2, method).withColumn("k1", F.col("k1") + 0.1)
+        assert max(abs(r.k1) for r in rc.mintrace_gradient(base, edges, wrong, 2, method).collect()) > 1e-4
+
+
+# --- many series, many folds -----------------------------------------------------------------
+
+
+def test_batches_of_theta_equal_single_series():
+    rng = np.random.default_rng(4)
+    many = [np.maximum(rng.normal(5, 3, n) + 2 * np.sin(np.arange(n) * 2 * np.pi / 7) * (n % 2), 0) for n in (1, 2, 9, 40, 41, 200, 203)]
+    many += [np.zeros(30), np.ones(25), rng.uniform(1, 9, 77)]
+    for y, (ahead, inside) in zip(many, sm.theta_batch(many, 6)):
+        want = sm.theta(y, 6)
+        assert np.allclose(ahead, want[0]) and np.allclose(inside, want[1], equal_nan=True)
+
+
+def test_weekday_median():
+    y = np.arange(1.0, 25.0)
+    ahead, inside = sm.weekday_median(y, 9, 7, 3)
+    assert ahead[0] == np.median([18, 11, 4]) and ahead[7] == ahead[0] and ahead[8] == ahead[1]
+    assert np.isnan(inside[:7]).all() and inside[7] == 1 and inside[21] == np.median([1, 8, 15])
+    assert (sm.weekday_median(np.array([4.0, 6.0]), 3)[0] == [5, 5, 5]).all() and (sm.weekday_median(np.zeros(0), 2)[0] == 0).all()
+
+
+def test_folds_know_nothing_of_later_days(toy, points):
+    statics = toy.select("unique_id", "item_id", "dept_id", "cat_id", "store_id", "state_id").distinct()
+    methods = ("BU", "MinT_OLS", "MinT_shrink")
+    both = hm.cv_hier(toy, statics, H, points, methods).toPandas().sort_values(["cutoff", "unique_id", "ds"])
+    assert len(both) == 2 * 3 * H
+    early = toy.withColumn("y", F.when(F.col("ds") > points[0], F.col("y") * 3).otherwise(F.col("y")))
+    again = hm.cv_hier(early, statics, H, points, methods).toPandas().sort_values(["cutoff", "unique_id", "ds"])
+    first = (both["cutoff"] == both["cutoff"].min()).to_numpy()
+    assert np.allclose(both[first][list(methods)], again[first][list(methods)])
+    assert not np.allclose(both[~first][list(methods)], again[~first][list(methods)])
+    # one fold alone gives the same
+    alone = hm.hier_forecast(toy.where(F.col("ds") <= points[1]), statics, H, methods, end=points[1]).toPandas().sort_values(["unique_id", "ds"])
+    assert np.allclose(both[~first][list(methods)], alone[list(methods)])
+
+
+def test_all_nodes_are_coherent(toy):
+    statics = toy.select("unique_id", "item_id", "dept_id", "cat_id", "store_id", "state_id").distinct()
+    nodes = hm.hier_forecast(toy, statics, 3, ("BU", "MinT_OLS"), bottom_only=False).toPandas()
+    bottom = nodes[nodes["level_idx"] == 11]
+    assert set(nodes["level_idx"]) == set(range(12)) and np.isfinite(nodes["base"]).all()
+    for _, level in nodes.groupby("level_idx"):
+        assert np.allclose(level.groupby("ds")[["BU", "MinT_OLS"]].sum(), bottom.groupby("ds")[["BU", "MinT_OLS"]].sum())
+    assert np.allclose(bottom["BU"], bottom["base"])
+
+
+@pytest.mark.parametrize("lam", [0.01, 2.0])
+def test_l1_regressions_over_blocks_of_nodes(spark, lam, monkeypatch):
+    monkeypatch.setattr(erm_l1, "NAMED", 2)  # working sets grow over many rounds
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (25, 60)) * rng.uniform(0.5, 30, (25, 1))
+    x = np.vstack([x, x[:3], np.zeros((1, 60))])
+    ahead, r = rng.normal(0, 1, (29, 2)), rng.normal(0, 4, (5, 60))
+    r, ahead[25:28] = np.vstack([r, np.zeros((1, 60))]), ahead[:3]  # repeated rows may share a weight in any way
+    nodes = spark.createDataFrame([(f"n{k}", bytearray(x[k].tobytes()), bytearray(ahead[k].tobytes())) for k in range(29)], "node_id string, x binary, y binary")
+    series = spark.createDataFrame([(f"s{k}", bytearray(v.tobytes()), bytearray(np.ones(2).tobytes())) for k, v in enumerate(r)], "bottom_id string, r binary, own binary")
+    got = {g.bottom_id: g for g in erm_l1.l1_regressions(nodes, series, lam, 2, node_block=7).collect()}
+    assert len(got) == 6 and max(g.gap for g in got.values()) <= erm_l1.TOLERANCE
+    for k in range(5):
+        p = erm_l1.Lasso(x, lam).solve(r[k])
+        assert np.allclose([got[f"s{k}"].k1, got[f"s{k}"].k2], 1 + p @ ahead, atol=1e-3)
+        assert got[f"s{k}"].alive >= got[f"s{k}"].used
+    assert got["s5"].k1 == 1 and got["s5"].used == 0
+
+
+def test_segments_of_all_folds_equal_single_fits(toy, points):
+    spark = toy.sparkSession
+    days = spark.range(1).select(F.explode(F.sequence(F.lit("2019-12-01").cast("date"), F.lit("2021-01-01").cast("date"))).alias("ds"))
+    calendar = days.select("ds", F.when(F.dayofmonth("ds") == 5, "fair").otherwise("none").alias("event_name_1"), (F.dayofmonth("ds") <= 10).cast("int").alias("snap_CA"))
+    cuts = se.as_dates(toy, points)
+    train = sg.settle(sg.segment_frame(toy, calendar, ["CA"], F.lit(min(cuts))))
+    models = sg.fit_folds(train, ["store_id"], cuts)
+    pdf = train.toPandas()
+    for m in models.collect():
+        part = pdf[(pdf["store_id"] == m.store_id) & (pd.to_datetime(pdf["ds"]) <= pd.Timestamp(m.cutoff))]
+        x = sg._design(part, sg.FEATURES)
+        want = np.linalg.solve(x.T @ x + sg.RIDGE * np.eye(x.shape[1]), x.T @ part["y"].to_numpy(dtype=float))
+        assert np.allclose(m.beta, want, atol=1e-6)
+    zeros = [r.equation for r in sg.score_equations(train, models, ["store_id"], cuts).collect()]
+    assert len(zeros) == models.count() * (len(sg.FEATURES) + 1) and max(map(abs, zeros)) < 1e-9
+    cv = sg.cv_segmented(toy, calendar, H, points, ["store_id"], states=["CA"]).toPandas()
+    base = fd.baseline_cv(toy, H, 2).toPandas()
+    assert len(cv) == 2 * H * 3 and _rmse(cv, "Segmented") < _rmse(base, "SeasonalNaive")
+    later = toy.withColumn("y", F.when(F.col("ds") > points[0], 99.0).otherwise(F.col("y")))
+    again = sg.cv_segmented(later, calendar, H, points, ["store_id"], states=["CA"]).toPandas()
+    keys = ["unique_id", "ds"]
+    one, two = (c[c["cutoff"] == c["cutoff"].min()].sort_values(keys)["Segmented"].to_numpy() for c in (cv, again))
+    assert np.allclose(one, two)
+
+
+def _fair(spark):
+    days = spark.range(1).select(F.explode(F.sequence(F.lit("2019-12-01").cast("date"), F.lit("2021-01-01").cast("date"))).alias("ds"))
+    return days.select("ds", F.when(F.dayofmonth("ds") == 5, "fair").otherwise("none").alias("event_name_1"), (F.dayofmonth("ds") <= 10).cast("int").alias("snap_CA"))
+
+
+def test_written_forest_is_the_fitted_one(toy, points):
+    calendar, point = _fair(toy.sparkSession), points[1]
+    past = toy.where(F.col("ds") <= point)
+    nodes, start = tr.trained(past, calendar, ["CA"], point, rounds=6, trees=4, depth=4, step=0.5)
+    forest = tr.assemble(nodes, tr.FEATURES, start)
+    assert len(forest.roots) == 24 and 1 <= forest.depth <= 4
+    ahead = tr.forecast(past, calendar, H, nodes, start, states=["CA"], end=point).toPandas()
+    assert len(ahead) == 3 * H and (ahead["Trees"] > 0).all()
+    again = tr.first_step_by_joins(past, calendar, H, nodes, start, states=["CA"], end=point).toPandas()
+    both = ahead.merge(again, on=["unique_id", "ds"])
+    assert len(both) == 3 and np.allclose(both["Trees_x"], both["Trees_y"])
+    truth = fd.fold_test(toy, [point], H).toPandas().merge(ahead, on=["unique_id", "ds"])
+    base = fd.baseline_cv(toy, H, 2).toPandas()
+    assert _rmse(truth, "Trees") < _rmse(base[base["cutoff"] == base["cutoff"].max()], "SeasonalNaive")

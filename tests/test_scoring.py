@@ -156,3 +156,22 @@ def test_intermittency_and_requests(spark, toy):
     assert [r["unique_id"] for r in rows(dm.request_rejects_by_id(asked, toy))] == ["nobody"]
     history = spark.createDataFrame([(" ", _day(0), 1.0), ("nobody", _day(0), -1.0)], "unique_id string, ds date, y double")
     assert {r["reasons"] for r in rows(dm.validate_requests(history, toy, min_rows=1))} == {"blank_id,unknown_id", "negative_y,unknown_id"}
+
+
+def test_resampled_sums_are_the_same_in_any_number_of_blocks(spark):
+    import hashlib
+
+    terms = spark.createDataFrame([(k, float(k), 1.0) for k in range(7)], "_pick long, a double, b double")
+    want = [sum(int(hashlib.md5(f"42:{i}:{j}".encode()).hexdigest()[:16], 16) % 7 for j in range(7)) for i in range(20)]
+    for rows_ in (None, 3):
+        got = {r.iteration: (r.a, r.b) for r in dg.resampled_sums(terms, 7, ["a", "b"], 20, 42, rows_).collect()}
+        assert got == {i: (float(w), 7.0) for i, w in enumerate(want)}
+
+
+@pytest.mark.parametrize("name, column", [("conformal_fit_pooled", "q"), ("conformal_fit_grouped", "q"), ("conformal_fit_scaled", "q"), ("interval_width", "avg_width"), ("coverage_by_step", "avg_width"), ("alpha_sweep", "avg_width"), ("method_compare", "avg_width"), ("calibration_deciles", "mean_forecast")])
+def test_interval_queries_are_not_constant(spark, name, column):
+    from demandloom.plans import load_all, registry
+
+    load_all()
+    values = [r[column] for r in registry.QUERIES[name](spark, "/root/testdata/sf0.01").collect()]
+    assert max(values) > 0 and (len(values) == 1 or len(set(values)) > len(values) / 2)
