@@ -141,36 +141,41 @@ def raw_by_joins(rows: DataFrame, nodes: DataFrame, features: Sequence[str], sta
     return rows.join(sums, "row")
 
 
-def trained(panel: DataFrame, calendar: DataFrame, states: Sequence[str], end: Column, train_days: int = TRAIN_DAYS, **options) -> tuple[DataFrame, float]:
-    """A forest on the last ``train_days`` days up to ``end``."""
-    recent = panel.where((F.col("ds") <= end) & (F.col("ds") > F.date_sub(end, train_days + 28)))
-    return fit_forest(settle(segment_frame(recent, calendar, states, end).select("y", *FEATURES)), **options)
+def recent_rows(panel: DataFrame, end: Column, train_days: int = TRAIN_DAYS) -> DataFrame:
+    """The last ``train_days`` days up to ``end`` and the days their lags need, kept once for training and forecast."""
+    return settle(panel.where((F.col("ds") <= end) & (F.col("ds") > F.date_sub(end, train_days + 28))))
 
 
-def fc_global_tree(
-    panel: DataFrame, calendar: DataFrame, h: int, *, states: Sequence[str] = (), end: Column | None = None, train_days: int = TRAIN_DAYS, **options
-) -> DataFrame:
-    """``unique_id, ds, Trees``: lags, dates, drivers and statics; all steps of the horizon in one job."""
-    point = latest(panel) if end is None else end
-    nodes, start = trained(panel, calendar, states, point, train_days, **options)
-    return forecast(panel, calendar, h, nodes, start, states=states, end=point, train_days=train_days)
+def trained(recent: DataFrame, calendar: DataFrame, states: Sequence[str], end: Column, **options) -> tuple[DataFrame, float]:
+    """Splits and start value of a forest on ``recent_rows``."""
+    return fit_forest(segment_frame(recent, calendar, states, end).select("y", *FEATURES), **options)
+
+
+def forecast_states(recent: DataFrame, calendar: DataFrame, h: int, *, states: Sequence[str], end: Column) -> DataFrame:
+    return settle(fold_states(recent, calendar, states, as_dates(recent, [end]), h, end, ()))
 
 
-def forecast(panel: DataFrame, calendar: DataFrame, h: int, nodes: DataFrame, start: float, *, states: Sequence[str], end: Column, train_days: int = TRAIN_DAYS) -> DataFrame:
-    """The forecast of a written forest."""
-    recent = panel.where((F.col("ds") <= end) & (F.col("ds") > F.date_sub(end, train_days + 28)))
-    state = fold_states(recent, calendar, states, as_dates(panel, [end]), h, end, ())
+def forecast(state: DataFrame, h: int, nodes: DataFrame, start: float) -> DataFrame:
+    """``unique_id, ds, Trees`` of a written forest from ``forecast_states``: all steps of the horizon in one job."""
     return recurse_batches(state, h, assemble(nodes, FEATURES, start), "Trees", (*DRIVERS, *MEANS))
 
 
-def first_step_by_joins(panel: DataFrame, calendar: DataFrame, h: int, nodes: DataFrame, start: float, *, states: Sequence[str], end: Column, train_days: int = TRAIN_DAYS) -> DataFrame:
+def first_step_by_joins(state: DataFrame, nodes: DataFrame, start: float) -> DataFrame:
     """``unique_id, ds, Trees`` of the first day ahead, recomputed from the written splits in SQL."""
-    recent = panel.where((F.col("ds") <= end) & (F.col("ds") > F.date_sub(end, train_days + 28)))
-    state = fold_states(recent, calendar, states, as_dates(panel, [end]), h, end, ())
     rows = step_features(state, 1, (*DRIVERS, *MEANS)).withColumn("year", F.col("year") - YEAR_ORIGIN).withColumn("row", F.col("unique_id"))
-    depth = assemble(nodes, FEATURES, start).depth
     raw = F.greatest(F.lit(_FLOOR), F.least(F.lit(_CAP), F.col("raw")))
-    return raw_by_joins(rows, nodes, FEATURES, start, depth).select("unique_id", F.date_add("cutoff", 1).alias("ds"), F.exp(raw).alias("Trees"))
+    walked = raw_by_joins(rows, nodes, FEATURES, start, assemble(nodes, FEATURES, start).depth)
+    return walked.select("unique_id", F.date_add("cutoff", 1).alias("ds"), F.exp(raw).alias("Trees"))
+
+
+def fc_global_tree(
+    panel: DataFrame, calendar: DataFrame, h: int, *, states: Sequence[str] = (), end: Column | None = None, train_days: int = TRAIN_DAYS, **options
+) -> DataFrame:
+    """``unique_id, ds, Trees``: lags, dates, drivers and statics of the last ``train_days`` days."""
+    point = latest(panel) if end is None else end
+    recent = recent_rows(panel, point, train_days)
+    nodes, start = trained(recent, calendar, states, point, **options)
+    return forecast(forecast_states(recent, calendar, h, states=states, end=point), h, nodes, start)
 
 
 def cv_global_tree(panel: DataFrame, calendar: DataFrame, h: int, points: Sequence[Column], *, states: Sequence[str] = (), **options) -> DataFrame:

@@ -171,10 +171,10 @@ def _fc_segmented(d: Data):
 @query("fc_global_tree", sql("SELECT DISTINCT unique_id, last_ds + 1 AS ds, 0.0::DOUBLE AS difference FROM facts, last_day", "facts", "last_day"))
 def _fc_tree(d: Data):
     """The first day of the forecast against the same day recomputed from the written splits with joins."""
-    calendar = _long_calendar(d)
-    nodes, start = tr.trained(d.panel, calendar, REGIONS, d.end)
-    ahead = tr.forecast(d.panel, calendar, H, nodes, start, states=REGIONS, end=d.end)
-    again = tr.first_step_by_joins(d.panel, calendar, H, nodes, start, states=REGIONS, end=d.end)
+    calendar, recent = _long_calendar(d), tr.recent_rows(d.panel, d.end)
+    nodes, start = tr.trained(recent, calendar, REGIONS, d.end)
+    state = tr.forecast_states(recent, calendar, H, states=REGIONS, end=d.end)
+    ahead, again = tr.forecast(state, H, nodes, start), tr.first_step_by_joins(state, nodes, start)
     both = ahead.join(again.withColumnRenamed("Trees", "again"), ["unique_id", "ds"])
     return rounded(both.select("unique_id", "ds", (F.col("Trees") - F.col("again")).alias("difference")))
 

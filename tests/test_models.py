@@ -379,9 +379,9 @@ def test_l1_regressions_over_blocks_of_nodes(spark, lam, monkeypatch):
 def test_segments_of_all_folds_equal_single_fits(toy, points):
     spark = toy.sparkSession
     days = spark.range(1).select(F.explode(F.sequence(F.lit("2019-12-01").cast("date"), F.lit("2021-01-01").cast("date"))).alias("ds"))
-    calendar = days.select("ds", F.when(F.dayofmonth("ds") == 5, "fair").otherwise("none").alias("event_name_1"), (F.dayofmonth("ds") <= 10).cast("int").alias("snap_CA"))
+    calendar = days.select("ds", F.when(F.dayofmonth("ds") == 5, "fair").otherwise("none").alias("event_name_1"), (F.dayofmonth("ds") <= 10).cast("int").alias("snap_NORTH"))
     cuts = se.as_dates(toy, points)
-    train = sg.settle(sg.segment_frame(toy, calendar, ["CA"], F.lit(min(cuts))))
+    train = sg.settle(sg.segment_frame(toy, calendar, ["NORTH"], F.lit(min(cuts))))
     models = sg.fit_folds(train, ["store_id"], cuts)
     pdf = train.toPandas()
     for m in models.collect():
@@ -391,11 +391,11 @@ def test_segments_of_all_folds_equal_single_fits(toy, points):
         assert np.allclose(m.beta, want, atol=1e-6)
     zeros = [r.equation for r in sg.score_equations(train, models, ["store_id"], cuts).collect()]
     assert len(zeros) == models.count() * (len(sg.FEATURES) + 1) and max(map(abs, zeros)) < 1e-9
-    cv = sg.cv_segmented(toy, calendar, H, points, ["store_id"], states=["CA"]).toPandas()
+    cv = sg.cv_segmented(toy, calendar, H, points, ["store_id"], states=["NORTH"]).toPandas()
     base = fd.baseline_cv(toy, H, 2).toPandas()
     assert len(cv) == 2 * H * 3 and _rmse(cv, "Segmented") < _rmse(base, "SeasonalNaive")
     later = toy.withColumn("y", F.when(F.col("ds") > points[0], 99.0).otherwise(F.col("y")))
-    again = sg.cv_segmented(later, calendar, H, points, ["store_id"], states=["CA"]).toPandas()
+    again = sg.cv_segmented(later, calendar, H, points, ["store_id"], states=["NORTH"]).toPandas()
     keys = ["unique_id", "ds"]
     one, two = (c[c["cutoff"] == c["cutoff"].min()].sort_values(keys)["Segmented"].to_numpy() for c in (cv, again))
     assert np.allclose(one, two)
@@ -403,18 +403,20 @@ def test_segments_of_all_folds_equal_single_fits(toy, points):
 
 def _fair(spark):
     days = spark.range(1).select(F.explode(F.sequence(F.lit("2019-12-01").cast("date"), F.lit("2021-01-01").cast("date"))).alias("ds"))
-    return days.select("ds", F.when(F.dayofmonth("ds") == 5, "fair").otherwise("none").alias("event_name_1"), (F.dayofmonth("ds") <= 10).cast("int").alias("snap_CA"))
+    return days.select("ds", F.when(F.dayofmonth("ds") == 5, "fair").otherwise("none").alias("event_name_1"), (F.dayofmonth("ds") <= 10).cast("int").alias("snap_NORTH"))
 
 
 def test_written_forest_is_the_fitted_one(toy, points):
     calendar, point = _fair(toy.sparkSession), points[1]
     past = toy.where(F.col("ds") <= point)
-    nodes, start = tr.trained(past, calendar, ["CA"], point, rounds=6, trees=4, depth=4, step=0.5)
+    recent = tr.recent_rows(past, point)
+    nodes, start = tr.trained(recent, calendar, ["NORTH"], point, rounds=6, trees=4, depth=4, step=0.5)
+    state = tr.forecast_states(recent, calendar, H, states=["NORTH"], end=point)
     forest = tr.assemble(nodes, tr.FEATURES, start)
     assert len(forest.roots) == 24 and 1 <= forest.depth <= 4
-    ahead = tr.forecast(past, calendar, H, nodes, start, states=["CA"], end=point).toPandas()
+    ahead = tr.forecast(state, H, nodes, start).toPandas()
     assert len(ahead) == 3 * H and (ahead["Trees"] > 0).all()
-    again = tr.first_step_by_joins(past, calendar, H, nodes, start, states=["CA"], end=point).toPandas()
+    again = tr.first_step_by_joins(state, nodes, start).toPandas()
     both = ahead.merge(again, on=["unique_id", "ds"])
     assert len(both) == 3 and np.allclose(both["Trees_x"], both["Trees_y"])
     truth = fd.fold_test(toy, [point], H).toPandas().merge(ahead, on=["unique_id", "ds"])

@@ -127,7 +127,7 @@ def test_json_sink_writes_null_for_non_finite(spark, tmp_path):
 def test_train_bundle(spark, toy, tmp_path):
     paths = sinks.sink_train_bundle(toy, str(tmp_path), "v1")
     meta = spark.read.parquet(paths["metadata"]).first()
-    assert (meta["n_series"], meta["n_rows"], meta["min_history_required"]) == (3, 600, 55)
+    assert (meta["n_series"], meta["n_rows"], meta["min_history_required"]) == (3, 609, 55)
     assert spark.read.parquet(paths["history"]).count() == 3 * 121
     assert spark.read.parquet(paths["latest"]).first()["version"] == "v1"
 
@@ -158,18 +158,18 @@ def test_price_rank_averages_ties(spark):
 
 
 def test_full_feature_frame(toy):
-    out = ft.build_features(toy.withColumn("event_name_1", F.lit("none")).withColumn("snap_CA", F.lit(1)))
+    out = ft.build_features(toy.withColumn("event_name_1", F.lit("none")).withColumn("snap_NORTH", F.lit(1)), states=["NORTH"])
     pdf = out.toPandas()
-    assert len(pdf) == 600 and set(ft.DYNAMIC_COLUMNS) <= set(pdf.columns)
+    assert len(pdf) == 609 and set(ft.DYNAMIC_COLUMNS) <= set(pdf.columns)
     assert abs(pdf["price_norm"].mean() - 1) < 1e-9
-    assert set(pdf.loc[pdf["state_id"] == "CA", "snap"]) == {1} and set(pdf.loc[pdf["state_id"] == "TX", "snap"]) == {0}
+    assert set(pdf.loc[pdf["state_id"] == "north", "snap"]) == {1} and set(pdf.loc[pdf["state_id"] == "south", "snap"]) == {0}
     assert pdf["days_since_release"].min() >= 0
 
 
 def test_mean_encoding_as_of_ignores_later_rows(toy, toy_pdf):
     cut = dt.date(2020, 3, 1)
-    got = ft.feat_mean_encoding(toy, as_of=F.lit(cut)).where((F.col("cat_id") == "FOODS") & (F.col("dayofweek") == 0)).first()["cat_id_mean_dow"]
-    seen = toy_pdf[(toy_pdf["ds"] <= cut) & (toy_pdf["cat_id"] == "FOODS") & (pd.to_datetime(toy_pdf["ds"]).dt.dayofweek == 0)]
+    got = ft.feat_mean_encoding(toy, as_of=F.lit(cut)).where((F.col("cat_id") == "drink") & (F.col("dayofweek") == 0)).first()["cat_id_mean_dow"]
+    seen = toy_pdf[(toy_pdf["ds"] <= cut) & (toy_pdf["cat_id"] == "drink") & (pd.to_datetime(toy_pdf["ds"]).dt.dayofweek == 0)]
     assert abs(got - seen["y"].mean()) < 1e-9
 
 
@@ -224,3 +224,13 @@ def test_densify_keeps_repeated_days_and_drops_later_rows(spark):
     got = densify_panel(facts, until=F.lit("2020-01-04").cast("date"))
     rows = sorted((r.unique_id, r.ds.day, r.y) for r in got.collect())
     assert rows == [("a", 1, 2.0), ("a", 1, 3.0), ("a", 2, 0.0), ("a", 3, 4.0), ("a", 4, 0.0), ("b", 4, 1.0)]
+
+
+def test_uneven_series_are_filled_to_the_last_day(spark, rough_pdf):
+    last = max(rough_pdf["ds"])
+    dense = rs.densify_panel(spark.createDataFrame(rough_pdf)).toPandas()
+    for uid, part in rough_pdf.groupby("unique_id"):
+        got = dense[dense["unique_id"] == uid]
+        assert got["ds"].nunique() == (last - min(part["ds"])).days + 1 and got["y"].sum() == part["y"].sum()
+        twice = part["ds"].duplicated().sum()
+        assert len(got) == got["ds"].nunique() + twice

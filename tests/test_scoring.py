@@ -30,10 +30,10 @@ def test_components(spark, toy_scoring):
 
 def test_perfect_is_zero_and_first(toy_scoring):
     got = rows(m.wrmsse_for_models(toy_scoring.cv, toy_scoring.components))
-    assert got[0]["model"] == "Perfect" and got[0]["wrmsse"] == 0 and len(got) == 3
+    assert got[0]["model"] == "Exact" and got[0]["wrmsse"] == 0 and len(got) == 3
     head = rows(s.score_headline(toy_scoring))
     bias = {r["model"]: r["bias"] for r in head}
-    assert abs(bias["Biased"] - 1.5) < 1e-9 and bias["Perfect"] == 0
+    assert abs(bias["High"] - 2.25) < 1e-9 and bias["Exact"] == 0
 
 
 def test_no_overlap_raises(spark, toy_scoring):
@@ -56,11 +56,11 @@ def test_axes(toy_scoring):
     assert len(rows(s.score_per_fold(toy_scoring))) == 6
     assert {r["h"] for r in rows(s.score_per_horizon(toy_scoring))} == set(range(1, 15))
     seg = rows(s.score_per_segment(toy_scoring, "store_id"))
-    assert {(r["segment"], r["n_series"]) for r in seg} == {("CA_1", 2), ("TX_1", 1)}
+    assert {(r["segment"], r["n_series"]) for r in seg} == {("north-1", 2), ("south-1", 1)}
     assert rows(s.score_per_segment(toy_scoring, "absent")) == []
     levels = rows(s.score_per_level(toy_scoring))
     assert len({r["level_idx"] for r in levels}) == 12
-    assert all(r["wrmsse"] < 1e-9 for r in levels if r["model"] == "Perfect")
+    assert all(r["wrmsse"] < 1e-9 for r in levels if r["model"] == "Exact")
     bottom = {r["model"]: r["wrmsse"] for r in levels if r["level_idx"] == hr.BOTTOM}
     flat = {r["model"]: r["wrmsse"] for r in rows(m.wrmsse_for_models(toy_scoring.cv, toy_scoring.components))}
     assert all(abs(bottom[k] - flat[k]) < 1e-9 for k in flat)
@@ -90,9 +90,9 @@ def test_rank_helpers(spark, toy_scoring):
 
 def test_fva(toy_scoring):
     star = {r["model"]: r for r in rows(fva.fva_star(toy_scoring, "Naive"))}
-    assert star["Perfect"]["fva_abs"] > 0 and abs(star["Perfect"]["fva_pct"] - 1) < 1e-9
-    chain = rows(fva.fva_chain(toy_scoring, ["Naive", "Biased", "Perfect"]).orderBy("pos"))
-    assert chain[0]["is_baseline"] and chain[0]["fva_abs"] == 0 and chain[2]["previous"] == "Biased"
+    assert star["Exact"]["fva_abs"] > 0 and abs(star["Exact"]["fva_pct"] - 1) < 1e-9
+    chain = rows(fva.fva_chain(toy_scoring, ["Naive", "High", "Exact"]).orderBy("pos"))
+    assert chain[0]["is_baseline"] and chain[0]["fva_abs"] == 0 and chain[2]["previous"] == "High"
     net = sum(r["fva_abs"] for r in chain)
     assert abs(net - (chain[0]["error_step"] - chain[2]["error_step"])) < 1e-9
     for bad in (lambda: fva.fva_star(toy_scoring, "absent"), lambda: fva.fva_star(toy_scoring, "Naive", "mape"), lambda: fva.fva_chain(toy_scoring, ["Naive"])):
@@ -102,7 +102,7 @@ def test_fva(toy_scoring):
 
 def test_concentration_ends_at_one_and_skips_perfect(toy_scoring):
     got = rows(dg.error_concentration(toy_scoring))
-    assert {r["model"] for r in got} == {"Biased", "Naive"}
+    assert {r["model"] for r in got} == {"High", "Naive"}
     last = [r for r in got if r["rank"] == 3]
     assert all(abs(r["cum_weight"] - 1) < 1e-9 and abs(r["cum_error_share"] - 1) < 1e-9 for r in last) and len(last) == 2
 
@@ -111,7 +111,7 @@ def test_bootstrap(toy_scoring):
     got = {(r["model_a"], r["model_b"]): r["p_value"] for r in rows(dg.bootstrap_pvalues(toy_scoring, n_iter=50))}
     again = {(r["model_a"], r["model_b"]): r["p_value"] for r in rows(dg.bootstrap_pvalues(toy_scoring, n_iter=50))}
     assert got == again and len(got) == 9
-    assert got["Naive", "Naive"] == 1 and got["Perfect", "Biased"] == 0 and got["Biased", "Perfect"] == 1
+    assert got["Naive", "Naive"] == 1 and got["Exact", "High"] == 0 and got["High", "Exact"] == 1
 
 
 def test_bias_variance_identity(toy_scoring):
@@ -151,7 +151,7 @@ def test_intermittency_and_requests(spark, toy):
     routes = {r["unique_id"]: r["route"] for r in rows(dm.demand_route(profile, pools, "dept"))}
     assert routes == {"never": "univariate", "rare": "pooled", "rare2": "pooled", "steady": "univariate"}
 
-    asked = spark.createDataFrame([("FOODS_1_001_CA_1",), ("FOODS_1_001_CA_1",), ("nobody",)], "unique_id string")
+    asked = spark.createDataFrame([("tea-green_north-1",), ("tea-green_north-1",), ("nobody",)], "unique_id string")
     assert dm.score_requests_by_id(asked, toy, 5).count() == 5
     assert [r["unique_id"] for r in rows(dm.request_rejects_by_id(asked, toy))] == ["nobody"]
     history = spark.createDataFrame([(" ", _day(0), 1.0), ("nobody", _day(0), -1.0)], "unique_id string, ds date, y double")
