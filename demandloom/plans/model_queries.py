@@ -13,6 +13,7 @@ from demandloom.models import pretrained as pt
 from demandloom.models import segmented as sg
 from demandloom.models import series as se
 from demandloom.models import smoothing as sm
+from demandloom.models import store as ms
 from demandloom.models import trees as tr
 from demandloom.operators import demand as dm
 from demandloom.operators import features as ft
@@ -24,6 +25,7 @@ from demandloom.plans.inputs import H, REGIONS, Data
 from demandloom.plans.registry import query
 from demandloom.plans.score_queries import _level_rows, _slash
 from demandloom.plans.sql import STATIC, R, sql
+from demandloom.session import fresh_path
 
 SN = "SeasonalNaive"
 THETA = partial(sm.theta, season=7)
@@ -341,3 +343,16 @@ def _cv_hier(d: Data):
 def _cv_hier_values(d: Data):
     """Backtest of the forecasts themselves, from Theta."""
     return rounded(hm.cv_hier(d.panel, d.statics, H, d.points, (*HIER_METHODS, "MinT_WLS_struct")), 4)
+
+
+@query("score_requests_stored", sql("SELECT unique_id, last_ds + k::INTEGER AS ds, 0.0::DOUBLE AS difference, NULL AS reason FROM (SELECT DISTINCT unique_id FROM facts), last_day, range(1, 29) t(k) UNION ALL SELECT 'nobody', NULL, NULL, 'unknown_id'", "facts", "last_day"))
+def _stored(d: Data):
+    """A linear model trained, published, loaded and applied to stored history, against the same model in memory."""
+    store = fresh_path(d.spark, "store")
+    scorer = ms.train_linear(d.panel, d.end)
+    ms.publish(d.panel, scorer, store, "v1")
+    requests = d.facts.select("unique_id").unionByName(d.spark.createDataFrame([("nobody",)], "unique_id string"))
+    ahead, unknown = ms.score_ids(ms.load(d.spark, store), requests, H)
+    memory = pm.recurse_batches(pm.forecast_state(d.panel), H, scorer, "memory")
+    both = ahead.join(memory, ["unique_id", "ds"]).select("unique_id", "ds", (F.col("y_hat") - F.col("memory")).alias("difference"))
+    return rounded(both).unionByName(unknown, allowMissingColumns=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from demandloom.functions.expr import rounded
@@ -571,7 +573,18 @@ def _histogram(d: Data):
     return rounded(dg.residual_histogram(dg.residuals_long(d.scoring)))
 
 
-@query("residual_qq")
+_GRID = [(k + 1) / 200 for k in range(199)]
+
+
+@query(
+    "residual_qq",
+    sql(
+        f"""SELECT model, {R('p')} AS p, {R('theoretical')} AS theoretical, {R('residual')} AS residual FROM (
+        SELECT model, unnest({_GRID}) AS p, unnest({[NormalDist().inv_cdf(p) for p in _GRID]}) AS theoretical, unnest(quantile_cont(y_hat - y, {_GRID})) AS residual
+        FROM long GROUP BY model)""",
+        "long",
+    ),
+)
 def _qq(d: Data):
     return rounded(dg.residual_qq(dg.residuals_long(d.scoring)))
 

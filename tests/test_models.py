@@ -14,6 +14,7 @@ from demandloom.models import pretrained as pt
 from demandloom.models import segmented as sg
 from demandloom.models import series as se
 from demandloom.models import smoothing as sm
+from demandloom.models import store as ms
 from demandloom.models import trees as tr
 from demandloom.operators import erm_l1
 from demandloom.operators import folds as fd
@@ -422,3 +423,27 @@ def test_written_forest_is_the_fitted_one(toy, points):
     truth = fd.fold_test(toy, [point], H).toPandas().merge(ahead, on=["unique_id", "ds"])
     base = fd.baseline_cv(toy, H, 2).toPandas()
     assert _rmse(truth, "Trees") < _rmse(base[base["cutoff"] == base["cutoff"].max()], "SeasonalNaive")
+
+
+def test_a_published_model_scores_like_the_one_in_memory(spark, toy, tmp_path):
+    store = str(tmp_path)
+    with pytest.raises(ValueError):
+        ms.load(spark, store)
+    scorer = ms.train_linear(toy)
+    ms.publish(toy, scorer, store, "first")
+    wrong = pm.Scorer(scorer.features, tuple(0.0 for _ in scorer.features), 7.0)
+    ms.publish(toy, wrong, store, "second")
+    (tmp_path / "published" / "00000009").mkdir()  # a writer that died
+    stored = ms.load(spark, store)
+    assert stored.version == "second" and stored.scorer == wrong
+    ms.publish(toy, scorer, store, "third")
+    stored = ms.load(spark, store)
+    asked = spark.createDataFrame([("tea-green_north-1",), ("tea-green_north-1",), ("nobody",)], "unique_id string")
+    ahead, unknown = ms.score_ids(stored, asked, 5)
+    memory = {(r.unique_id, r.ds): r.y_hat for r in pm.recurse_batches(pm.forecast_state(toy), 5, scorer, "y_hat").collect()}
+    got = {(r.unique_id, r.ds): r.y_hat for r in ahead.collect()}
+    assert len(got) == 5 and all(abs(memory[k] - v) < 1e-9 for k, v in got.items())
+    assert [r.unique_id for r in unknown.collect()] == ["nobody"]
+    own, rejects = ms.score_histories(stored, toy.select("unique_id", "ds", "y").where("unique_id <> 'soap-oak_south-1' OR ds < '2020-01-20'"), 5)
+    assert {r.unique_id for r in rejects.collect()} == {"soap-oak_south-1"}
+    assert {(r.unique_id, r.ds): round(r.y_hat, 9) for r in own.collect()} == {k: round(v, 9) for k, v in memory.items() if k[0] != "soap-oak_south-1"}
