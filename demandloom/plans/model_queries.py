@@ -49,9 +49,9 @@ def _folds(d: Data):
     return table.join(train, "cutoff").join(test, "cutoff")
 
 
-@query("baseline_cv", sql(f"SELECT unique_id, ds, cutoff, y, Naive, {R(SN)} AS {SN} FROM cv_s", "cv_s"))
+@query("baseline_cv", sql(f"SELECT unique_id, ds, cutoff, y, Naive, {R(SN)} AS {SN} FROM cv", "cv"))
 def _baseline_cv(d: Data):
-    return rounded(fd.baseline_cv(d.small, H, 3, end=d.end))
+    return rounded(fd.baseline_cv(d.panel, H, 3, end=d.end))
 
 
 @query(
@@ -74,9 +74,9 @@ def _fc_seasonal(d: Data):
     return fd.baseline_forecast(d.panel, H, end=d.end).select("unique_id", "ds", SN)
 
 
-@query("ensemble", sql(f"SELECT unique_id, ds, cutoff, y, {R(f'0.25 * Naive + 0.75 * {SN}')} AS ensemble FROM cv_s", "cv_s"))
+@query("ensemble", sql(f"SELECT unique_id, ds, cutoff, y, {R(f'0.25 * Naive + 0.75 * {SN}')} AS ensemble FROM cv", "cv"))
 def _ensemble(d: Data):
-    return rounded(fd.ensemble(d.small_cv, ["Naive", SN], [1.0, 3.0]).select("unique_id", "ds", "cutoff", "y", "ensemble"))
+    return rounded(fd.ensemble(d.cv, ["Naive", SN], [1.0, 3.0]).select("unique_id", "ds", "cutoff", "y", "ensemble"))
 
 
 @query("fc_theta")
@@ -98,36 +98,36 @@ def _fc_bundle(d: Data):
 @query(
     "apply_series_model",
     sql(
-        f"""SELECT p.unique_id, p.ds, f.cutoff, p.y, {R('h.mean_y')} AS Mean FROM small p JOIN folds f ON p.ds > f.cutoff AND p.ds <= f.cutoff + 28
-        JOIN hist_s h ON h.unique_id = p.unique_id AND h.cutoff = f.cutoff AND h.rn = 1""",
-        "hist_s",
+        f"""SELECT p.unique_id, p.ds, f.cutoff, p.y, {R('h.mean_y')} AS Mean FROM panel p JOIN folds f ON p.ds > f.cutoff AND p.ds <= f.cutoff + 28
+        JOIN hist h ON h.unique_id = p.unique_id AND h.cutoff = f.cutoff AND h.rn = 1""",
+        "hist",
     ),
 )
 def _apply_series(d: Data):
-    return rounded(se.apply_series_model(d.small, sm.mean_model, "Mean", H, d.points))
+    return rounded(se.apply_series_model(d.panel, sm.mean_model, "Mean", H, d.points))
 
 
-@query("fc_pretrained", sql(f"SELECT unique_id, last_ds + k::INTEGER AS ds, y AS Pretrained FROM small, last_day, range(1, 29) t(k) WHERE small.ds = last_ds - 6 + CAST((k - 1) % 7 AS INTEGER)", "small", "last_day"))
+@query("fc_pretrained", sql(f"SELECT unique_id, last_ds + k::INTEGER AS ds, y AS Pretrained FROM panel, last_day, range(1, 29) t(k) WHERE panel.ds = last_ds - 6 + CAST((k - 1) % 7 AS INTEGER)", "panel", "last_day"))
 def _fc_pretrained(d: Data):
-    return pt.fc_pretrained(d.small, pt.seasonal_naive_loader(), H)
+    return pt.fc_pretrained(d.panel, pt.seasonal_naive_loader(), H)
 
 
-@query("cv_pretrained", sql(f"SELECT unique_id, ds, cutoff, y, {R(SN)} AS Pretrained FROM cv_s", "cv_s"))
+@query("cv_pretrained", sql(f"SELECT unique_id, ds, cutoff, y, {R(SN)} AS Pretrained FROM cv", "cv"))
 def _cv_pretrained(d: Data):
-    return rounded(pt.cv_pretrained(d.small, pt.seasonal_naive_loader(), H, d.points))
+    return rounded(pt.cv_pretrained(d.panel, pt.seasonal_naive_loader(), H, d.points))
 
 
 @query(
     "future_exog",
     sql(
         f"""SELECT unique_id, store_id, last_ds + k::INTEGER AS ds, {R('price', 8)} AS sell_price, CAST(day(last_ds + k::INTEGER) <= 10 AS INTEGER) AS early
-        FROM (SELECT unique_id, store_id, arg_max(sell_price, ds) FILTER (WHERE sell_price IS NOT NULL) AS price FROM small GROUP BY ALL), last_day, range(1, 29) t(k)""",
-        "small",
+        FROM (SELECT unique_id, store_id, arg_max(sell_price, ds) FILTER (WHERE sell_price IS NOT NULL) AS price FROM panel GROUP BY ALL), last_day, range(1, 29) t(k)""",
+        "panel",
         "last_day",
     ),
 )
 def _future_exog(d: Data):
-    out = pm.future_exog(d.small, _future_calendar(d), H)
+    out = pm.future_exog(d.panel, _future_calendar(d), H)
     return rounded(out.select("unique_id", "store_id", "ds", "sell_price", "early"), 8)
 
 

@@ -217,32 +217,32 @@ def _sink_metrics(d: Data):
     return retail.read_csv(d.spark, f"{base}/headline_csv", "model string, wrmsse double")
 
 
-@query("sink_forecast", sql("SELECT unique_id, ds, Naive FROM fc", "small", "last_day", fc="""SELECT p.unique_id, p.ds + k::INTEGER AS ds, p.y AS Naive
-    FROM small p JOIN last_day ON p.ds = last_ds, range(1, 29) t(k)"""))
+@query("sink_forecast", sql("SELECT unique_id, ds, Naive FROM fc", "panel", "last_day", fc="""SELECT p.unique_id, p.ds + k::INTEGER AS ds, p.y AS Naive
+    FROM panel p JOIN last_day ON p.ds = last_ds, range(1, 29) t(k)"""))
 def _sink_forecast(d: Data):
-    path = sinks.sink_forecast(fd.baseline_forecast(d.small, H, end=d.end).select("unique_id", "ds", "Naive"), "naive", fresh_path(d.spark, "out"))
+    path = sinks.sink_forecast(fd.baseline_forecast(d.panel, H, end=d.end).select("unique_id", "ds", "Naive"), "naive", fresh_path(d.spark, "out"))
     return d.spark.read.parquet(path)
 
 
 @query(
     "sink_train_bundle",
     sql(
-        """SELECT (SELECT count(*) FROM small) AS n_rows, (SELECT count(DISTINCT unique_id) FROM small) AS n_series, last_ds AS training_cutoff, 55 AS min_history_required,
-        (SELECT count(*) FROM small WHERE ds >= last_ds - 120) AS history_rows, (SELECT count(DISTINCT unique_id) FROM facts_small) AS static_rows FROM last_day""",
-        "small",
+        """SELECT (SELECT count(*) FROM panel) AS n_rows, (SELECT count(DISTINCT unique_id) FROM panel) AS n_series, last_ds AS training_cutoff, 55 AS min_history_required,
+        (SELECT count(*) FROM panel WHERE ds >= last_ds - 120) AS history_rows, (SELECT count(DISTINCT unique_id) FROM facts) AS static_rows FROM last_day""",
+        "panel",
         "last_day",
     ),
 )
 def _bundle(d: Data):
-    paths = sinks.sink_train_bundle(d.small, fresh_path(d.spark, "bundle"), "v1")
+    paths = sinks.sink_train_bundle(d.panel, fresh_path(d.spark, "bundle"), "v1")
     read = d.spark.read.parquet
     sizes = {f"{n}_rows": read(paths[p]).agg(F.count("*")).scalar() for n, p in (("history", "history"), ("static", "statics"))}
     return read(paths["metadata"]).select("n_rows", "n_series", "training_cutoff", "min_history_required", *[c.alias(n) for n, c in sizes.items()])
 
 
-@query("train_select_history", sql("SELECT unique_id, ds, y FROM small, last_day WHERE ds >= last_ds - 120", "small", "last_day"))
+@query("train_select_history", sql("SELECT unique_id, ds, y FROM panel, last_day WHERE ds >= last_ds - 120", "panel", "last_day"))
 def _history(d: Data):
-    return sinks.train_select_history(d.small)
+    return sinks.train_select_history(d.panel)
 
 
 @query(
@@ -404,17 +404,17 @@ def _top(d: Data):
     return rs.top_n_series(d.facts, 20)
 
 
-@query("dedupe_keep_latest", sql(f"SELECT unique_id, ds, cutoff, y, {R(SN)} AS {SN} FROM o QUALIFY row_number() OVER (PARTITION BY unique_id, ds ORDER BY cutoff DESC) = 1", "small", "last_day", o=f"""
-    SELECT p.unique_id, p.ds, c.cutoff, p.y, s.y AS {SN} FROM small p JOIN (SELECT last_ds - CAST(28 + (2 - w) * 7 AS INTEGER) AS cutoff FROM last_day, range(3) t(w)) c ON p.ds > c.cutoff AND p.ds <= c.cutoff + 28
-    JOIN small s ON s.unique_id = p.unique_id AND s.ds = c.cutoff - 6 + CAST((date_diff('day', c.cutoff, p.ds) - 1) % 7 AS INTEGER)"""))
+@query("dedupe_keep_latest", sql(f"SELECT unique_id, ds, cutoff, y, {R(SN)} AS {SN} FROM o QUALIFY row_number() OVER (PARTITION BY unique_id, ds ORDER BY cutoff DESC) = 1", "panel", "last_day", o=f"""
+    SELECT p.unique_id, p.ds, c.cutoff, p.y, s.y AS {SN} FROM panel p JOIN (SELECT last_ds - CAST(28 + (2 - w) * 7 AS INTEGER) AS cutoff FROM last_day, range(3) t(w)) c ON p.ds > c.cutoff AND p.ds <= c.cutoff + 28
+    JOIN panel s ON s.unique_id = p.unique_id AND s.ds = c.cutoff - 6 + CAST((date_diff('day', c.cutoff, p.ds) - 1) % 7 AS INTEGER)"""))
 def _dedupe(d: Data):
-    overlapping = fd.baseline_cv(d.small, H, 3, step=7, end=d.end).drop("Naive")
+    overlapping = fd.baseline_cv(d.panel, H, 3, step=7, end=d.end).drop("Naive")
     return rounded(rs.dedupe_keep_latest(overlapping))
 
 
-@query("models_long", sql(f"SELECT unique_id, ds, cutoff, y, model, {cols('y_hat')} FROM long_s", "long_s"))
+@query("models_long", sql(f"SELECT unique_id, ds, cutoff, y, model, {cols('y_hat')} FROM long", "long"))
 def _models_long(d: Data):
-    return rounded(rs.models_long(d.small_cv))
+    return rounded(rs.models_long(d.cv))
 
 
 @query("future_frame", sql("SELECT unique_id, last_ds + k::INTEGER AS ds FROM (SELECT DISTINCT unique_id FROM facts), last_day, range(1, 29) t(k)", "facts", "last_day"))
@@ -424,11 +424,11 @@ def _future(d: Data):
 
 @query(
     "union_forecasts",
-    sql(f"SELECT unique_id, ds, {cols('Naive')}, NULL::DOUBLE AS {SN} FROM cv_s WHERE cutoff = (SELECT min(cutoff) FROM folds) UNION ALL SELECT unique_id, ds, NULL, {R(SN)} FROM cv_s WHERE cutoff > (SELECT min(cutoff) FROM folds)", "cv_s"),
+    sql(f"SELECT unique_id, ds, {cols('Naive')}, NULL::DOUBLE AS {SN} FROM cv WHERE cutoff = (SELECT min(cutoff) FROM folds) UNION ALL SELECT unique_id, ds, NULL, {R(SN)} FROM cv WHERE cutoff > (SELECT min(cutoff) FROM folds)", "cv"),
 )
 def _union(d: Data):
-    first = d.small_cv.where(F.col("cutoff") == d.points[0]).select("unique_id", "ds", "Naive")
-    rest = d.small_cv.where(F.col("cutoff") > d.points[0]).select("unique_id", "ds", SN)
+    first = d.cv.where(F.col("cutoff") == d.points[0]).select("unique_id", "ds", "Naive")
+    rest = d.cv.where(F.col("cutoff") > d.points[0]).select("unique_id", "ds", SN)
     return rounded(rs.union_forecasts(first, rest))
 
 
@@ -556,12 +556,12 @@ def _feat_difference(d: Data):
 
 @query(
     "undo_difference",
-    sql("SELECT unique_id, ds, y FROM small, last_day WHERE ds > last_ds - 28", "small", "last_day"),
+    sql("SELECT unique_id, ds, y FROM panel, last_day WHERE ds > last_ds - 28", "panel", "last_day"),
 )
 def _undo(d: Data):
     cutoff = F.date_sub(d.end, H)
-    diffs = ft.feat_difference(d.small).where(F.col("ds") > cutoff).select("unique_id", "ds", F.col("y_diff").alias("y"))
-    last = d.small.where(F.col("ds") == cutoff).select("unique_id", F.col("y").alias("level"))
+    diffs = ft.feat_difference(d.panel).where(F.col("ds") > cutoff).select("unique_id", "ds", F.col("y_diff").alias("y"))
+    last = d.panel.where(F.col("ds") == cutoff).select("unique_id", F.col("y").alias("level"))
     return ft.undo_difference(diffs, last, "y").select("unique_id", "ds", "y")
 
 
@@ -621,13 +621,13 @@ def _eda_effects(d: Data):
 @query(
     "eda_rolling_mean",
     sql(
-        f"""SELECT unique_id, ds, y, {R('CASE WHEN count(y) OVER w = 7 THEN avg(y) OVER w END')} AS rolling_mean FROM small
-        WHERE unique_id IN (SELECT unique_id FROM small GROUP BY 1 ORDER BY sum(y) DESC, 1 LIMIT 6) WINDOW w AS (PARTITION BY unique_id ORDER BY ds ROWS 6 PRECEDING)""",
-        "small",
+        f"""SELECT unique_id, ds, y, {R('CASE WHEN count(y) OVER w = 7 THEN avg(y) OVER w END')} AS rolling_mean FROM panel
+        WHERE unique_id IN (SELECT unique_id FROM panel GROUP BY 1 ORDER BY sum(y) DESC, 1 LIMIT 6) WINDOW w AS (PARTITION BY unique_id ORDER BY ds ROWS 6 PRECEDING)""",
+        "panel",
     ),
 )
 def _eda_rolling(d: Data):
-    return rounded(dm.eda_rolling_mean(d.small))
+    return rounded(dm.eda_rolling_mean(d.panel))
 
 
 @query("panel_overview", sql("SELECT count(*) AS n_rows, count(DISTINCT unique_id) AS n_series, count(DISTINCT ds) AS n_days, min(ds) AS min_ds, max(ds) AS max_ds FROM panel", "panel"))
@@ -733,24 +733,24 @@ def _extremes(d: Data):
 
 
 def _requests(d: Data):
-    """Requested ids with many repeats: the known series, and item x store ids unknown to the small panel."""
+    """Requested ids with many repeats: the known series, and type x region ids that the panel doesn't know."""
     return tp.small_facts(d.spark, d.sf_dir).select("unique_id").union(d.facts.select("unique_id"))
 
 
 @query(
     "score_requests_by_id",
     sql(
-        """SELECT unique_id, last_ds + k::INTEGER AS ds, y AS y_hat, NULL AS reason FROM small JOIN last_day ON ds = last_ds, range(1, 29) t(k)
-        UNION ALL SELECT DISTINCT unique_id, NULL, NULL, 'unknown_id' FROM facts""",
-        "small",
+        """SELECT unique_id, last_ds + k::INTEGER AS ds, y AS y_hat, NULL AS reason FROM panel JOIN last_day ON ds = last_ds, range(1, 29) t(k)
+        UNION ALL SELECT DISTINCT unique_id, NULL, NULL, 'unknown_id' FROM facts_small""",
+        "panel",
         "last_day",
-        "facts",
+        "facts_small",
     ),
 )
 def _by_id(d: Data):
     requests = _requests(d)
-    ok = dm.score_requests_by_id(requests, d.small, H)
-    return ok.unionByName(dm.request_rejects_by_id(requests, d.small), allowMissingColumns=True)
+    ok = dm.score_requests_by_id(requests, d.panel, H)
+    return ok.unionByName(dm.request_rejects_by_id(requests, d.panel), allowMissingColumns=True)
 
 
 _SHORT = "SELECT unique_id FROM facts GROUP BY unique_id HAVING count(*) < 55"

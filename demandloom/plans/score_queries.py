@@ -549,10 +549,10 @@ def _bootstrap(d: Data):
 
 @query(
     "residuals_long",
-    sql(f"SELECT model, unique_id, ds, y, {cols('y_hat')}, {R('y_hat - y')} AS residual FROM long_s", "long_s"),
+    sql(f"SELECT model, unique_id, ds, y, {cols('y_hat')}, {R('y_hat - y')} AS residual FROM long", "long"),
 )
 def _residuals(d: Data):
-    return rounded(dg.residuals_long(d.small_scoring))
+    return rounded(dg.residuals_long(d.scoring))
 
 
 @query("residual_drift", sql(f"SELECT model, ds, {R('avg(y_hat - y)')} AS mean_residual FROM long GROUP BY model, ds", "long"))
@@ -775,15 +775,14 @@ _NODE_CV = {
 }
 _STEP = "CAST(date_diff('day', cutoff, ds) AS INTEGER)"
 _Q = f"SELECT {_STEP} AS step, quantile_cont(abs(y - {SN}), 0.9) AS q FROM ncv GROUP BY 1"
-_Q_S = _Q.replace("FROM ncv", "FROM cv_s")
 
 
 @query(
     "cv_residuals",
-    sql(f"SELECT unique_id, ds, cutoff, y, {R(SN)} AS {SN}, {_STEP} AS step, {R(f'y - {SN}')} AS residual FROM cv_s", "cv_s"),
+    sql(f"SELECT unique_id, ds, cutoff, y, {R(SN)} AS {SN}, {_STEP} AS step, {R(f'y - {SN}')} AS residual FROM ncv", "cv", "statics", **_NODE_CV),
 )
 def _cv_residuals(d: Data):
-    return rounded(iv.cv_residuals(d.small_cv, SN))
+    return rounded(iv.cv_residuals(d.node_cv, SN))
 
 
 @query("conformal_fit_pooled", sql(f"SELECT step, {R('q')} AS q FROM ({_Q})", "cv", "statics", **_NODE_CV))
@@ -812,34 +811,33 @@ def _apply_sql(half: str) -> str:
 _APPLY_COLS = ("unique_id", "ds", "cutoff", "y", SN, f"{SN}_lo", f"{SN}_hi")
 
 
-@query("conformal_apply", sql(f"{_apply_sql('q')} FROM cv_s JOIN ({_Q_S}) t ON t.step = date_diff('day', cutoff, ds)", "cv_s"))
+@query("conformal_apply", sql(f"{_apply_sql('q')} FROM ncv JOIN ({_Q}) t ON t.step = date_diff('day', cutoff, ds)", "cv", "statics", **_NODE_CV))
 def _apply(d: Data):
-    return rounded(iv.conformal_apply(iv.conformal_fit(d.small_cv, SN), d.small_cv).select(*_APPLY_COLS))
+    return rounded(iv.conformal_apply(iv.conformal_fit(d.node_cv, SN), d.node_cv).select(*_APPLY_COLS))
 
 
 @query(
     "conformal_apply_scaled",
     sql(
-        f"{_apply_sql('q * least(5, sqrt(greatest(SeasonalNaive, 0) / greatest((SELECT avg(SeasonalNaive) FROM cv_s), 1e-8)))')} FROM cv_s JOIN ({_Q_S}) t ON t.step = date_diff('day', cutoff, ds)",
-        "cv_s",
+        f"{_apply_sql('q * least(5, sqrt(greatest(SeasonalNaive, 0) / greatest((SELECT avg(SeasonalNaive) FROM ncv), 1e-8)))')} FROM ncv JOIN ({_Q}) t ON t.step = date_diff('day', cutoff, ds)",
+        "cv", "statics", **_NODE_CV,
     ),
 )
 def _apply_scaled(d: Data):
-    return rounded(iv.conformal_apply(iv.conformal_fit(d.small_cv, SN, method="scaled"), d.small_cv).select(*_APPLY_COLS))
+    return rounded(iv.conformal_apply(iv.conformal_fit(d.node_cv, SN, method="scaled"), d.node_cv).select(*_APPLY_COLS))
 
 
 @query(
     "conformal_apply_grouped",
     sql(
-        f"""{_apply_sql('coalesce(gq, q)')} FROM (SELECT *, split_part(unique_id, '_', 1) AS dept FROM cv_s) JOIN ({_Q_S}) t ON t.step = date_diff('day', cutoff, ds)
-        LEFT JOIN (SELECT split_part(unique_id, '_', 1) AS gd, {_STEP} AS gs, quantile_cont(abs(y - {SN}), 0.9) AS gq FROM cv_s GROUP BY ALL) g ON gd = dept AND gs = t.step""",
-        "cv_s",
+        f"""{_apply_sql('coalesce(gq, q)')} FROM (SELECT *, level AS dept FROM ncv) JOIN ({_Q}) t ON t.step = date_diff('day', cutoff, ds)
+        LEFT JOIN (SELECT level AS gd, {_STEP} AS gs, quantile_cont(abs(y - {SN}), 0.9) AS gq FROM ncv GROUP BY ALL) g ON gd = dept AND gs = t.step""",
+        "cv", "statics", **_NODE_CV,
     ),
 )
 def _apply_grouped(d: Data):
-    cv = d.small_cv.join(d.small_statics.select("unique_id", "dept_id"), "unique_id")
-    state = iv.conformal_fit(cv, SN, method="grouped", group_col="dept_id")
-    return rounded(iv.conformal_apply(state, cv).select(*_APPLY_COLS))
+    state = iv.conformal_fit(d.node_cv, SN, method="grouped", group_col="level")
+    return rounded(iv.conformal_apply(state, d.node_cv).select(*_APPLY_COLS))
 
 
 _INSIDE = "avg(CAST(y >= greatest(f - h, 0) AND y <= f + h AS DOUBLE))"
