@@ -189,7 +189,8 @@ def fit_tweedie(train: DataFrame, features: Sequence[str], power: float = 1.1) -
     glm = GeneralizedLinearRegression(
         family="tweedie", variancePower=power, linkPower=0.0, featuresCol="_v", labelCol="y", maxIter=25, regParam=1e-6
     )
-    fit = glm.fit(_assembled(train, features, log_lags=True))
+    # every step of the fit reads the rows again
+    fit = glm.fit(settle(_assembled(train, features, log_lags=True).select("_v", "y")))
     return Scorer(tuple(features), tuple(float(c) for c in fit.coefficients), float(fit.intercept), log_link=True)
 
 

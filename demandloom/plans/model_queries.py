@@ -141,12 +141,12 @@ def _future_calendar(d: Data):
 
 @query("fc_global_linear")
 def _fc_linear(d: Data):
-    return rounded(pm.fc_global_linear(d.small, H))
+    return rounded(pm.fc_global_linear(d.panel, H))
 
 
 @query("fc_global_tweedie")
 def _fc_tweedie(d: Data):
-    return rounded(pm.fc_global_tweedie(d.small, H))
+    return rounded(pm.fc_global_tweedie(d.panel, H))
 
 
 _FEATURE_ROWS = "(SELECT unnest([" + ", ".join(f"'{f}'" for f in ("intercept", *sg.FEATURES)) + "]) AS feature)"

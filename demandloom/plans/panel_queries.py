@@ -145,25 +145,25 @@ def _sink_parquet(d: Data):
     return d.spark.read.parquet(path).where(F.col("state_id") == "ASIA")
 
 
-@query("src_csv", sql("SELECT unique_id, ds, y FROM facts_small", "facts_small"))
+@query("src_csv", sql("SELECT unique_id, ds, y FROM facts", "facts"))
 def _src_csv(d: Data):
     path = fresh_path(d.spark, "facts")
-    tp.small_facts(d.spark, d.sf_dir).select("unique_id", "ds", "y").write.option("header", True).csv(path)
+    d.facts.select("unique_id", "ds", "y").write.option("header", True).csv(path)
     return retail.read_csv(d.spark, path, "unique_id string, ds date, y double")
 
 
 def _cv_files(d: Data) -> str:
     """Two backtest tables: baselines without the last fold, and the mean without the first."""
     base = fresh_path(d.spark, "cv")
-    sinks.sink_parquet(d.small_cv.where(F.col("cutoff") < d.points[2]).select("unique_id", "ds", "cutoff", "y", "Naive", SN), f"{base}/cv_base")
-    both = d.small_cv.where(F.col("cutoff") > d.points[0]).select("unique_id", "ds", "cutoff", "y", F.col(SN), "Ensemble")
+    sinks.sink_parquet(d.cv.where(F.col("cutoff") < d.points[2]).select("unique_id", "ds", "cutoff", "y", "Naive", SN), f"{base}/cv_base")
+    both = d.cv.where(F.col("cutoff") > d.points[0]).select("unique_id", "ds", "cutoff", "y", F.col(SN), "Ensemble")
     sinks.sink_parquet(both, f"{base}/cv_mix")
     return base
 
 
 _TWO_CV = {
-    "a": "SELECT * FROM cv_s WHERE cutoff < (SELECT max(cutoff) FROM folds)",
-    "b": "SELECT * FROM cv_s WHERE cutoff > (SELECT min(cutoff) FROM folds)",
+    "a": "SELECT * FROM cv WHERE cutoff < (SELECT max(cutoff) FROM folds)",
+    "b": "SELECT * FROM cv WHERE cutoff > (SELECT min(cutoff) FROM folds)",
 }
 
 
@@ -172,7 +172,7 @@ _TWO_CV = {
     sql(
         f"""SELECT a.unique_id, a.ds, a.cutoff, a.y, {R('a.Naive')} AS base_Naive, {R(f'a.{SN}')} AS base_{SN}, {R(f'b.{SN}')} AS mix_{SN}, {R('b.Ensemble')} AS mix_Ensemble
         FROM a JOIN b ON a.unique_id = b.unique_id AND a.ds = b.ds AND a.cutoff = b.cutoff""",
-        "cv_s",
+        "cv",
         **_TWO_CV,
     ),
 )
@@ -186,7 +186,7 @@ def _load_inner(d: Data):
         f"""SELECT coalesce(a.unique_id, b.unique_id) AS unique_id, coalesce(a.ds, b.ds) AS ds, coalesce(a.cutoff, b.cutoff) AS cutoff, coalesce(a.y, b.y) AS y,
         {R('a.Naive')} AS Naive, {R(f'a.{SN}')} AS "base:{SN}", {R(f'b.{SN}')} AS "mix:{SN}", {R('b.Ensemble')} AS Ensemble
         FROM a FULL JOIN b ON a.unique_id = b.unique_id AND a.ds = b.ds AND a.cutoff = b.cutoff""",
-        "cv_s",
+        "cv",
         **_TWO_CV,
     ),
 )
@@ -197,16 +197,16 @@ def _load_outer(d: Data):
 @query(
     "load_cv_dashboard",
     sql(
-        f"""SELECT a.unique_id, a.ds, a.cutoff, a.y, {R('a.Naive')} AS base_Naive, {R(f'a.{SN}')} AS base_{SN} FROM a""",
-        "cv_s",
+        f"""SELECT a.unique_id, a.ds, a.cutoff, a.y, {R('a.Naive')} AS base_Naive, {R(f'a.{SN}')} AS base_{SN}, {R(f'b.{SN}')} AS mix_{SN}, {R('b.Ensemble')} AS mix_Ensemble
+        FROM a JOIN b ON a.unique_id = b.unique_id AND a.ds = b.ds AND a.cutoff = b.cutoff""",
+        "cv",
         **_TWO_CV,
     ),
 )
 def _load_dashboard(d: Data):
     base = _cv_files(d)
-    sinks.sink_parquet(d.small_cv.select("unique_id", "ds", "cutoff", "y"), f"{base}/cv_truth")
-    found = cv_tables.discover(d.spark, base)
-    return rounded(cv_tables.load_cv_dashboard(d.spark, {k: found[k] for k in ("base", "truth")})[0])
+    sinks.sink_parquet(d.cv.select("unique_id", "ds", "cutoff", "y"), f"{base}/cv_truth")
+    return rounded(cv_tables.load_cv_dashboard(d.spark, cv_tables.discover(d.spark, base))[0])
 
 
 @query("sink_metrics", sql(f"SELECT model, {cols('wrmsse')} FROM scores", "scores"))
@@ -318,9 +318,9 @@ def _drop_zeros(d: Data):
     return rs.drop_leading_zeros(quiet.select("unique_id", "ds", "y"))
 
 
-@query("trim_last_n_days", sql("SELECT unique_id, ds, y FROM small WHERE ds >= (SELECT max(ds) FROM small) - 400", "small"))
+@query("trim_last_n_days", sql("SELECT unique_id, ds, y FROM panel WHERE ds >= (SELECT max(ds) FROM panel) - 400", "panel"))
 def _trim(d: Data):
-    return rs.trim_last_n_days(d.small, 400).select("unique_id", "ds", "y")
+    return rs.trim_last_n_days(d.panel, 400).select("unique_id", "ds", "y")
 
 
 @query(
@@ -684,12 +684,12 @@ def _extract(d: Data):
 
 @query(
     "recon_bottom_up",
-    sql(_per_level("SELECT {i} AS level_idx, {node} AS unique_id, cutoff, ds, round(sum(SeasonalNaive), 6) AS BottomUp", "(SELECT * FROM cv_s JOIN (SELECT DISTINCT unique_id, item_id, dept_id, cat_id, store_id, state_id FROM facts_small) USING (unique_id))").replace("'{name}'", "''"), "cv_s"),
+    sql(_per_level("SELECT {i} AS level_idx, {node} AS unique_id, cutoff, ds, round(sum(SeasonalNaive), 6) AS BottomUp", "(SELECT * FROM cv JOIN (SELECT DISTINCT unique_id, item_id, dept_id, cat_id, store_id, state_id FROM facts) USING (unique_id))").replace("'{name}'", "''"), "cv", "facts"),
 )
 def _bottom_up(d: Data):
     from demandloom.operators.reconcile import bottom_up
 
-    return rounded(bottom_up(d.small_cv, hr.hier_edges(d.small_statics), SN))
+    return rounded(bottom_up(d.cv, hr.hier_edges(d.statics), SN))
 
 
 # --- intermittency and requests --------------------------------------------------------------
