@@ -18,16 +18,18 @@ corpus is not one task.
 from __future__ import annotations
 
 import bisect
+import re
 import unicodedata
 from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import chain, filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandloom.llm.common import rows_of, saved, take_memory
+from demandloom.llm.common import release, saved, take_memory
 
 CAPACITY = 4096
 GROUPS = 96
@@ -37,6 +39,8 @@ PIVOTS = 2000
 BUCKET_ROWS = 100_000
 END_ID = 1
 MEMO = 800_000
+LONG = 64
+SLICE_BYTES = 8 << 20
 RUNS = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("run_length", "from_rank", "run_pieces", "first_sequence", "run_offset")]
 )
@@ -231,8 +235,11 @@ _ENCODERS: dict[str, object] = {}
 class _Words:
     """Token ids of white-space separated chunks, as bytes; a chunk's ids don't depend on its neighbours.
 
-    Ids are remembered per chunk (at most ``MEMO`` chunks). Unknown words are encoded many at a time, as one text whose
-    ids are cut behind the vocabulary's word-end tokens; if their number isn't the number of words, one by one.
+    Arrow splits a slice of texts at ASCII white space and numbers its distinct chunks, so that Python handles each of
+    them once a slice; the ids of whole texts are gathered by number. Latin letters between ASCII punctuation are looked
+    up as three parts, the letters in lower case; any other chunk is one part, as it is written. Ids are remembered per
+    part (at most ``MEMO`` and a slice's own). Unknown words are encoded many at a time, as one text whose ids are cut
+    behind the vocabulary's word-end tokens; if their number isn't the number of words, one by one.
     """
 
     def __init__(self, definition: str):
@@ -249,8 +256,8 @@ class _Words:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
@@ -259,37 +266,49 @@ class _Words:
             else:
                 self.memo.update((w, self._one(w)) for w in some)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts. Separators that str.split knows and the vocabulary's splitter doesn't take the long way."""
-        chunks = [None if _ODD.search(x) else _lowered(x).split() for x in texts]
+    def chunk_ids(self, lines: str) -> list[bytes]:
+        """Ids of distinct chunks, given one a line."""
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        # lookups go to a small table of this slice's chunks
-        here = {c: memo.get(c) for c in set().union(*(c for c in chunks if c))}
-        fresh = [c for c, ids in here.items() if ids is None]
-        bare = {c: c.rstrip(_STOPS) for c in fresh}  # a word and what follows it are split anyway
-        words = {w for c, w in bare.items() if len(c) <= 64 and _letters(w)}
-        stops = {c[len(w) :] for c, w in bare.items() if w in words and len(c) <= 64 and len(w) < len(c)}
-        self._learn([w for w in words if w not in memo])
-        for stop in stops:
-            if stop not in memo:
-                memo[stop] = self._one(stop)
-        other = []
-        for c, w in bare.items():
-            if w in words and len(c) <= 64:
-                here[c] = memo[c] = memo[w] if len(w) == len(c) else memo[w] + memo[c[len(w) :]]
-            else:
-                other.append(c)
-        for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            here[c] = np.array(e.ids, dtype="<u4").tobytes()
-            if len(c) <= 64:
-                memo[c] = here[c]
-        get = here.__getitem__
-        return [self._one(x) if c is None else b"".join(map(get, c)) for x, c in zip(texts, chunks)]
+        found = zip(_PARTS.findall(lines.lower()), lines.split("\n"), strict=True)
+        parts = [p if p[1] else ("", chunk, "") for p, chunk in found]
+        before, word, after = zip(*parts)
+        fresh = set(filterfalse(memo.__contains__, chain(set(before), word, set(after))))
+        words = [x for x in fresh if len(x) <= LONG and _letters(x)]
+        self._learn(words)
+        other = list(fresh.difference(words))
+        for x, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            memo[x] = np.array(e.ids, dtype="<u4").tobytes()
+        out = [memo[b] + memo[w] + memo[a] if a or b else memo[w] for b, w, a in parts]
+        for x in other:
+            if len(x) > LONG:
+                del memo[x]
+        return out
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of whole texts, given as an Arrow array; null counts as empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
+        chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        numbered = chunks.flatten().dictionary_encode()
+        distinct = numbered.dictionary
+        if not len(distinct):
+            return [b""] * len(texts)
+        one = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct)
+        lines = pc.binary_join(one, pa.scalar("\n", distinct.type))
+        ids = pa.array(self.chunk_ids(lines[0].as_py()), pa.large_binary()).take(numbered.indices)
+        _, ends, raw = ids.buffers()
+        first = chunks.offsets.to_numpy()
+        ends = np.frombuffer(ends, dtype=np.int64)[first - first[0]].tolist()
+        return list(map((raw.to_pybytes() if raw else b"").__getitem__, map(slice, ends, ends[1:])))
 
-_STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all ASCII punctuation but the apostrophe
+
+# A chunk as punctuation, letters, punctuation; other chunks give three empty parts. The punctuation is all of ASCII's but
+# the apostrophe; the letters, once lowered, are single code points of the Latin blocks, which are composed already.
+_STOPS = "[!-&(-/:-@\\[-`{-~]*"
+_PARTS = re.compile(f"^({_STOPS})([a-z\u00df-\u00f6\u00f8-\u024f]+)({_STOPS})$|^.*$", re.M)
 
 
 def _letters(word: str) -> bool:
@@ -297,18 +316,17 @@ def _letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
-def _lowered(text: str) -> str:
-    """Lower case where Python's is the vocabulary's, letter by letter; elsewhere the tokenizer does it."""
-    return text if "\u03a3" in text or "\u0130" in text else text.lower()
-
-
-def _odd():
-    import re
-
-    return re.compile("[\x1c-\x1f]")
-
+def _slices(batch, most: int):
+    """An Arrow batch in slices of about ``most`` bytes of text (column 1), of at least one row each."""
+    import pyarrow.compute as pc
 
-_ODD = _odd()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+    release()
 
 
 def tokenised(docs: DataFrame, definition: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -334,10 +352,9 @@ def tokenised(docs: DataFrame, definition: str, capacity: int = CAPACITY, end_id
         words = _ENCODERS[text]
         step = 4 * capacity
         for batch in batches:
-            for part in rows_of(batch, 256):
+            for part in _slices(batch, SLICE_BYTES):
                 rows: list[tuple] = []
-                docs_ = part.column(0).to_pylist()
-                for doc_id, ids in zip(docs_, words.encode([x or "" for x in part.column(1).to_pylist()])):
+                for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1))):
                     ids += end
                     for at in range(0, len(ids), step):
                         cut = ids[at : at + step]
