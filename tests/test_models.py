@@ -447,3 +447,22 @@ def test_a_published_model_scores_like_the_one_in_memory(spark, toy, tmp_path):
     own, rejects = ms.score_histories(stored, toy.select("unique_id", "ds", "y").where("unique_id <> 'soap-oak_south-1' OR ds < '2020-01-20'"), 5)
     assert {r.unique_id for r in rejects.collect()} == {"soap-oak_south-1"}
     assert {(r.unique_id, r.ds): round(r.y_hat, 9) for r in own.collect()} == {k: round(v, 9) for k, v in memory.items() if k[0] != "soap-oak_south-1"}
+
+
+@pytest.mark.parametrize("days", [9, 150])
+def test_folds_of_few_nodes_need_no_column_per_day(spark, folded_hierarchy, days):
+    """Residuals are turned into as many columns as nodes; with more nodes than days they stay, and either has the products of all days."""
+    nodes = 24
+    rng = np.random.default_rng(3)
+    x = {fold: rng.normal(0, 1, (nodes, days)) for fold in ("a", "b")}
+    rows = spark.createDataFrame([(f, f"n{k:02}", b"", 1.0, bytearray(x[f][k].tobytes())) for f in x for k in range(nodes)], "fold string, node_id string, y binary, w double, x binary")
+    kept, shrink = rc.bd.shrinkage(rows.repartition(7), nodes, rc.shrinkage_intensity)
+    for fold in x:
+        own = (x[fold] ** 2).mean(axis=1, keepdims=True)
+        some = shrink[fold]
+        assert some.side == min(nodes, days) and some.inner.shape == (some.side, some.side) and some.light.inner is None
+        assert abs(some.lam - rc.shrinkage_intensity(x[fold].T @ x[fold], (own**2).sum(), ((x[fold] ** 2 - own) ** 2).sum())) < 1e-9
+        got = kept.where(F.col("fold") == fold).orderBy("node_id").toPandas()
+        low = rc.bd._values(got["x"], some.side)
+        assert np.allclose(low @ low.T, x[fold] @ x[fold].T)
+        assert np.allclose(some.inner, np.eye(some.side) + (1 - some.lam) / (days * some.lam) * low.T @ low)
