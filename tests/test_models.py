@@ -466,3 +466,17 @@ def test_folds_of_few_nodes_need_no_column_per_day(spark, folded_hierarchy, days
         low = rc.bd._values(got["x"], some.side)
         assert np.allclose(low @ low.T, x[fold] @ x[fold].T)
         assert np.allclose(some.inner, np.eye(some.side) + (1 - some.lam) / (days * some.lam) * low.T @ low)
+
+
+def test_l1_fit_closes_its_gap_on_sums_of_series():
+    """Nodes that are sums of each other, with penalties far below the correlations: the gap of every series is closed."""
+    rng = np.random.default_rng(0)
+    y = rng.poisson(rng.uniform(200, 900, (12, 1)) * (1 + 0.1 * np.sin(np.arange(400) / 9))).astype(float)
+    level = np.array([np.convolve(np.r_[np.full(20, v[0]), v], np.full(20, 1 / 20))[20:420] for v in y])
+    s = np.vstack([np.ones((1, 12)), np.repeat(np.eye(3), 4, axis=1), np.tile(np.eye(4), 3), np.repeat(np.eye(6), 2, axis=1), np.eye(12), np.eye(12)])
+    one = rc.Lasso(s @ level, 0.01)
+    for r in y - level:
+        power = float(r @ r) / len(r)
+        p, gap = one.fit(one.x @ r / len(r), power)
+        left = r - p @ one.x
+        assert gap <= 1e-6 * power and np.all(np.abs(one.x @ left) / len(r) <= one.lam * (1 + 1e-3))
