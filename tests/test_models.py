@@ -468,6 +468,19 @@ def test_folds_of_few_nodes_need_no_column_per_day(spark, folded_hierarchy, days
         assert np.allclose(some.inner, np.eye(some.side) + (1 - some.lam) / (days * some.lam) * low.T @ low)
 
 
+def test_a_backtest_writes_no_histories(toy, points, monkeypatch):
+    """Fitted values are as many as nodes x days x folds: cv_hier neither settles them nor the residuals as long as the days."""
+    statics = toy.select("unique_id", "item_id", "dept_id", "cat_id", "store_id", "state_id").distinct()
+    written = []
+    for module in (hm, rc, rc.bd):
+        monkeypatch.setattr(module, "settle", lambda df, settle=module.settle: written.append(out := settle(df)) or out)
+    got = hm.cv_hier(toy, statics, H, points, ("BU", "MinT_OLS", "MinT_shrink")).toPandas()
+    assert len(got) == 2 * 3 * H and np.isfinite(got[["BU", "MinT_OLS", "MinT_shrink"]].to_numpy()).all()
+    assert written and not any({"fitted", "actual"} & set(df.columns) for df in written)
+    nodes = hm.keyed_edges(statics).select("node_id").distinct().count()
+    assert all(r["n"] <= 8 * nodes for df in written if "x" in df.columns for r in df.select(F.max(F.octet_length("x")).alias("n")).collect())
+
+
 def test_l1_fit_closes_its_gap_on_sums_of_series():
     """Nodes that are sums of each other, with penalties far below the correlations: the gap of every series is closed."""
     rng = np.random.default_rng(0)
